@@ -43,20 +43,24 @@ def number_blocks(df: DataFrame, block: list[str], name: str, within: str) -> Da
             .drop("_offset", "_first"))
 
 
-def with_file_ordinal(df: DataFrame, name: str) -> DataFrame:
-    """0-based row position over the files of a text-like read, in path order.
-
-    Rows of one split are read one after another by one task, so a growing id gives
-    their order; splits are ordered by path and start. The read is pinned first
-    because split layout may differ between two jobs.
-    """
-    located = df.select(
+def located(df: DataFrame) -> DataFrame:
+    """A text-like read with the place of each row: file, split start, and an id that
+    grows in reading order inside the split."""
+    return df.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"))
-    numbered = number_blocks(pinned(located), ["_file", "_start"], name, "_seq")
-    return numbered.drop("_start", "_seq")
+
+
+def with_file_ordinal(placed: DataFrame, name: str) -> DataFrame:
+    """0-based row position over the files of a ``located`` read, in path order.
+
+    Rows of one split are read one after another by one task; splits are ordered by
+    path and start. The read is pinned first because split layout may differ between
+    two jobs. The file path stays in ``_file``.
+    """
+    return number_blocks(pinned(placed), ["_file", "_start"], name, "_seq").drop("_start", "_seq")
 
 
 def with_parquet_ordinal(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ export), so chained sorts cost nothing until then.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime
 from typing import ClassVar
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronosift.functions import timeparse
-from chronosift.functions.jsonpath import json_value
+from chronosift.functions.jsonpath import json_cell, json_value
 from chronosift.functions.predicates import Test, all_of
 from chronosift.functions.text import (
     col, folded, is_blank, number, resolve, split_column_path, text)
@@ -62,6 +62,8 @@ class EventTable:
     sorted_by_user: bool = False
     after_ms: int | None = None
     before_ms: int | None = None
+    # True while no row has been dropped: then a row's position in file order is its index.
+    whole: bool = True
 
     # -- making one --------------------------------------------------------
 
@@ -102,6 +104,10 @@ class EventTable:
             self.df.drop(self.EVENT_MS), time_col=name, file_key=self.file_key,
             ingest_zone=self.ingest_zone, display_zone=self.display_zone)
 
+    def keeping(self, rows: DataFrame) -> EventTable:
+        """The same table with only these of its rows."""
+        return replace(self, df=rows, whole=False)
+
     # -- filters -----------------------------------------------------------
 
     def filter(self, *tests: Test, after=None, before=None,
@@ -109,7 +115,7 @@ class EventTable:
         """Rows that pass every test and lie inside the (inclusive) time bounds."""
         table = self
         if tests:
-            table = replace(table, df=table.df.filter(all_of(*tests)(table)))
+            table = table.keeping(table.df.filter(all_of(*tests)(table)))
         if after is not None or before is not None:
             table = table._bounded(
                 None if after is None else timeparse.bound_millis(after, self.display_zone, now),
@@ -129,7 +135,7 @@ class EventTable:
             self,
             after_ms=self.after_ms if after is None else after,
             before_ms=self.before_ms if before is None else before)
-        return replace(table, df=table.df.filter(table._time_test(after, before)))
+        return table.keeping(table.df.filter(table._time_test(after, before)))
 
     def _time_test(self, after: int | None, before: int | None) -> Column:
         stored = timeparse.raw_bounds(
@@ -149,10 +155,12 @@ class EventTable:
         return stored
 
     def time_range(self, base: EventTable, start_ms: int, end_ms: int) -> EventTable:
-        """A range brushed on the histogram: applied to ``base``, the table before any
-        bounds, so that it replaces an earlier pair. ``end_ms`` is exclusive of nothing:
-        the last bucket's start plus its width, as the chart gives it."""
-        return replace(base, after_ms=None, before_ms=None)._bounded(start_ms, end_ms)
+        """A range brushed on the histogram, from the first bucket's start to the last
+        bucket's start plus its width. It is applied to ``base``, the table before any
+        bounds, so that it replaces an earlier pair; shown columns and order stay."""
+        ranged = replace(base, after_ms=None, before_ms=None)._bounded(start_ms, end_ms)
+        return replace(ranged, display=self.display, order=self.order,
+                       sorted_by_user=self.sorted_by_user)
 
     # -- columns -----------------------------------------------------------
 
@@ -182,14 +190,6 @@ class EventTable:
         rest = tuple(c for c in self.display if c != self.time_col)
         return replace(self, display=(self.time_col, *rest))
 
-    def transform(self, name: str, path: str) -> EventTable:
-        """A shown column replaced by its JSON path result."""
-        from chronosift.functions.jsonpath import json_cell
-        column = resolve(name, self.columns)
-        if column is None:
-            return self
-        return replace(self, df=self.df.withColumn(column, json_cell(col(column), path)))
-
     # -- order -------------------------------------------------------------
 
     def sort(self, *keys: str | SortKey | tuple[str, bool]) -> EventTable:
@@ -241,14 +241,14 @@ class EventTable:
         """First ``n`` rows of the current order; a count below 1 changes nothing."""
         if n <= 0:
             return self
-        return replace(self, df=self._slice(0, n))
+        return self.keeping(self._slice(0, n))
 
     def page(self, start: int, end: int) -> EventTable:
         """Rows ``[start, end)`` of the current order."""
         start = max(start, 0)
         if end <= start:
-            return replace(self, df=self.df.filter(F.lit(False)))
-        return replace(self, df=self._slice(start, end))
+            return self.keeping(self.df.filter(F.lit(False)))
+        return self.keeping(self._slice(start, end))
 
     def _slice(self, start: int, end: int) -> DataFrame:
         if end <= SINGLE_TASK_ROWS:
@@ -261,6 +261,9 @@ class EventTable:
     def positions(self, *carry: Column, name: str = "position") -> DataFrame:
         """``row_index``, its position in this result, and ``carry`` columns. Only the
         sort keys and the carried columns move through the shuffle."""
+        if self.whole and not self.order:
+            return self.df.select(col(self.ROW_INDEX).alias("row_index"), *carry,
+                                  col(self.ROW_INDEX).alias(name))
         terms = self.order_terms()
         narrow = self.df.select(
             col(self.ROW_INDEX).alias("row_index"), *carry,
@@ -310,23 +313,32 @@ class EventTable:
         window = Window.partitionBy(*parts).orderBy(*self.order_by())
         kept = (self.df.withColumn("_rank", F.row_number().over(window))
                 .filter(F.col("_rank") == 1).drop("_rank"))
-        return replace(self, df=kept)
+        return self.keeping(kept)
 
     # -- results -----------------------------------------------------------
 
     def result(self, *, ordered: bool = True, sort_by_time: bool = False,
                descending: bool = False, format_time: bool = False,
                pattern: str = timeparse.DEFAULT_PATTERN,
+               paths: Mapping[str, str] | None = None,
                keep: Sequence[str] = ()) -> DataFrame:
         """The shown columns. ``sort_by_time`` adds a time sort when no sort was asked
-        for; it comes after any limit. ``keep`` adds helper columns by name."""
+        for; it comes after any limit. ``paths`` shows columns through a JSON path.
+        ``keep`` adds helper columns by name."""
         table = self
         if sort_by_time and not self.sorted_by_user and self.time_col is not None:
             table = self.sort((self.time_col, descending))
         rows = table.df.orderBy(*table.order_by()) if ordered else table.df
-        shown = [table.shown(c, pattern) if format_time and c == table.time_col else col(c)
-                 for c in table.display]
-        return rows.select(*shown, *(col(k) for k in keep))
+        through = {resolve(name, table.columns): path for name, path in (paths or {}).items()}
+
+        def cell(name: str) -> Column:
+            if name in through:
+                return json_cell(col(name), through[name]).alias(name)
+            if format_time and name == table.time_col:
+                return table.shown(name, pattern)
+            return col(name)
+
+        return rows.select(*map(cell, table.display), *(col(k) for k in keep))
 
     def shown(self, name: str, pattern: str = timeparse.DEFAULT_PATTERN) -> Column:
         """A cell as it is displayed: the time column in the display zone."""

@@ -1 +1,118 @@
-def open_events(*a, **k): ...
+"""One way in: a path and its options to an event table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronosift.operators.ordinal import with_file_ordinal
+from chronosift.plans.event_table import EventTable
+from chronosift.sources import cells, compressed, csvfiles, directory, jsonfiles, workbooks
+from chronosift.sources.heads import SUFFIXES, first_records
+from chronosift.sources.options import FileOptions, file_key
+from chronosift.sources.registry import Sources, standard_sources
+from chronosift.session import pinned
+
+ROW = EventTable.ROW_INDEX
+
+
+def kind_of(path: str, options: FileOptions, sources: Sources) -> str:
+    """csv, xlsx, json, plugin or parquet, by ending inside any compression ending."""
+    inner = path.lower()
+    for ending in SUFFIXES:
+        inner = inner.removesuffix(ending)
+    if options.plugin_id:
+        return "plugin"
+    for kind in ("csv", "xlsx", "json", "parquet"):
+        if inner.endswith("." + kind):
+            return kind
+    return "plugin" if sources.find(path) else "csv"
+
+
+def open_events(spark: SparkSession, path: str, options: FileOptions | None = None, *,
+                time_col: str | None = None, display_zone: str | None = None,
+                file_hash: str = "", sources: Sources | None = None,
+                exclude: tuple[str, ...] = (), max_files: int = directory.MAX_FILES,
+                multiline: bool | None = None) -> EventTable:
+    """A file or directory as an event table. For repeated use of text logs write the
+    table to Parquet once (``save_events``) and open that."""
+    options = options or FileOptions()
+    sources = sources or standard_sources()
+    if options.is_directory:
+        rows = _directory(spark, path, options, sources, exclude, max_files, multiline)
+    else:
+        rows = _file(spark, path, options, sources, multiline)
+    return EventTable.of(rows, time_col=time_col, ingest_zone=options.ingest_tz,
+                         display_zone=display_zone, file_key=file_key(file_hash, options))
+
+
+def _file(spark: SparkSession, path: str, options: FileOptions, sources: Sources,
+          multiline: bool | None) -> DataFrame:
+    kind = kind_of(path, options, sources)
+    if kind == "plugin":
+        loader = sources.find(path, options.plugin_id)
+        if loader is None:
+            raise LookupError(f"no source {options.plugin_id!r}")
+        return loader(spark, path, options)
+    if kind == "parquet":
+        return EventTable.from_parquet(spark, path).df.drop(EventTable.EVENT_MS)
+    if kind == "xlsx":
+        return _from_cells(workbooks.read_cells(spark, [path]), options)
+    if kind == "json":
+        return _json(spark, [path], options.jpath)
+    head = first_records(spark, [path]).first()
+    if head["codec"] == "xz" or head["by_magic"]:
+        return _from_cells(compressed.read_cells(spark, [path]), options)
+    rows = csvfiles.read_csv(spark, path, options.no_header_row, multiline)
+    return with_file_ordinal(rows, ROW).drop("_file")
+
+
+def _from_cells(found: DataFrame, options: FileOptions) -> DataFrame:
+    rows = cells.named_rows(pinned(found), options.no_header_row)
+    return cells.with_ordinal(rows, ROW).drop("_file")
+
+
+def _json(spark: SparkSession, paths: list[str], jpath: str, keep_file: bool = False) -> DataFrame:
+    """Records at the path; without a path the file holds one object per line."""
+    if jpath:
+        rows = cells.with_ordinal(jsonfiles.read_records(spark, paths, jpath), ROW)
+    else:
+        rows = with_file_ordinal(jsonfiles.read_lines(spark, paths), ROW)
+    return rows if keep_file else rows.drop("_file")
+
+
+def _directory(spark: SparkSession, root: str, options: FileOptions, sources: Sources,
+               exclude: tuple[str, ...], max_files: int, multiline: bool | None) -> DataFrame:
+    kind = kind_of(options.file_pattern, options, sources)
+    if kind == "csv":
+        return directory.read_csv_directory(
+            spark, root, options.file_pattern, exclude=exclude, max_files=max_files,
+            no_header_row=options.no_header_row, include_source=options.include_source,
+            multiline=multiline, row_index=ROW)
+    paths = [r["path"] for r in directory.listing(
+        spark, root, options.file_pattern, exclude, max_files).select("path").collect()]
+    if not paths:
+        raise ValueError(f"no files match {options.file_pattern!r} in {root}")
+    if kind == "json":
+        rows = _json(spark, paths, options.jpath, keep_file=True)
+    elif kind == "xlsx":
+        rows = cells.with_ordinal(cells.named_rows(
+            pinned(workbooks.read_cells(spark, paths)), options.no_header_row), ROW)
+    else:
+        raise ValueError(f"directories of {kind} files are not read as one table")
+    if options.include_source:
+        return rows.withColumn("_file", directory.relative(spark, root, F.col("_file"))).select(
+            *[c for c in rows.columns if c not in ("_file", ROW)],
+            F.col("_file").alias(directory.SOURCE_COLUMN), ROW)
+    return rows.drop("_file")
+
+
+def save_events(table: EventTable, path: str) -> None:
+    """The whole table as Parquet, with row index and event time, in file order inside
+    each output file so that later scans can skip by time."""
+    table.df.write.mode("errorifexists").parquet(path)
+
+
+def load_events(spark: SparkSession, path: str, **options) -> EventTable:
+    """A table written by ``save_events``."""
+    return EventTable.of(spark.read.parquet(path), **options)
