@@ -21,10 +21,12 @@ def normal_names(header: list[str | None]) -> list[str]:
     named = [h.removeprefix("﻿") if h and h.strip() else next(blanks) for h in header]
     seen: set[str] = set()
     unique = []
-    for name in named:
-        numbered = (f"{name}_{n}" for n in count(2))
-        while name.lower() in seen:
-            name = next(numbered)
+    for base in named:
+        name = base
+        for n in count(2):
+            if name.lower() not in seen:
+                break
+            name = f"{base}_{n}"
         seen.add(name.lower())
         unique.append(name)
     return unique

@@ -33,22 +33,23 @@ def open_events(spark: SparkSession, path: str, options: FileOptions | None = No
                 time_col: str | None = None, display_zone: str | None = None,
                 file_hash: str = "", sources: Sources | None = None,
                 exclude: tuple[str, ...] = (), max_files: int = directory.MAX_FILES,
-                multiline: bool | None = None) -> EventTable:
-    """A file or directory as an event table. For repeated use of text logs write the
+                multiline: bool | None = None, kind: str = "") -> EventTable:
+    """A file or directory as an event table. ``kind`` (csv, json, xlsx) overrules the
+    ending. For repeated use of text logs write the
     table to Parquet once (``save_events``) and open that."""
     options = options or FileOptions()
     sources = sources or standard_sources()
     if options.is_directory:
-        rows = _directory(spark, path, options, sources, exclude, max_files, multiline)
+        rows = _directory(spark, path, options, sources, exclude, max_files, multiline, kind)
     else:
-        rows = _file(spark, path, options, sources, multiline)
+        rows = _file(spark, path, options, sources, multiline, kind)
     return EventTable.of(rows, time_col=time_col, ingest_zone=options.ingest_tz,
                          display_zone=display_zone, file_key=file_key(file_hash, options))
 
 
 def _file(spark: SparkSession, path: str, options: FileOptions, sources: Sources,
-          multiline: bool | None) -> DataFrame:
-    kind = kind_of(path, options, sources)
+          multiline: bool | None, kind: str) -> DataFrame:
+    kind = kind or kind_of(path, options, sources)
     if kind == "plugin":
         loader = sources.find(path, options.plugin_id)
         if loader is None:
@@ -82,8 +83,8 @@ def _json(spark: SparkSession, paths: list[str], jpath: str, keep_file: bool = F
 
 
 def _directory(spark: SparkSession, root: str, options: FileOptions, sources: Sources,
-               exclude: tuple[str, ...], max_files: int, multiline: bool | None) -> DataFrame:
-    kind = kind_of(options.file_pattern, options, sources)
+               exclude: tuple[str, ...], max_files: int, multiline: bool | None, kind: str) -> DataFrame:
+    kind = kind or kind_of(options.file_pattern, options, sources)
     if kind == "csv":
         return directory.read_csv_directory(
             spark, root, options.file_pattern, exclude=exclude, max_files=max_files,
