@@ -86,9 +86,11 @@ def json_value(cell: Column, path: str) -> Column:
     segments = _segments(path)
     parsed = _parsed(cell)
     if len(segments) == 1:
-        found = _at(parsed, segments[0][0])
-    else:
-        found = F.get(_matches(parsed, segments), F.lit(0))
+        path = segments[0][0]
+        # The common case, a value, is parsed once; only its absence is looked at again.
+        return F.coalesce(F.try_variant_get(parsed, path, "string"),
+                          F.when(F.is_variant_null(_at(parsed, path)), ""))
+    found = F.get(_matches(parsed, segments), F.lit(0))
     return F.when(found.isNotNull(),
                   F.coalesce(F.try_variant_get(found, "$", "string"), F.lit("")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +38,12 @@ def _found(cell: Column, pattern: str, regex: bool) -> tuple[Column, Column]:
     return start, start + len(pattern)
 
 
+def _has(cell: Column, pattern: str, regex: bool) -> Column:
+    if regex:
+        return (cell != "") & cell.rlike(pattern)
+    return F.lower(cell).contains(pattern.lower())
+
+
 def find(table: EventTable, pattern: str, *, regex: bool = False,
          max_hits: int | None = MAX_HITS) -> DataFrame:
     """First match in every cell, in row then column order.
@@ -49,16 +56,26 @@ def find(table: EventTable, pattern: str, *, regex: bool = False,
         return table.df.sparkSession.createDataFrame([], (
             "row_pos bigint, column_index int, column_name string, match_start int, "
             "match_end int, snippet string"))
+    shown = [f"_cell{i}" for i in range(len(table.columns))]
+    seen = table.keeping(table.df.withColumns(
+        {place: table.shown(name) for place, name in zip(shown, table.columns)}))
+    if table.whole and not table.order:
+        # Positions are row indexes, so rows without a hit can go at once.
+        some = reduce(lambda a, b: a | b, (_has(F.col(c), pattern, regex) for c in shown))
+        seen = replace(seen.keeping(seen.df.filter(some)), whole=True)
+    else:
+        seen = replace(seen, whole=table.whole)
     hits = []
-    for index, name in enumerate(table.columns):
-        cell = table.shown(name)
+    for index, (place, name) in enumerate(zip(shown, table.columns)):
+        cell = F.col(place)
         start, end = _found(cell, pattern, regex)
-        hits.append(F.when((cell != "") & (start >= 0), F.struct(
+        hits.append(F.when(_has(cell, pattern, regex), F.struct(
             F.lit(index).alias("column_index"), F.lit(name).alias("column_name"),
             start.cast("int").alias("match_start"), end.cast("int").alias("match_end"),
             snippet(cell, start, end).alias("snippet"))))
-    placed = table.positions(F.array_compact(F.array(*hits)).alias("hits"), name="row_pos")
-    rows = placed.filter(F.size("hits") > 0).select("row_pos", F.inline("hits"))
+    placed = seen.positions(F.array(*hits).alias("hits"), name="row_pos")
+    rows = (placed.select("row_pos", F.explode("hits").alias("hit")).filter("hit is not null")
+            .select("row_pos", "hit.*"))
     if max_hits is None:
         return rows
     return rows.orderBy("row_pos", "column_index").limit(max_hits)

@@ -20,7 +20,7 @@ from chronosift.functions import timeparse
 from chronosift.functions.jsonpath import json_cell, json_value
 from chronosift.functions.predicates import Test, all_of
 from chronosift.functions.text import (
-    col, folded, is_blank, number, resolve, split_column_path, text)
+    col, folded, is_blank, number, resolve, split_column_path, text, trimmed)
 from chronosift.operators.ordinal import (
     SINGLE_TASK_ROWS, with_parquet_ordinal, with_position)
 
@@ -38,6 +38,7 @@ class OrderTerm:
     value: Column
     descending: bool = False
     nulls_first: bool = False
+    plain: bool = True
 
     def by(self, value: Column | None = None) -> Column:
         value = self.value if value is None else value
@@ -81,11 +82,17 @@ class EventTable:
         header = tuple(c for c in df.columns if c not in (cls.ROW_INDEX, cls.EVENT_MS))
         chosen = timeparse.time_column(header, time_col)
         if cls.EVENT_MS not in df.columns:
-            when = F.lit(None).cast("bigint")
+            when, kind = F.lit(None).cast("bigint"), None
             if chosen is not None:
-                when = timeparse.millis(
-                    col(chosen), df.schema[chosen].dataType, ingest, _session_zone(df))
-            df = df.withColumn(cls.EVENT_MS, when)
+                kind = df.schema[chosen].dataType
+                when = timeparse.millis(col(chosen), kind, ingest, _session_zone(df))
+            if isinstance(kind, T.StringType):
+                # The trimmed cell as a column of its own: many tests look at it.
+                df = (df.withColumn("_time_text", trimmed(col(chosen)))
+                      .withColumn(cls.EVENT_MS, timeparse.ladder(F.col("_time_text"), ingest))
+                      .drop("_time_text"))
+            else:
+                df = df.withColumn(cls.EVENT_MS, when)
         return cls(df=df, columns=header, display=header, time_col=chosen, file_key=file_key,
                    ingest_zone=ingest, display_zone=timeparse.zone_id(display_zone))
 
@@ -214,7 +221,7 @@ class EventTable:
         column = resolve(name, self.columns)
         return None if column is None else (column, path)
 
-    def _terms(self, key: SortKey) -> list[OrderTerm]:
+    def _terms(self, key: SortKey, value_column: str) -> list[OrderTerm]:
         column, path = self._field(key.spec)
         down = key.descending
         if column == self.time_col and path is None:
@@ -223,19 +230,46 @@ class EventTable:
         if path is None and isinstance(
                 kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
             return [OrderTerm(col(column), down)]
-        value = json_value(col(column), path) if path else col(column)
+        value = F.col(value_column) if path else col(column)
         # Blanks last; numbers before text going up, after text going down.
-        return [OrderTerm(is_blank(value)),
-                OrderTerm(number(value), down, nulls_first=down),
-                OrderTerm(F.lower(text(value)), down)]
+        return [OrderTerm(is_blank(value), plain=False),
+                OrderTerm(number(value), down, nulls_first=down, plain=False),
+                OrderTerm(F.lower(text(value)), down, plain=False)]
+
+    def _valued(self) -> EventTable:
+        """JSON values of sort keys as helper columns, so that they are read once."""
+        rows = self.df
+        for i, key in enumerate(self.order):
+            column, path = self._field(key.spec)
+            if path is not None:
+                rows = rows.withColumn(f"_v{i}", json_value(col(column), path))
+        return replace(self, df=rows)
 
     def order_terms(self) -> list[OrderTerm]:
-        """The total order: sort keys, then the row position."""
-        terms = [term for key in self.order for term in self._terms(key)]
+        """The total order: sort keys, then the row position. On a ``_valued`` table."""
+        terms = [term for i, key in enumerate(self.order) for term in self._terms(key, f"_v{i}")]
         return [*terms, OrderTerm(col(self.ROW_INDEX))]
 
-    def order_by(self) -> list[Column]:
-        return [term.by() for term in self.order_terms()]
+    def keyed(self) -> tuple[DataFrame, list[Column], list[str]]:
+        """Rows with their sort keys as columns, the order over them, and their names.
+
+        A sort compares rows many times; keys that are columns are computed once.
+        """
+        table = self._valued()
+        names, order, rows = [], [], table.df
+        extra = {}
+        for i, term in enumerate(table.order_terms()):
+            if term.plain:
+                order.append(term.by())
+                continue
+            name = f"_k{i}"
+            extra[name] = term.value
+            order.append(term.by(F.col(name)))
+            names.append(name)
+        if extra:
+            rows = rows.withColumns(extra)
+        helpers = [c for c in table.df.columns if c not in self.df.columns]
+        return rows, order, [*names, *helpers]
 
     def limit(self, n: int) -> EventTable:
         """First ``n`` rows of the current order; a count below 1 changes nothing."""
@@ -251,12 +285,13 @@ class EventTable:
         return self.keeping(self._slice(start, end))
 
     def _slice(self, start: int, end: int) -> DataFrame:
+        rows, order, helpers = self.keyed()
         if end <= SINGLE_TASK_ROWS:
-            rows = self.df.orderBy(*self.order_by())
-            return (rows.offset(start) if start else rows).limit(end - start)
+            rows = rows.orderBy(*order)
+            return (rows.offset(start) if start else rows).limit(end - start).drop(*helpers)
         # Too many rows for one task: cut by distributed positions instead.
-        placed = with_position(self.df, self.order_by(), "_position")
-        return placed.filter(F.col("_position").between(start, end - 1)).drop("_position")
+        placed = with_position(rows, order, "_position")
+        return placed.filter(F.col("_position").between(start, end - 1)).drop("_position", *helpers)
 
     def positions(self, *carry: Column, name: str = "position") -> DataFrame:
         """``row_index``, its position in this result, and ``carry`` columns. Only the
@@ -264,23 +299,30 @@ class EventTable:
         if self.whole and not self.order:
             return self.df.select(col(self.ROW_INDEX).alias("row_index"), *carry,
                                   col(self.ROW_INDEX).alias(name))
-        terms = self.order_terms()
-        narrow = self.df.select(
-            col(self.ROW_INDEX).alias("row_index"), *carry,
-            *(t.value.alias(f"_k{i}") for i, t in enumerate(terms)))
-        order = [t.by(F.col(f"_k{i}")) for i, t in enumerate(terms)]
-        return with_position(narrow, order, name).drop(*(f"_k{i}" for i in range(len(terms))))
+        row_index = col(self.ROW_INDEX).alias("row_index")
+        rows, order, helpers = self.keyed()
+        kept = [self.ROW_INDEX, self.EVENT_MS, *helpers, *(
+            c for c in (self._field(k.spec)[0] for k in self.order) if c not in helpers)]
+        carried = [f"_c{i}" for i in range(len(carry))]
+        narrow = rows.select(*(col(c) for c in dict.fromkeys(kept)),
+                             *(c.alias(n) for c, n in zip(carry, carried)))
+        # The carried columns keep the names they were given.
+        names = self.df.select(*carry).columns if carry else []
+        return with_position(narrow, order, "_position").select(
+            row_index, *(F.col(c).alias(n) for c, n in zip(carried, names)),
+            F.col("_position").alias(name))
 
     def position_of(self, row_index: int) -> int | None:
         """Position of one row in this result: a count of the rows before it."""
-        terms = self.order_terms()
+        table = self._valued()
+        terms = table.order_terms()
         keys = F.struct(*(t.value.alias(f"k{i}") for i, t in enumerate(terms)))
-        row = self.df.filter(col(self.ROW_INDEX) == row_index).select(keys.alias("k")).first()
+        row = table.df.filter(col(self.ROW_INDEX) == row_index).select(keys.alias("k")).first()
         if row is None:
             return None
         before, equal = F.lit(False), F.lit(True)
         for i, term in enumerate(terms):
-            kind = self.df.select(term.value).schema[0].dataType
+            kind = table.df.select(term.value).schema[0].dataType
             mine = F.lit(row["k"][i]).cast(kind)
             value = term.value
             if row["k"][i] is None:
@@ -290,7 +332,7 @@ class EventTable:
                 less = F.coalesce(beyond, F.lit(term.nulls_first))
             before = before | (equal & less)
             equal = equal & value.eqNullSafe(mine)
-        return self.df.filter(before).count()
+        return table.df.filter(before).count()
 
     # -- distinct ----------------------------------------------------------
 
@@ -310,9 +352,10 @@ class EventTable:
                 parts.append(folded(col(column)))
             else:
                 parts.append(col(column))
-        window = Window.partitionBy(*parts).orderBy(*self.order_by())
-        kept = (self.df.withColumn("_rank", F.row_number().over(window))
-                .filter(F.col("_rank") == 1).drop("_rank"))
+        rows, order, helpers = self.keyed()
+        window = Window.partitionBy(*parts).orderBy(*order)
+        kept = (rows.withColumn("_rank", F.row_number().over(window))
+                .filter(F.col("_rank") == 1).drop("_rank", *helpers))
         return self.keeping(kept)
 
     # -- results -----------------------------------------------------------
@@ -328,7 +371,10 @@ class EventTable:
         table = self
         if sort_by_time and not self.sorted_by_user and self.time_col is not None:
             table = self.sort((self.time_col, descending))
-        rows = table.df.orderBy(*table.order_by()) if ordered else table.df
+        rows = table.df
+        if ordered:
+            keyed, order, _ = table.keyed()
+            rows = keyed.orderBy(*order)
         through = {resolve(name, table.columns): path for name, path in (paths or {}).items()}
 
         def cell(name: str) -> Column:

@@ -37,29 +37,25 @@ def parse(lines: DataFrame, value: str = "value", year: int | None = None) -> Da
     as message. Classic lines carry no year: it is a parameter, by default this year.
     Other columns of ``lines`` are kept."""
     year = year or datetime.now(timezone.utc).year
-    line = F.regexp_replace(value, r"[\r\n]+$", "")
-    iso, classic, bare = (groups(F.col("_line"), ISO, 6), groups(F.col("_line"), CLASSIC, 7),
-                          groups(F.col("_line"), BARE, 5))
-
-    def stamp(parts: Column) -> Column:
-        date = F.concat_ws("-", F.lit(f"{year:04d}"),
-                           F.lpad(month_number(parts[0]).cast("string"), 2, "0"),
-                           F.lpad(parts[1], 2, "0"))
-        full = F.concat_ws(" ", date, parts[2])
-        return F.when(full.try_cast("timestamp_ntz").isNotNull(), full).otherwise(
-            F.concat_ws(" ", parts[0], parts[1], parts[2]))
+    others = [c for c in lines.columns if c != value]
+    line, cells = F.col("_line"), F.col("_cells")
 
-    def row(*values: Column) -> Column:
-        return F.struct(*(v.alias(c) for v, c in zip(values, COLUMNS)))
+    def as_cells(shape: str, *parts: str) -> Column:
+        return F.split(F.regexp_replace(line, shape, _SEP.join(parts)), _SEP, len(COLUMNS))
 
     empty = F.lit("")
-    parsed = (
-        F.when(F.col("_line").rlike(ISO), row(
-            F.concat_ws(" ", iso[0], iso[1]), iso[2], iso[3], iso[4], iso[5]))
-        .when(F.col("_line").rlike(CLASSIC), row(
-            stamp(classic), classic[3], classic[4], classic[5], classic[6]))
-        .when(F.col("_line").rlike(BARE), row(stamp(bare), bare[3], empty, empty, bare[4]))
-        .otherwise(row(empty, empty, empty, empty, F.col("_line"))))
-    others = [c for c in lines.columns if c != value]
-    return (lines.select(*others, line.alias("_line")).filter("_line <> ''")
-            .select(*others, parsed.alias("_row")).select(*others, "_row.*"))
+    found = (F.when(line.rlike(ISO), as_cells(ISO, "$1 $2", "$3", "$4", "$5", "$6"))
+             .when(line.rlike(CLASSIC), as_cells(CLASSIC, "$1 $2 $3", "$4", "$5", "$6", "$7"))
+             .when(line.rlike(BARE), as_cells(BARE, "$1 $2 $3", "$4", "", "", "$5"))
+             .otherwise(F.array(empty, empty, empty, empty, line)))
+    # 'Jan 15 10:30:00' gets its year; an impossible date stays as it is written.
+    words = F.split(cells[0], " ")
+    full = F.concat(F.lit(f"{year:04d}-"), F.lpad(month_number(words[0]).cast("string"), 2, "0"),
+                    F.lit("-"), F.lpad(words[1], 2, "0"), F.lit(" "), words[2])
+    classic = (cells[0] != "") & (F.substring(cells[0], 5, 1) != "-")
+    rows = (lines.select(*others, F.regexp_replace(value, r"[\r\n]+$", "").alias("_line"))
+            .filter("_line <> ''").select(*others, found.alias("_cells"))
+            .select(*others, "_cells", F.when(classic, full).alias("_full")))
+    stamp = F.when(F.col("_full").try_cast("timestamp_ntz").isNotNull(), F.col("_full")).otherwise(cells[0])
+    return rows.select(*others, stamp.alias(COLUMNS[0]),
+                       *(cells[i].alias(c) for i, c in enumerate(COLUMNS) if i))
