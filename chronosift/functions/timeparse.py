@@ -6,7 +6,7 @@ import re
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo, available_timezones
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ RUNGS: dict[str, str] = {
 }
 ISO = "|".join(RUNGS[n] for n in (
     "zoneless", "iso_offset", "iso_compact_offset", "blank_offset", "zone_name"))
+ZONED = "(?:Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})$"
 EPOCH_MS_ABOVE = 1_000_000_000_000
 
 # Column names that mark the time column, strongest first.
@@ -79,35 +80,44 @@ def rung_of(value: Column) -> Column:
                         for name, shape in RUNGS.items()))
 
 
+def canonical(value: Column) -> Column:
+    """Trimmed text with single blanks and a point before fractions."""
+    cell = trimmed(value)
+    return F.translate(F.when(cell.contains("  "), F.regexp_replace(cell, " +", " ")).otherwise(cell),
+                       ",", ".")
+
+
 def text_millis(value: Column, zone: str = "UTC") -> Column:
     """Epoch milliseconds of a text cell, NULL when no shape fits."""
-    return ladder(trimmed(value), zone)
+    return ladder(canonical(value), zone)
+
+
+def with_text_millis(df: DataFrame, value: Column, name: str, zone: str = "UTC") -> DataFrame:
+    """``df`` with ``text_millis`` as a column. The canonical text is a column on the way:
+    it is looked at many times, and small steps keep the generated code compilable."""
+    return (df.withColumn("_canonical", canonical(value))
+            .withColumn(name, ladder(F.col("_canonical"), zone)).drop("_canonical"))
 
 
 def ladder(cell: Column, zone: str = "UTC") -> Column:
-    """Epoch milliseconds of an already trimmed cell.
+    """Epoch milliseconds of a canonical cell.
 
     Each shape is guarded by its pattern, so the lenient string cast of the engine
     never sees anything the ladder would not take. A row costs at most three pattern
     checks and one cast.
     """
     count = cell.try_cast("bigint")
-    epoch = F.when(count > EPOCH_MS_ABOVE, count).otherwise(
-        F.try_multiply(count, F.lit(1000).cast("bigint")))
-
-    single = F.when(cell.contains("  "), F.regexp_replace(cell, " +", " ")).otherwise(cell)
-    plain = F.translate(single, ",", ".")
-    zoned = (plain.endswith("Z") | plain.endswith("UTC") | plain.endswith("GMT")
-             | F.substring(plain, -6, 1).isin("+", "-") | F.substring(plain, -5, 1).isin("+", "-"))
-    size = F.length(plain)
-    iso = (F.when(size == 10, _local(F.concat(plain, F.lit("T00:00:00Z")), zone))
-           .when(zoned, F.unix_millis(plain.try_cast("timestamp")))
-           .when(size <= 16, _local(F.concat(plain, F.lit(":00Z")), zone))
-           .otherwise(_local(F.concat(plain, F.lit("Z")), zone)))
+    epoch = F.try_multiply(count, F.when(count > EPOCH_MS_ABOVE, 1).otherwise(1000).cast("bigint"))
+    size = F.length(cell)
+    wall = F.concat(cell, F.when(size == 10, "T00:00:00Z").when(size <= 16, ":00Z").otherwise("Z"))
+    zoned = cell.rlike(ZONED)
+    if zone == "UTC":
+        iso = F.unix_millis(F.when(zoned, cell).otherwise(wall).try_cast("timestamp"))
+    else:
+        iso = F.when(zoned, F.unix_millis(cell.try_cast("timestamp"))).otherwise(_local(wall, zone))
     return (F.when(cell.rlike(RUNGS["epoch"]), epoch)
-            .when(F.substring(cell, 3, 1) == "/",
-                  F.when(cell.rlike(RUNGS["day_first_12h"]), _day_first(cell, zone)))
-            .when(cell.rlike(ISO), iso))
+            .when(cell.rlike(ISO), iso)
+            .when(cell.rlike(RUNGS["day_first_12h"]), _day_first(cell, zone)))
 
 
 def _local(utc_text: Column, zone: str) -> Column:

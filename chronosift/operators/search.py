@@ -29,13 +29,17 @@ def snippet(cell: Column, start: Column, end: Column, context: int = CONTEXT) ->
                     F.when(high < F.length(cell), CUT).otherwise(""))
 
 
-def _found(cell: Column, pattern: str, regex: bool) -> tuple[Column, Column]:
-    """0-based start and end of the first match, start -1 without one."""
+def _start(cell: Column, pattern: str, regex: bool) -> Column:
+    """0-based start of the first match."""
     if regex:
-        start = F.regexp_instr(cell, F.lit(pattern)) - 1
-        return start, start + F.length(F.regexp_substr(cell, F.lit(pattern)))
-    start = F.locate(pattern.lower(), F.lower(cell)) - 1
-    return start, start + len(pattern)
+        return F.regexp_instr(cell, F.lit(pattern)) - 1
+    return F.locate(pattern.lower(), F.lower(cell)) - 1
+
+
+def _end(hit: Column, pattern: str, regex: bool) -> Column:
+    if regex:
+        return hit["s"] + F.length(F.regexp_substr(hit["cell"], F.lit(pattern)))
+    return hit["s"] + len(pattern)
 
 
 def _has(cell: Column, pattern: str, regex: bool) -> Column:
@@ -65,17 +69,21 @@ def find(table: EventTable, pattern: str, *, regex: bool = False,
         seen = replace(seen.keeping(seen.df.filter(some)), whole=True)
     else:
         seen = replace(seen, whole=table.whole)
-    hits = []
-    for index, (place, name) in enumerate(zip(shown, table.columns)):
-        cell = F.col(place)
-        start, end = _found(cell, pattern, regex)
-        hits.append(F.when(_has(cell, pattern, regex), F.struct(
-            F.lit(index).alias("column_index"), F.lit(name).alias("column_name"),
-            start.cast("int").alias("match_start"), end.cast("int").alias("match_end"),
-            snippet(cell, start, end).alias("snippet"))))
-    placed = seen.positions(F.array(*hits).alias("hits"), name="row_pos")
-    rows = (placed.select("row_pos", F.explode("hits").alias("hit")).filter("hit is not null")
-            .select("row_pos", "hit.*"))
+    # Only cells with a hit are carried on; where and how is looked up in those.
+    found = F.array_compact(F.array(*(
+        F.when(_has(F.col(c), pattern, regex), F.struct(F.lit(i).alias("i"), F.col(c).alias("cell")))
+        for i, c in enumerate(shown))))
+    placed = F.transform(found, lambda hit: F.struct(
+        hit["i"].alias("i"), hit["cell"].alias("cell"), _start(hit["cell"], pattern, regex).alias("s")))
+    ended = F.transform(placed, lambda hit: F.struct(
+        hit["i"].alias("i"), hit["s"].alias("s"), _end(hit, pattern, regex).alias("e"),
+        snippet(hit["cell"], hit["s"], _end(hit, pattern, regex)).alias("snippet")))
+    names = F.array(*(F.lit(c) for c in table.columns))
+    rows = seen.positions(ended.alias("hits"), name="row_pos").select(
+        "row_pos", F.inline("hits").alias("column_index", "match_start", "match_end", "snippet"))
+    rows = rows.select("row_pos", "column_index", F.element_at(names, F.col("column_index") + 1).alias("column_name"),
+                       F.col("match_start").cast("int").alias("match_start"),
+                       F.col("match_end").cast("int").alias("match_end"), "snippet")
     if max_hits is None:
         return rows
     return rows.orderBy("row_pos", "column_index").limit(max_hits)

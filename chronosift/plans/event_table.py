@@ -20,7 +20,7 @@ from chronosift.functions import timeparse
 from chronosift.functions.jsonpath import json_cell, json_value
 from chronosift.functions.predicates import Test, all_of
 from chronosift.functions.text import (
-    col, folded, is_blank, number, resolve, split_column_path, text, trimmed)
+    col, folded, is_blank, number, resolve, split_column_path, text)
 from chronosift.operators.ordinal import (
     SINGLE_TASK_ROWS, with_parquet_ordinal, with_position)
 
@@ -87,10 +87,7 @@ class EventTable:
                 kind = df.schema[chosen].dataType
                 when = timeparse.millis(col(chosen), kind, ingest, _session_zone(df))
             if isinstance(kind, T.StringType):
-                # The trimmed cell as a column of its own: many tests look at it.
-                df = (df.withColumn("_time_text", trimmed(col(chosen)))
-                      .withColumn(cls.EVENT_MS, timeparse.ladder(F.col("_time_text"), ingest))
-                      .drop("_time_text"))
+                df = timeparse.with_text_millis(df, col(chosen), cls.EVENT_MS, ingest)
             else:
                 df = df.withColumn(cls.EVENT_MS, when)
         return cls(df=df, columns=header, display=header, time_col=chosen, file_key=file_key,

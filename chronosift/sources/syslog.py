@@ -28,8 +28,8 @@ def groups(line: Column, pattern: str, n: int) -> Column:
 
 def month_number(name: Column) -> Column:
     """Month of an English abbreviation; an unknown one counts as the first."""
-    place = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), name)
-    return F.when(place > 0, place).otherwise(1)
+    place = F.position(name, F.lit("".join(MONTHS)))
+    return F.when(place % 3 == 1, (place + 2) / 3).otherwise(1).cast("int")
 
 
 def parse(lines: DataFrame, value: str = "value", year: int | None = None) -> DataFrame:
@@ -49,13 +49,14 @@ def parse(lines: DataFrame, value: str = "value", year: int | None = None) -> Da
              .when(line.rlike(BARE), as_cells(BARE, "$1 $2 $3", "$4", "", "", "$5"))
              .otherwise(F.array(empty, empty, empty, empty, line)))
     # 'Jan 15 10:30:00' gets its year; an impossible date stays as it is written.
-    words = F.split(cells[0], " ")
+    words = F.col("_words")
     full = F.concat(F.lit(f"{year:04d}-"), F.lpad(month_number(words[0]).cast("string"), 2, "0"),
                     F.lit("-"), F.lpad(words[1], 2, "0"), F.lit(" "), words[2])
     classic = (cells[0] != "") & (F.substring(cells[0], 5, 1) != "-")
     rows = (lines.select(*others, F.regexp_replace(value, r"[\r\n]+$", "").alias("_line"))
             .filter("_line <> ''").select(*others, found.alias("_cells"))
-            .select(*others, "_cells", F.when(classic, full).alias("_full")))
+            .select(*others, "_cells", F.when(classic, F.split(cells[0], " ")).alias("_words"))
+            .select(*others, "_cells", F.when(words.isNotNull(), full).alias("_full")))
     stamp = F.when(F.col("_full").try_cast("timestamp_ntz").isNotNull(), F.col("_full")).otherwise(cells[0])
     return rows.select(*others, stamp.alias(COLUMNS[0]),
                        *(cells[i].alias(c) for i, c in enumerate(COLUMNS) if i))

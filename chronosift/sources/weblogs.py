@@ -69,13 +69,14 @@ def parse_iis(lines: DataFrame, value: str = "value") -> DataFrame:
     """IIS native lines: 15 comma fields, local time with a two-digit year."""
     others = _others(lines, value)
     rows = (lines.withColumn("_line", _line(value)).filter("_line <> ''")
-            .select(*others, F.split("_line", ",").alias("_p")))
+            .select(*others, F.transform(F.split("_line", ","), lambda p: F.trim(p)).alias("_p"))
+            .select(*others, "_p", F.transform("_p", lambda p: _no_dash(p)).alias("_shown"),
+                    F.split(F.get("_p", F.lit(2)), "/").alias("_date")))
 
-    def part(i: int) -> Column:
-        return F.trim(F.coalesce(F.get("_p", F.lit(i)), F.lit("")))
+    def part(i: int, source: str = "_p") -> Column:
+        return F.coalesce(F.get(source, F.lit(i)), F.lit(""))
 
-    date, time = part(2), part(3)
-    pieces = F.split(date, "/")
+    date, time, pieces = part(2), part(3), F.col("_date")
     year = pieces[2]
     century = F.when(year.try_cast("int") >= CENTURY_PIVOT, "19").otherwise("20")
     full_year = F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year)
@@ -87,27 +88,27 @@ def parse_iis(lines: DataFrame, value: str = "value") -> DataFrame:
              .otherwise(F.concat(date, F.lit(" "), time)))
     places = (0, 1, *range(4, 15))
     return rows.select(*others, stamp.alias("timestamp"), *(
-        _no_dash(part(i)).alias(c) for i, c in zip(places, IIS_COLUMNS[1:])))
+        part(i, "_shown").alias(c) for i, c in zip(places, IIS_COLUMNS[1:])))
 
 
 def parse_ncsa(lines: DataFrame, value: str = "value") -> DataFrame:
     """NCSA common lines; others are dropped. The time keeps its offset."""
     others = _others(lines, value)
     rows = (lines.withColumn("_line", _line(value)).filter(F.col("_line").rlike(NCSA_LINE))
-            .select(*others, groups(F.col("_line"), NCSA_LINE, 7).alias("_p")))
-    raw = F.col("_p")[3]
-    t = groups(raw, NCSA_TIME, 6)
+            .select(*others, groups(F.col("_line"), NCSA_LINE, 7).alias("_p"))
+            .select(*others, F.transform("_p", lambda p: _no_dash(p)).alias("_p"), F.col("_p")[3].alias("_raw"),
+                    F.split(F.col("_p")[4], " ", 3).alias("_request"))
+            .select("*", F.when(F.col("_raw").rlike(NCSA_TIME), groups(F.col("_raw"), NCSA_TIME, 6)).alias("_t")))
+    t = F.col("_t")
     iso = F.concat(t[2], F.lit("-"), F.lpad(month_number(t[1]).cast("string"), 2, "0"), F.lit("-"),
                    F.lpad(t[0], 2, "0"), F.lit("T"), t[3],
                    F.when(t[4] != "", F.concat(t[4], F.lit(":"), t[5])).otherwise(""))
-    stamp = F.when(raw.rlike(NCSA_TIME), iso).otherwise(raw)
-    request = F.split(F.col("_p")[4], " ", 3)
-    word = lambda i: F.coalesce(F.get(request, F.lit(i)), F.lit(""))
+    word = lambda i: F.coalesce(F.get("_request", F.lit(i)), F.lit(""))
     return rows.select(
-        *others, stamp.alias("timestamp"), _no_dash(F.col("_p")[0]).alias("client_ip"),
-        _no_dash(F.col("_p")[1]).alias("ident"), _no_dash(F.col("_p")[2]).alias("username"),
+        *others, F.coalesce(iso, "_raw").alias("timestamp"), F.col("_p")[0].alias("client_ip"),
+        F.col("_p")[1].alias("ident"), F.col("_p")[2].alias("username"),
         word(0).alias("method"), word(1).alias("uri"), word(2).alias("protocol"),
-        F.col("_p")[5].alias("status_code"), _no_dash(F.col("_p")[6]).alias("bytes_sent"))
+        F.col("_p")[5].alias("status_code"), F.col("_p")[6].alias("bytes_sent"))
 
 
 def vote(lines: DataFrame, value: str = "value", file: str = "_file",
