@@ -37,14 +37,11 @@ class OrderTerm:
     """One expression of the physical order."""
     value: Column
     descending: bool = False
-    nulls_first: bool = False
     plain: bool = True
 
     def by(self, value: Column | None = None) -> Column:
         value = self.value if value is None else value
-        if self.descending:
-            return value.desc_nulls_first() if self.nulls_first else value.desc_nulls_last()
-        return value.asc_nulls_first() if self.nulls_first else value.asc_nulls_last()
+        return value.desc_nulls_last() if self.descending else value.asc_nulls_last()
 
 
 @dataclass(frozen=True)
@@ -218,33 +215,39 @@ class EventTable:
         column = resolve(name, self.columns)
         return None if column is None else (column, path)
 
-    def _terms(self, key: SortKey, value_column: str) -> list[OrderTerm]:
+    def _is_text(self, key: SortKey) -> bool:
+        """Whether a key holds text that may be numbers, words or blank."""
         column, path = self._field(key.spec)
-        down = key.descending
-        if column == self.time_col and path is None:
-            return [OrderTerm(col(self.EVENT_MS), down)]
-        kind = self.df.schema[column].dataType
-        if path is None and isinstance(
-                kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
-            return [OrderTerm(col(column), down)]
-        value = F.col(value_column) if path else col(column)
-        # Blanks last; numbers before text going up, after text going down.
-        return [OrderTerm(is_blank(value), plain=False),
-                OrderTerm(number(value), down, nulls_first=down, plain=False),
-                OrderTerm(F.lower(text(value)), down, plain=False)]
+        return path is not None or (column != self.time_col and isinstance(
+            self.df.schema[column].dataType, T.StringType))
 
     def _valued(self) -> EventTable:
-        """JSON values of sort keys as helper columns, so that they are read once."""
-        rows = self.df
+        """Text sort keys and their numbers as helper columns, so that they are read once."""
+        texts, numbers = {}, {}
         for i, key in enumerate(self.order):
-            column, path = self._field(key.spec)
-            if path is not None:
-                rows = rows.withColumn(f"_v{i}", json_value(col(column), path))
-        return replace(self, df=rows)
+            if self._is_text(key):
+                column, path = self._field(key.spec)
+                texts[f"_v{i}"] = json_value(col(column), path) if path else text(col(column))
+                numbers[f"_n{i}"] = number(F.col(f"_v{i}"))
+        if not texts:
+            return self
+        return replace(self, df=self.df.withColumns(texts).withColumns(numbers))
+
+    def _terms(self, i: int, key: SortKey) -> list[OrderTerm]:
+        column, _ = self._field(key.spec)
+        down = key.descending
+        if not self._is_text(key):
+            return [OrderTerm(col(self.EVENT_MS if column == self.time_col else column), down)]
+        value, as_number = F.col(f"_v{i}"), F.col(f"_n{i}")
+        # Numbers before text going up, after it going down; blanks last both ways.
+        kind = (F.when(as_number.isNotNull(), 1 if down else 0)
+                .when(is_blank(value), 2).otherwise(0 if down else 1))
+        words = F.when(as_number.isNull() & ~is_blank(value), F.lower(value))
+        return [OrderTerm(kind, plain=False), OrderTerm(as_number, down), OrderTerm(words, down, plain=False)]
 
     def order_terms(self) -> list[OrderTerm]:
         """The total order: sort keys, then the row position. On a ``_valued`` table."""
-        terms = [term for i, key in enumerate(self.order) for term in self._terms(key, f"_v{i}")]
+        terms = [term for i, key in enumerate(self.order) for term in self._terms(i, key)]
         return [*terms, OrderTerm(col(self.ROW_INDEX))]
 
     def keyed(self) -> tuple[DataFrame, list[Column], list[str]]:
@@ -323,10 +326,10 @@ class EventTable:
             mine = F.lit(row["k"][i]).cast(kind)
             value = term.value
             if row["k"][i] is None:
-                less = value.isNotNull() & F.lit(not term.nulls_first)
+                less = value.isNotNull()
             else:
                 beyond = value > mine if term.descending else value < mine
-                less = F.coalesce(beyond, F.lit(term.nulls_first))
+                less = F.coalesce(beyond, F.lit(False))
             before = before | (equal & less)
             equal = equal & value.eqNullSafe(mine)
         return table.df.filter(before).count()
