@@ -97,3 +97,21 @@ def with_position(df: DataFrame, order: list[Column], name: str,
         "*", F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().alias("_seq"))
     return number_blocks(pinned(placed), ["_part"], name, "_seq").drop("_part", "_seq")
+
+
+def slice_rows(df: DataFrame, order: list[Column], start: int, end: int,
+               single_task: int = SINGLE_TASK_ROWS) -> DataFrame:
+    """Rows at positions ``[start, end)`` of a total order.
+
+    Up to ``single_task`` rows a top-k brings the first ``end`` rows together and numbers
+    them; beyond that the rows are cut by distributed positions. OFFSET is not used:
+    runtime re-planning may take it into account twice and drop a later sort.
+    """
+    if end <= single_task:
+        top = df.orderBy(*order).limit(end)
+        if start == 0:
+            return top
+        numbered = top.withColumn("_nth", F.row_number().over(Window.orderBy(*order)))
+        return numbered.filter(F.col("_nth") > start).drop("_nth")
+    placed = with_position(df, order, "_nth")
+    return placed.filter(F.col("_nth").between(start, end - 1)).drop("_nth")

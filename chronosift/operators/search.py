@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosift.functions.text import col
+from chronosift.operators.ordinal import slice_rows
 from chronosift.plans.event_table import EventTable
 
 # Fixed values.
@@ -91,8 +92,7 @@ def find(table: EventTable, pattern: str, *, regex: bool = False,
 
 def hit_page(hits: DataFrame, page: int, size: int = PAGE) -> DataFrame:
     """One page of hits, pages counted from 0."""
-    rows = hits.orderBy("row_pos", "column_index")
-    return (rows.offset(page * size) if page else rows).limit(size)
+    return slice_rows(hits, [F.col("row_pos"), F.col("column_index")], page * size, (page + 1) * size)
 
 
 def highlight(table: EventTable, terms: list[str]) -> DataFrame:

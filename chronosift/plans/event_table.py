@@ -22,7 +22,7 @@ from chronosift.functions.predicates import Test, all_of
 from chronosift.functions.text import (
     col, folded, is_blank, number, resolve, split_column_path, text)
 from chronosift.operators.ordinal import (
-    SINGLE_TASK_ROWS, with_parquet_ordinal, with_position)
+    SINGLE_TASK_ROWS, slice_rows, with_parquet_ordinal, with_position)
 
 
 @dataclass(frozen=True)
@@ -286,12 +286,7 @@ class EventTable:
 
     def _slice(self, start: int, end: int) -> DataFrame:
         rows, order, helpers = self.keyed()
-        if end <= SINGLE_TASK_ROWS:
-            rows = rows.orderBy(*order)
-            return (rows.offset(start) if start else rows).limit(end - start).drop(*helpers)
-        # Too many rows for one task: cut by distributed positions instead.
-        placed = with_position(rows, order, "_position")
-        return placed.filter(F.col("_position").between(start, end - 1)).drop("_position", *helpers)
+        return slice_rows(rows, order, start, end, SINGLE_TASK_ROWS).drop(*helpers)
 
     def positions(self, *carry: Column, name: str = "position") -> DataFrame:
         """``row_index``, its position in this result, and ``carry`` columns. Only the

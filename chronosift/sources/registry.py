@@ -26,7 +26,8 @@ class Sources:
     def register(self, source_id: str, endings: list[str], loader: Loader) -> None:
         self._by_id.setdefault(source_id, loader)
         for ending in endings:
-            self._by_ending.setdefault("." + ending.lower().lstrip("."), source_id)
+            ending = ending.lower()
+            self._by_ending.setdefault(ending if "." in ending else "." + ending, source_id)
 
     def find(self, path: str, source_id: str = "") -> Loader | None:
         if source_id:
