@@ -66,19 +66,21 @@ def with_file_ordinal(placed: DataFrame, name: str) -> DataFrame:
 def with_parquet_ordinal(df: DataFrame, name: str) -> DataFrame:
     """0-based row position over Parquet files in path order.
 
-    The position inside a file is stored in the file, so nothing is shuffled: one
-    file needs no second pass at all, several need one count per file.
+    The position inside a file is stored in the file, so no row is shuffled and
+    nothing is pinned: one file needs no second pass at all, several need the row
+    count of each file, which is read lazily and without any data column.
     """
-    located = df.select("*", F.col("_metadata.row_index").alias("_in_file"))
+    in_file = F.col("_metadata.row_index")
     files = df.inputFiles()
     if len(files) <= 1:
-        return located.withColumnRenamed("_in_file", name)
-    located = located.withColumn("_file", F.input_file_name())
-    counts = (df.select(F.col("_metadata.row_index").alias("_in_file"))
-              .withColumn("_file", F.input_file_name())
+        return df.select("*", in_file.alias(name))
+    counts = (df.select(in_file.alias("_in_file"), F.input_file_name().alias("_file"))
               .groupBy("_file").agg((F.max("_in_file") + 1).alias("_n")))
-    offsets = pinned(running_offsets(counts, "_n", "_file").drop("_n"))
-    return (located.join(small_side(offsets), "_file")
+    offsets = running_offsets(counts, "_n", "_file").drop("_n")
+    if len(files) <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    located_rows = df.select("*", in_file.alias("_in_file"), F.input_file_name().alias("_file"))
+    return (located_rows.join(offsets, "_file")
             .withColumn(name, F.col("_offset") + F.col("_in_file"))
             .drop("_offset", "_in_file", "_file"))
 

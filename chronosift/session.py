@@ -56,11 +56,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, with its lineage cut.
+    """``df`` written once to the shared folder as Parquet and read back from there.
 
     Used where a value depends on how the rows were laid out in tasks (file
     ordinals, ranks), so that a second pass or a lost executor cannot see another
-    layout.
+    layout. Later passes read only the columns they need.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,17 +16,14 @@ TIME, PATH, DESCRIPTION, NOTE = (
     "_TT_timestamp", "_TT_filepath", "_TT_file_description", "_TT_note")
 
 
-def _part(table: EventTable, annotations: DataFrame, registry: DataFrame, pattern: str) -> DataFrame:
+def _part(table: EventTable, annotations: DataFrame, path: str, description: str,
+          pattern: str) -> DataFrame:
     marks = annotations.filter(F.col("file_key") == table.file_key).select(
         F.col("row_index").alias(table.ROW_INDEX), F.coalesce("note", F.lit("")).alias(NOTE))
-    about = registry.filter(F.col("file_key") == table.file_key).select(
-        F.coalesce("file_path", F.lit("")).alias(PATH),
-        F.coalesce("description", F.lit("")).alias(DESCRIPTION)).limit(1)
-    facts = about.first() or {PATH: "", DESCRIPTION: ""}
     others = [c for c in table.columns if c != table.time_col]
     return table.df.join(marks, table.ROW_INDEX).select(
         table.shown(table.time_col, pattern).alias(TIME),
-        F.lit(facts[PATH]).alias(PATH), F.lit(facts[DESCRIPTION]).alias(DESCRIPTION), NOTE,
+        F.lit(path).alias(PATH), F.lit(description).alias(DESCRIPTION), NOTE,
         *(text(col(c)).alias(c) for c in others),
         col(table.EVENT_MS).alias("_ms"), col(table.ROW_INDEX).alias("_row"))
 
@@ -43,7 +40,14 @@ def timeline(tables: list[EventTable], annotations: DataFrame, registry: DataFra
     if not usable:
         raise ValueError("no file has a time column")
     current = latest_per_row(annotations)
-    parts = [_part(t, current, registry, pattern) for t in usable]
+    # One record per table handed in.
+    facts = {r["file_key"]: r for r in registry.filter(
+        F.col("file_key").isin([t.file_key for t in usable])).collect()}
+
+    def fact(table: EventTable, name: str) -> str:
+        return (facts[table.file_key][name] if table.file_key in facts else None) or ""
+
+    parts = [_part(t, current, fact(t, "file_path"), fact(t, "description"), pattern) for t in usable]
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     lead = [TIME, PATH, DESCRIPTION, NOTE]
     names = sorted(c for c in united.columns if c not in (*lead, "_ms", "_row"))
