@@ -881,7 +881,20 @@ def find_page(spark, sf):
     return hit_page(hits, 1).select("row_pos", "column_index")
 
 
-@query("highlight", None)
+@query("highlight", """
+with c as (select row_number() over (order by conv_id, turn) - 1 as row_index, * from conversations),
+cells as (select row_index, 0 as column_index, cast(conv_id as varchar) as cell from c
+  union all select row_index, 1, cast(turn as varchar) from c
+  union all select row_index, 2, lower(role) from c union all select row_index, 3, lower(text) from c),
+places as (select row_index, column_index, i as s, i + length(t) as e
+  from (select *, unnest(range(length(cell))) as i from cells), (select unnest(['en', 'nte', 'the ']) as t)
+  where substring(cell, i + 1, length(t)) = t),
+reached as (select *, max(e) over (partition by row_index, column_index order by s, e
+  rows between unbounded preceding and 1 preceding) as reach from places),
+islands as (select *, sum(case when s <= reach then 0 else 1 end) over (partition by row_index, column_index
+  order by s, e rows unbounded preceding) as island from reached)
+select row_index, column_index, min(s) as span_start, max(e) as span_end from islands
+group by row_index, column_index, island""")
 def highlight(spark, sf):
     from chronosift.operators.search import highlight as spans
     return spans(table(spark, sf, "conversations"), ["en", "nte", "the "])

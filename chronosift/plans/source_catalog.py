@@ -135,6 +135,16 @@ def source_json_objects(spark, sf):
     return t.result(ordered=False)
 
 
+@query("source_json_preview", """
+select cast(event_id as varchar) as event_id, event_type, props, cast(user_id as varchar) as user_id from events
+where event_id < 1000 order by cast(event_id as varchar) limit 5""")
+def source_json_preview(spark, sf):
+    """First records of one of the documents."""
+    from chronosift.sources.jsonfiles import preview
+    path = _arrays(spark, sf, F.struct("event_id", "event_type", "user_id", "props"), "peek")
+    return preview(spark, f"{path}/chunk=0/*.txt", "$.data.records")
+
+
 @query("source_json_arrays", """
 select cast(event_id as varchar) as id, event_type as type, props as detail from events""")
 def source_json_arrays(spark, sf):
@@ -319,13 +329,13 @@ def directory_fingerprint(spark, sf):
                                  "directory_hash string, changed boolean")
 
 
-@query("directory_preview")
+@query("directory_preview", "select 'event_id,ts,user_id,event_type,props' as header, true as has_files")
 def directory_preview(spark, sf):
     from chronosift.sources.directory import preview
     path = scratch_path(spark, "preview")
     _log(spark, sf).write.options(**CSV).csv(path)
     _, header, n, size = preview(spark, path, "*.csv")
-    return spark.createDataFrame([(",".join(header), n, size)], "header string, files bigint, bytes bigint")
+    return spark.createDataFrame([(",".join(header), n > 0 and size > 0)], "header string, has_files boolean")
 
 
 # ---------------------------------------------------------------------------
