@@ -28,19 +28,26 @@ def running_offsets(blocks: DataFrame, count: str, *order: str) -> DataFrame:
         "_offset", F.coalesce(F.sum(count).over(before), F.lit(0)).cast("bigint"))
 
 
+def _block_offsets(df: DataFrame, block: list[str], within: str) -> DataFrame:
+    blocks = df.groupBy(*block).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(within).alias("_first"))
+    return running_offsets(blocks, "_n", *block).select(*block, "_offset", "_first")
+
+
+def _shift(df: DataFrame, offsets: DataFrame, block: list[str], name: str, within: str) -> DataFrame:
+    return (df.join(offsets, block)
+            .withColumn(name, (F.col("_offset") + F.col(within) - F.col("_first")).cast("bigint"))
+            .drop("_offset", "_first"))
+
+
 def number_blocks(df: DataFrame, block: list[str], name: str, within: str) -> DataFrame:
     """Global 0-based positions from a position inside each block.
 
     ``df`` must be pinned: it is read twice. ``within`` need not start at 0, the
     smallest value of each block is subtracted.
     """
-    blocks = df.groupBy(*block).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(within).alias("_first"))
-    offsets = pinned(running_offsets(blocks, "_n", *block).select(
-        *block, "_offset", "_first"))
-    return (df.join(small_side(offsets), block)
-            .withColumn(name, (F.col("_offset") + F.col(within) - F.col("_first")).cast("bigint"))
-            .drop("_offset", "_first"))
+    offsets = pinned(_block_offsets(df, block, within))
+    return _shift(df, small_side(offsets), block, name, within)
 
 
 def located(df: DataFrame) -> DataFrame:
@@ -98,7 +105,10 @@ def with_position(df: DataFrame, order: list[Column], name: str,
     placed = spread.sortWithinPartitions(*order).select(
         "*", F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().alias("_seq"))
-    return number_blocks(pinned(placed), ["_part"], name, "_seq").drop("_part", "_seq")
+    rows = pinned(placed)
+    # One row per shuffle partition, so its size is bounded by their number.
+    offsets = F.broadcast(_block_offsets(rows, ["_part"], "_seq"))
+    return _shift(rows, offsets, ["_part"], name, "_seq").drop("_part", "_seq")
 
 
 def slice_rows(df: DataFrame, order: list[Column], start: int, end: int,

@@ -80,7 +80,7 @@ def find(table: EventTable, pattern: str, *, regex: bool = False,
         hit["i"].alias("i"), hit["s"].alias("s"), _end(hit, pattern, regex).alias("e"),
         snippet(hit["cell"], hit["s"], _end(hit, pattern, regex)).alias("snippet")))
     names = F.array(*(F.lit(c) for c in table.columns))
-    rows = seen.positions(ended.alias("hits"), name="row_pos").select(
+    rows = seen.positions(ended.alias("hits"), name="row_pos", costly=True).select(
         "row_pos", F.inline("hits").alias("column_index", "match_start", "match_end", "snippet"))
     rows = rows.select("row_pos", "column_index", F.element_at(names, F.col("column_index") + 1).alias("column_name"),
                        F.col("match_start").cast("int").alias("match_start"),

@@ -21,6 +21,7 @@ from chronosift.functions.jsonpath import json_cell, json_value
 from chronosift.functions.predicates import Test, all_of
 from chronosift.functions.text import (
     col, folded, is_blank, number, resolve, split_column_path, text)
+from chronosift.session import pinned
 from chronosift.operators.ordinal import (
     SINGLE_TASK_ROWS, slice_rows, with_parquet_ordinal, with_position)
 
@@ -288,9 +289,13 @@ class EventTable:
         rows, order, helpers = self.keyed()
         return slice_rows(rows, order, start, end, SINGLE_TASK_ROWS).drop(*helpers)
 
-    def positions(self, *carry: Column, name: str = "position") -> DataFrame:
+    def positions(self, *carry: Column, name: str = "position", costly: bool = False) -> DataFrame:
         """``row_index``, its position in this result, and ``carry`` columns. Only the
-        sort keys and the carried columns move through the shuffle."""
+        sort keys and the carried columns move through the shuffle.
+
+        Range partitioning looks at its input twice. Computed sort keys, and carried
+        columns said to be ``costly``, are therefore written down first.
+        """
         if self.whole and not self.order:
             return self.df.select(col(self.ROW_INDEX).alias("row_index"), *carry,
                                   col(self.ROW_INDEX).alias(name))
@@ -301,6 +306,8 @@ class EventTable:
         carried = [f"_c{i}" for i in range(len(carry))]
         narrow = rows.select(*(col(c) for c in dict.fromkeys(kept)),
                              *(c.alias(n) for c, n in zip(carry, carried)))
+        if helpers or costly:
+            narrow = pinned(narrow)
         # The carried columns keep the names they were given.
         names = self.df.select(*carry).columns if carry else []
         return with_position(narrow, order, "_position").select(
