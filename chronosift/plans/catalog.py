@@ -434,9 +434,8 @@ def positions(spark, sf):
 
 
 @query("position_of_row", """
-select row_index, (select count(*) from events e join events t on t.event_id = row_index
-  where e.value > t.value or (e.value = t.value and e.event_id < t.event_id)) as position
-from (select unnest([0, 17, 500]) as row_index)""")
+select cast(event_id as int) as row_index, position from (select event_id,
+  row_number() over (order by value desc, event_id) - 1 as position from events) where event_id in (0, 17, 500)""")
 def position_of_row(spark, sf):
     t = events(spark, sf).sort(("value", True))
     return spark.createDataFrame([(i, t.position_of(i)) for i in (0, 17, 500)],
