@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronosift.functions.text import trimmed
+from chronosift.functions.text import text, trimmed
 
 # The accepted shapes, in the order they are tried.
 _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -339,11 +339,7 @@ def zone_abbreviation(event_ms: Column, zone: str) -> Column:
 def display_or_raw(value: Column, event_ms: Column, zone: str = "UTC",
                    pattern: str = DEFAULT_PATTERN, session_zone: str = "UTC") -> Column:
     """Formatted time, or the cell as it is when it did not parse."""
-    return F.coalesce(display_time(event_ms, zone, pattern, session_zone), text_of(value))
-
-
-def text_of(value: Column) -> Column:
-    return F.coalesce(value.cast("string"), F.lit(""))
+    return F.coalesce(display_time(event_ms, zone, pattern, session_zone), text(value))
 
 
 _PARTIAL = re.compile(r"(\d{4}-\d{2}-\d{2})(?:[T ](\d{1,2})(?::(\d{2}))?)?")

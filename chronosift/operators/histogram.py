@@ -54,11 +54,6 @@ def choose_width(start_ms: int, end_ms: int, max_buckets: int = MAX_BUCKETS) ->
     return next((w for w in WIDTHS if -(-span // w) <= max_buckets), WIDTHS[-1])
 
 
-def bucket_of(event_ms: Column, width_s: int) -> Column:
-    width = width_s * 1000
-    return (F.floor(event_ms / F.lit(width)) * width).cast("bigint")
-
-
 def bucket_counts(table: EventTable, width_s: int) -> DataFrame:
     """Counts of the buckets that have rows. Partial counts are made before the
     shuffle, so only one small row per bucket and task moves."""
