@@ -19,7 +19,6 @@ SCHEMA = ("annotation_id string, file_key string, row_index bigint, note string,
 # Fixed values.
 COLORS = ("white", "grey", "blue", "green", "yellow", "orange", "red")
 DEFAULT_COLOR = "grey"
-MAX_BATCH = 256
 MAX_NOTE, MAX_COLOR, MAX_PATH, MAX_HASH, MAX_ID = 512, 16, 512, 64, 46
 UUID_SHAPE = "[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}"
 HASH_SHAPE = "^([0-9a-fA-F]{2})+$|^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
@@ -180,14 +179,12 @@ def batch_update(annotations: DataFrame, updates: DataFrame,
                  at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(new table, counts). ``updates`` has annotation_id, note, color; blank values keep
     the old ones, unknown ids count as failures."""
-    n = updates.limit(MAX_BATCH + 1).count()
-    if not 1 <= n <= MAX_BATCH:
-        raise ValueError(f"a batch has 1 to {MAX_BATCH} updates")
+    if updates.isEmpty():
+        raise ValueError("a batch has at least one update")
     now = F.current_timestamp() if at is None else at
     changed = updates.select("annotation_id", F.col("note").alias("_note"),
                              F.col("color").alias("_color"), F.lit(True).alias("_hit"))
-    # At most MAX_BATCH rows, counted above.
-    joined = annotations.join(F.broadcast(changed), "annotation_id", "left")
+    joined = annotations.join(changed, "annotation_id", "left")
     hit = F.col("_hit").isNotNull()
     table = joined.select(
         "annotation_id", *_KEY,
@@ -206,10 +203,10 @@ def batch_update(annotations: DataFrame, updates: DataFrame,
 def batch_create(annotations: DataFrame, file_key: str, row_indexes: list[int], note: str,
                  color: str = DEFAULT_COLOR, author: str = "", batch: str = "",
                  at: Column | None = None) -> DataFrame:
-    """Append 1 to 256 annotations with one note and colour. Rows that already have one
+    """Append annotations with one note and colour, one or more. Rows that already have one
     get another; ``latest_per_row`` settles that on reading."""
-    if not 1 <= len(row_indexes) <= MAX_BATCH:
-        raise ValueError(f"a batch has 1 to {MAX_BATCH} rows")
+    if not row_indexes:
+        raise ValueError("a batch has at least one row")
     if min(row_indexes) < 0:
         raise ValueError("row indexes start at 0")
     spark = annotations.sparkSession

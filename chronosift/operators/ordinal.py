@@ -60,6 +60,12 @@ def located(df: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("_seq"))
 
 
+def dense(placed: DataFrame) -> DataFrame:
+    """A ``located`` read from which rows were filtered, with ``_seq`` without gaps in a
+    split. To be called before anything is shuffled or pinned."""
+    return placed.withColumn("_seq", F.monotonically_increasing_id())
+
+
 def with_file_ordinal(placed: DataFrame, name: str) -> DataFrame:
     """0-based row position over the files of a ``located`` read, in path order.
 

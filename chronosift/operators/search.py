@@ -15,7 +15,6 @@ from chronosift.plans.event_table import EventTable
 
 # Fixed values.
 CONTEXT = 30
-MAX_HITS = 100_000
 PAGE = 1000
 CUT = "…"
 MARK = "\x00"
@@ -50,12 +49,13 @@ def _has(cell: Column, pattern: str, regex: bool) -> Column:
 
 
 def find(table: EventTable, pattern: str, *, regex: bool = False,
-         max_hits: int | None = MAX_HITS) -> DataFrame:
+         max_hits: int | None = None) -> DataFrame:
     """First match in every cell, in row then column order.
 
     Plain text ignores case, a regular expression does not. The time column is
     searched as it is displayed. Positions are those of the current result; only
-    sort keys and hits are shuffled for them, never whole rows.
+    sort keys and hits are shuffled for them, never whole rows. All hits are given; with
+    ``max_hits`` the first ones, in order. ``hit_page`` cuts pages.
     """
     if pattern == "":
         return table.df.sparkSession.createDataFrame([], (

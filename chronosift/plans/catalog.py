@@ -674,21 +674,18 @@ def annotation_list(spark, sf):
 
 
 @query("annotation_batch_update", f"""
-select annotation_id, row_index, case when rank <= 200 then 'batch' else note end as note, color
-from (select *, row_number() over (order by row_index) as rank from {MARKS_SQL})""")
+select annotation_id, row_index, 'batch' as note, color from {MARKS_SQL}""")
 def annotation_batch_update(spark, sf):
     all_marks = marks(spark, sf)
-    some = all_marks.orderBy("row_index").limit(200)
-    updates = some.select("annotation_id", F.lit("batch").alias("note"), F.lit("").alias("color"))
+    updates = all_marks.select("annotation_id", F.lit("batch").alias("note"), F.lit("").alias("color"))
     return A.batch_update(all_marks, updates)[0].select("annotation_id", "row_index", "note", "color")
 
 
 @query("annotation_batch_counts", f"""
-select least(count(*), 100) as succeeded, least(count(*), 100) as failed from {MARKS_SQL}""")
+select count(*) as succeeded, count(*) as failed from {MARKS_SQL}""")
 def annotation_batch_counts(spark, sf):
     all_marks = marks(spark, sf)
-    some = all_marks.orderBy("row_index").limit(100)
-    known = some.select("annotation_id", F.lit("n").alias("note"), F.lit("").alias("color"))
+    known = all_marks.select("annotation_id", F.lit("n").alias("note"), F.lit("").alias("color"))
     unknown = known.withColumn("annotation_id", F.concat(F.lit("no-"), "annotation_id"))
     return A.batch_update(all_marks, known.union(unknown))[1]
 
@@ -836,7 +833,7 @@ select row_pos, column_index, column_name, s as match_start, s + {len(needle)} a
          case when hi < length(cell) then '…' else '' end) as snippet
 from (select *, greatest(s - 30, 0) as lo, least(s + {len(needle)} + 30, length(cell)) as hi
   from (select *, instr(lower(cell), '{needle}') - 1 as s from ({' union all '.join(parts)})) where s >= 0)
-order by row_pos, column_index limit 100000"""
+"""
 
 
 @query("find_text", _find_sql({0: ("doc_id", "cast(doc_id as varchar)"), 1: ("text", "text"), 2: ("lang", "lang"),

@@ -40,7 +40,7 @@ def _cells(t: EventTable) -> DataFrame:
 def source_csv(spark, sf):
     path = scratch_path(spark, "csv")
     _log(spark, sf).write.options(**CSV).csv(path)
-    return _cells(open_events(spark, path, _directory("*.csv"), max_files=0))
+    return _cells(open_events(spark, path, _directory("*.csv")))
 
 
 @query("source_csv_row_index", """
@@ -49,7 +49,7 @@ def source_csv_row_index(spark, sf):
     """Sorted before writing, so that file order is event order."""
     path = scratch_path(spark, "ordered")
     _log(spark, sf).orderBy(F.col("event_id").cast("bigint")).write.options(**CSV).csv(path)
-    t = open_events(spark, path, _directory("*.csv"), max_files=0)
+    t = open_events(spark, path, _directory("*.csv"))
     return t.df.select("event_id", F.col(t.ROW_INDEX).alias("row_index"))
 
 
@@ -61,7 +61,7 @@ def source_csv_multiline(spark, sf):
     parquet(spark, sf, "conversations").select(
         F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text"
     ).write.options(**CSV).csv(path)
-    return open_events(spark, path, _directory("*.csv"), max_files=0).result(ordered=False)
+    return open_events(spark, path, _directory("*.csv")).result(ordered=False)
 
 
 @query("source_csv_headerless", """
@@ -69,14 +69,14 @@ select cast(o_orderkey as varchar) as Unnamed_A, o_orderstatus as Unnamed_B, o_o
 def source_csv_headerless(spark, sf):
     path = scratch_path(spark, "headerless")
     parquet(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").write.csv(path)
-    return open_events(spark, path, _directory("*.csv", no_header_row=True), max_files=0).result(ordered=False)
+    return open_events(spark, path, _directory("*.csv", no_header_row=True)).result(ordered=False)
 
 
 @query("source_csv_gzip", LOG_SQL)
 def source_csv_gzip(spark, sf):
     path = scratch_path(spark, "gzip")
     _log(spark, sf).write.options(**CSV).option("compression", "gzip").csv(path)
-    return _cells(open_events(spark, path, _directory("*.csv.gz"), max_files=0))
+    return _cells(open_events(spark, path, _directory("*.csv.gz")))
 
 
 @query("source_directory_union", """
@@ -92,7 +92,7 @@ def source_directory_union(spark, sf):
     parquet(spark, sf, "supplier").select(
         F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"),
         F.col("s_name").alias("name")).write.options(**CSV).csv(f"{path}/b_suppliers")
-    t = open_events(spark, path, _directory("**/*.csv", include_source=True), max_files=0)
+    t = open_events(spark, path, _directory("**/*.csv", include_source=True))
     cell = lambda name: F.coalesce(name, F.lit("")).alias(name)
     return t.df.select("id", "name", cell("segment"), cell("nation"),
                        F.split_part("__source_file__", F.lit("/"), F.lit(1)).alias("source"))
@@ -113,7 +113,7 @@ def union_by_name(spark, sf):
 def source_json_lines(spark, sf):
     path = scratch_path(spark, "jsonl")
     _log(spark, sf).write.json(path)
-    return _cells(open_events(spark, path, _directory("*.json"), max_files=0))
+    return _cells(open_events(spark, path, _directory("*.json")))
 
 
 def _arrays(spark, sf, item, label: str) -> str:
@@ -131,7 +131,7 @@ select cast(event_id as varchar) as event_id, event_type, cast(user_id as varcha
 def source_json_objects(spark, sf):
     path = _arrays(spark, sf, F.struct("event_id", "event_type", "user_id", "props"), "objects")
     t = open_events(spark, path, _directory("**/*.txt", jpath="$.data.records", plugin_id=""),
-                    max_files=0, kind="json")
+                    kind="json")
     return t.result(ordered=False)
 
 
@@ -156,7 +156,7 @@ def source_json_arrays(spark, sf):
     names = F.array(F.array(F.lit("id"), F.lit("type"), F.lit("detail")))
     (rows.select("chunk", F.to_json(F.concat(names, F.col("rows"))).alias("value"))
      .write.partitionBy("chunk").text(path))
-    return open_events(spark, path, _directory("**/*.txt", jpath="$"), max_files=0, kind="json").result(ordered=False)
+    return open_events(spark, path, _directory("**/*.txt", jpath="$"), kind="json").result(ordered=False)
 
 
 @query("source_upper_lines", "select upper(props) as content, count(*) as n from events group by 1")
@@ -249,11 +249,72 @@ def source_ncsa(spark, sf):
     return weblogs.parse_ncsa(_lines(spark, sf, line))
 
 
+@query("source_many_files", LOG_SQL)
+def source_many_files(spark, sf):
+    """More than five hundred files, none of which is left out."""
+    path = scratch_path(spark, "many")
+    _log(spark, sf).repartition(520).write.options(**CSV).csv(path)
+    return _cells(open_events(spark, path, _directory("*.csv")))
+
+
+@query("source_json_rejects", """
+select case when event_type <> 'error' then cast(event_id as varchar) else '' end as event_id,
+  case when event_type <> 'error' then event_type else '' end as event_type,
+  case when event_type = 'error' then concat('{"event_id": ', event_id) else '' end as rejected from events""")
+def source_json_rejects(spark, sf):
+    """Lines that are no JSON are rows with their text."""
+    path = scratch_path(spark, "rejects")
+    good = F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), "event_type"))
+    parquet(spark, sf, "events").select(F.when(
+        F.col("event_type") == "error", F.concat(F.lit('{"event_id": '), "event_id")).otherwise(good)).write.text(path)
+    t = open_events(spark, path, _directory("*.txt"), kind="json")
+    return t.df.select("event_id", "event_type", F.col("_rejected").alias("rejected"))
+
+
+@query("source_mixed_directory", """
+select cast(c_custkey as varchar) as id, c_name as name, '' as nation, 'a' as source from customer union all
+select cast(s_suppkey as varchar), s_name, '', 'b' from supplier union all
+select '', n_name, cast(n_nationkey as varchar), 'c' from nation""")
+def source_mixed_directory(spark, sf):
+    """CSV, compressed JSON lines and Parquet in one folder."""
+    path = scratch_path(spark, "mixed")
+    parquet(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).write.options(
+        **CSV).csv(f"{path}/a")
+    parquet(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).write.option(
+        "compression", "gzip").json(f"{path}/b")
+    parquet(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name")).write.parquet(f"{path}/c")
+    t = open_events(spark, path, _directory("**/*.{csv,json.gz,parquet}", include_source=True))
+    cell = lambda name: F.coalesce(name, F.lit("")).alias(name)
+    return t.df.select(cell("id"), cell("name"), cell("nation"),
+                       F.split_part("__source_file__", F.lit("/"), F.lit(1)).alias("source"))
+
+
+@query("source_log_directory", """
+select strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as timestamp, event_type as method, '' as client_ip,
+  row_number() over (order by event_id) - 1 as row_index from events union all
+select strftime(ts, '%Y-%m-%dT%H:%M:%S-08:00'), 'GET', concat('10.0.0.', user_id),
+  (select count(*) from events) + row_number() over (order by event_id) - 1 from events where event_type <> 'click'""")
+def source_log_directory(spark, sf):
+    """A folder of web server logs of two formats, one of them compressed; lines that hold no
+    request are dropped, and row indexes have no gaps."""
+    path = scratch_path(spark, "logs")
+    log = parquet(spark, sf, "events").orderBy("event_id")
+    kind = F.col("event_type")
+    log.select(F.concat(F.lit("#Fields: date time cs-method\n"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss "), kind)).write.text(
+        f"{path}/a")
+    log.select(F.when(kind == "click", "# no request").otherwise(F.concat(
+        F.lit("10.0.0."), "user_id", F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"),
+        F.lit(' -0800] "GET /e HTTP/1.1" 200 34')))).write.option("compression", "gzip").text(f"{path}/b")
+    t = open_events(spark, path, _directory("**/*.txt*", plugin_id="weblog"))
+    return t.df.select("timestamp", F.coalesce("cs-method", "method").alias("method"),
+                       F.coalesce("client_ip", F.lit("")).alias("client_ip"), F.col(t.ROW_INDEX).alias("row_index"))
+
+
 @query("weblog_vote", """
 select user_id as file, case when user_id % 4 = 0 then 'w3c' when user_id % 4 = 1 then 'ncsa'
   when user_id % 4 = 2 then 'iis_native' else 'unknown' end as format from events group by 1""")
 def weblog_vote(spark, sf):
-    """One log file per user, the formats by user; the first 50 lines of each file decide."""
+    """One log file per user, the formats by user; all lines of a file decide."""
     from chronosift.sources import weblogs
     style = F.col("user_id") % 4
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
@@ -317,7 +378,7 @@ def selection_export(spark, sf):
 def file_fingerprints(spark, sf):
     from chronosift.operators.fingerprints import file_hashes
     from chronosift.sources.directory import listing
-    files = listing(spark, sf, "*.parquet", max_files=0)
+    files = listing(spark, sf, "*.parquet")
     return file_hashes(files).join(files, "path").select("relative_path", "file_hash", "length")
 
 

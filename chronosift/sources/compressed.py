@@ -1,6 +1,6 @@
 """Compressed input the text readers cannot open by themselves: xz, and files whose
-compression only shows in their first bytes. One task per file, read as a stream; a
-broken tail keeps the readable part."""
+compression only shows in their first bytes. One task per file, read as a stream. A broken
+tail is an error; with ``spark.sql.files.ignoreCorruptFiles`` the readable part is kept."""
 
 from __future__ import annotations
 
@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from chronosift.sources.cells import SHAPE
-from chronosift.sources.heads import MAGIC, OPENERS, open_bytes
+from chronosift.sources.heads import MAGIC, OPENERS, open_bytes, skips_broken
 
 BATCH = 5000
 csv.field_size_limit(2**31 - 1)
 
 
-def records(path: str) -> Iterator[list[str]]:
+def records(path: str, skip: bool = False) -> Iterator[list[str]]:
     with open_bytes(path) as raw:
         start = raw.read(6)
         raw.seek(0)
@@ -32,14 +32,17 @@ def records(path: str) -> Iterator[list[str]]:
         try:
             yield from (record for record in csv.reader(lines) if record)
         except (EOFError, OSError, lzma.LZMAError, zlib.error):
-            return
+            if not skip:
+                raise
 
 
 def read_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
+    skip = skips_broken(spark)
+
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                numbered = enumerate(records(path))
+                numbered = enumerate(records(path, skip))
                 while chunk := list(islice(numbered, BATCH)):
                     yield pd.DataFrame(
                         {"_file": path, "_pos": [n for n, _ in chunk],

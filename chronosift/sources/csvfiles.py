@@ -11,7 +11,7 @@ from chronosift.sources.headers import normal_names, unnamed
 from chronosift.sources.heads import first_records
 
 SETTINGS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1",
-            "maxColumns": "100000", "ignoreCorruptFiles": "true"}
+            "maxColumns": "100000"}
 
 
 def has_multiline_records(spark: SparkSession, paths: list[str]) -> bool:
@@ -20,7 +20,7 @@ def has_multiline_records(spark: SparkSession, paths: list[str]) -> bool:
     Files without such a line are read in splits; the others need one task per file,
     since no split can know whether it starts inside quotes.
     """
-    lines = spark.read.option("ignoreCorruptFiles", "true").text(paths)
+    lines = spark.read.text(paths)
     odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
     return not lines.filter(odd).limit(1).isEmpty()
 

@@ -16,7 +16,6 @@ from chronosift.sources.headers import normal_names, union_header, unnamed
 from chronosift.sources.heads import first_records
 
 # Fixed values.
-MAX_FILES = 500
 SOURCE_COLUMN = "__source_file__"
 
 
@@ -51,9 +50,9 @@ def glob_regex(pattern: str) -> str:
 
 
 def listing(spark: SparkSession, root: str, pattern: str, exclude: tuple[str, ...] = (),
-            max_files: int = MAX_FILES) -> DataFrame:
+            max_files: int = 0) -> DataFrame:
     """Matching files in path order: path, relative path, size. Contents are not read.
-    ``exclude`` globs look at the file name; the cap takes the first files."""
+    ``exclude`` globs look at the file name; ``max_files`` above 0 takes the first files only."""
     if not pattern:
         raise ValueError("a file pattern is required, such as **/*.csv")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -66,7 +65,7 @@ def listing(spark: SparkSession, root: str, pattern: str, exclude: tuple[str, ..
 
 
 def preview(spark: SparkSession, root: str, pattern: str, exclude: tuple[str, ...] = (),
-            max_files: int = MAX_FILES) -> tuple[DataFrame, list[str], int, int]:
+            max_files: int = 0) -> tuple[DataFrame, list[str], int, int]:
     """Relative paths, union header, file count and total bytes."""
     files = listing(spark, root, pattern, exclude, max_files)
     totals = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).first()
@@ -77,16 +76,19 @@ def preview(spark: SparkSession, root: str, pattern: str, exclude: tuple[str, ..
 
 
 def read_csv_directory(spark: SparkSession, root: str, pattern: str, *,
-                       exclude: tuple[str, ...] = (), max_files: int = MAX_FILES,
+                       exclude: tuple[str, ...] = (), max_files: int = 0,
                        no_header_row: bool = False, include_source: bool = False,
-                       multiline: bool | None = None, row_index: str = "_row_index") -> DataFrame:
-    """CSV files of a directory, united by column name in order of first appearance.
+                       multiline: bool | None = None, row_index: str = "_row_index",
+                       paths: list[str] | None = None) -> DataFrame:
+    """CSV files of a directory, united by column name in order of first appearance:
+    those of the pattern, or the given ``paths`` in this order.
 
     Only the file list and the headers come to the driver. Files with the same
     header are read together by one scan.
     """
-    paths = [r["path"] for r in
-             listing(spark, root, pattern, exclude, max_files).select("path").collect()]
+    if paths is None:
+        paths = [r["path"] for r in
+                 listing(spark, root, pattern, exclude, max_files).select("path").collect()]
     if not paths:
         raise ValueError(f"no files match {pattern!r} in {root}")
     heads = {r["path"]: r for r in first_records(spark, paths).collect()}

@@ -36,7 +36,12 @@ def open_bytes(path: str):
     return system.open_input_file(inner)
 
 
-def _head(path: str) -> tuple[str, bool, list[str] | None]:
+def skips_broken(spark: SparkSession) -> bool:
+    """Whether broken files may be left out: Spark's own setting, off by default."""
+    return spark.conf.get("spark.sql.files.ignoreCorruptFiles", "false").lower() == "true"
+
+
+def _head(path: str, skip: bool) -> tuple[str, bool, list[str] | None]:
     named = codec_of_name(path)
     with open_bytes(path) as raw:
         start = raw.read(6)
@@ -49,19 +54,26 @@ def _head(path: str) -> tuple[str, bool, list[str] | None]:
         try:
             record = next((r for r in csv.reader(lines) if r), None)
         except (csv.Error, EOFError, OSError, lzma.LZMAError):
+            if not skip:
+                raise
             record = None
         return codec, bool(found and not named), record
 
 
 def first_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Compression and first CSV record of each file; NULL record for unreadable ones."""
+    """Compression and first CSV record of each file; NULL record for empty ones. An
+    unreadable file is an error unless ``spark.sql.files.ignoreCorruptFiles`` is set."""
+    skip = skips_broken(spark)
+
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path in batch["path"]:
                 try:
-                    codec, by_magic, record = _head(path)
+                    codec, by_magic, record = _head(path, skip)
                 except OSError:
+                    if not skip:
+                        raise
                     codec, by_magic, record = "", False, None
                 rows.append((path, codec, by_magic, record))
             yield pd.DataFrame(rows, columns=["path", "codec", "by_magic", "record"])

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronosift.operators.ordinal import located
+from chronosift.operators.ordinal import dense, located
 from chronosift.session import pinned
 from chronosift.sources.cells import named_rows
 from chronosift.sources.headers import normal_names
 
+REJECTED = "_rejected"
 
 
 def _documents(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -49,10 +50,13 @@ def one_value(documents: pd.Series) -> pd.Series:
 
 
 def _items(documents: DataFrame, jpath: str) -> DataFrame:
-    """(file, position, item) of the array at the path, items as JSON text."""
-    whole = documents.select("_file", one_value("value").alias("value"))
-    return (whole.select("_file", F.from_json(_at(jpath), "array<string>").alias("items"))
-            .select("_file", F.posexplode("items").alias("_pos", "item")))
+    """(file, position, item, broken) of the array at the path, items as JSON text. A file
+    that holds no JSON is one item, its text."""
+    whole = documents.select("_file", F.col("value").alias("_text"), one_value("value").alias("value"))
+    broken = F.col("value").isNull() & (F.trim("_text") != "")
+    items = F.when(broken, F.array("_text")).otherwise(F.from_json(_at(jpath), "array<string>"))
+    return (whole.select("_file", broken.alias("_broken"), items.alias("items"))
+            .select("_file", "_broken", F.posexplode("items").alias("_pos", "item")))
 
 
 def _at(jpath: str) -> Column:
@@ -62,14 +66,20 @@ def _at(jpath: str) -> Column:
 
 def read_objects(spark: SparkSession, paths: list[str], jpath: str) -> DataFrame:
     """Objects as rows: the union of their keys, sorted by name; items that are no
-    objects are skipped. Columns: the keys, ``_file``, ``_pos``."""
+    objects are skipped. The text of files without JSON stands in ``_rejected``. Columns: the
+    keys, ``_file``, ``_pos``."""
     items = _items(_documents(spark, paths), jpath)
-    return _spread(items.filter(F.ltrim("item").startswith("{")), spark)
+    return _spread(items.filter(F.col("_broken") | F.ltrim("item").startswith("{")), spark)
+
+
+def _object(text: str) -> Column:
+    """The keys and values of an object; of anything else, its text under ``_rejected``."""
+    found = F.when(F.ltrim(text).startswith("{"), F.from_json(text, "map<string,string>"))
+    return F.coalesce(found, F.create_map(F.lit(REJECTED), F.col(text)))
 
 
 def _spread(items: DataFrame, spark: SparkSession) -> DataFrame:
-    maps = pinned(items.select("_file", "_pos", F.from_json(
-        "item", "map<string,string>").alias("_by")).filter("_by is not null"))
+    maps = pinned(items.select("_file", "_pos", _object("item").alias("_by")))
     return spread_keys(maps)
 
 
@@ -90,15 +100,15 @@ def spread_keys(maps: DataFrame) -> DataFrame:
 def read_arrays(spark: SparkSession, paths: list[str], jpath: str) -> DataFrame:
     """Arrays as rows: the first inner array is the header."""
     items = _items(_documents(spark, paths), jpath)
-    cells = (items.filter(F.ltrim("item").startswith("["))
-             .select("_file", F.col("_pos").cast("bigint"),
-                     F.from_json("item", "array<string>").alias("cells")))
+    read = F.from_json("item", "array<string>")
+    cells = (items.filter(F.col("_broken") | F.ltrim("item").startswith("["))
+             .select("_file", F.col("_pos").cast("bigint"), F.coalesce(read, F.array("item")).alias("cells")))
     return named_rows(pinned(cells))
 
 
 def read_records(spark: SparkSession, paths: list[str], jpath: str) -> DataFrame:
     """Objects or arrays, as the first item says."""
-    first = _items(_documents(spark, paths), jpath).filter("_pos = 0").first()
+    first = _items(_documents(spark, paths), jpath).filter("_pos = 0").orderBy("_broken", "_file").first()
     if first is None:
         raise ValueError(f"the path {jpath!r} gives no array with items")
     is_array = (first["item"] or "").lstrip().startswith("[")
@@ -107,11 +117,11 @@ def read_records(spark: SparkSession, paths: list[str], jpath: str) -> DataFrame
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Line-delimited objects, the form that scales: files are read in splits. A located
-    read with one column per key."""
-    lines = located(spark.read.text(paths)).filter(F.ltrim("value").startswith("{"))
-    maps = lines.select("_file", "_start", "_seq", F.from_json(
-        "value", "map<string,string>").alias("_by")).filter("_by is not null")
-    return spread_keys(pinned(maps))
+    read with one column per key. Lines that hold no object are rows too, with their text
+    in the column ``_rejected``; blank lines are none."""
+    lines = located(spark.read.text(paths)).filter(F.trim("value") != "")
+    maps = lines.select("_file", "_start", "_seq", _object("value").alias("_by"))
+    return spread_keys(pinned(dense(maps)))
 
 
 def preview(spark: SparkSession, path: str, jpath: str, n: int = 5) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.operators.ordinal import with_file_ordinal
+from chronosift.operators.ordinal import number_blocks, with_file_ordinal
 from chronosift.plans.event_table import EventTable
 from chronosift.sources import cells, compressed, csvfiles, directory, jsonfiles, workbooks
 from chronosift.sources.heads import SUFFIXES, first_records
 from chronosift.sources.options import FileOptions, file_key
-from chronosift.sources.registry import Sources, standard_sources
+from chronosift.sources.registry import Loader, Sources, standard_sources
 from chronosift.session import pinned
 
 ROW = EventTable.ROW_INDEX
@@ -32,10 +35,11 @@ def kind_of(path: str, options: FileOptions, sources: Sources) -> str:
 def open_events(spark: SparkSession, path: str, options: FileOptions | None = None, *,
                 time_col: str | None = None, display_zone: str | None = None,
                 file_hash: str = "", sources: Sources | None = None,
-                exclude: tuple[str, ...] = (), max_files: int = directory.MAX_FILES,
+                exclude: tuple[str, ...] = (), max_files: int = 0,
                 multiline: bool | None = None, kind: str = "") -> EventTable:
-    """A file or directory as an event table. ``kind`` (csv, json, xlsx) overrules the
-    ending. For repeated use of text logs write the
+    """A file or directory as an event table. Files of a directory may be of several kinds,
+    each told by its own ending, inside any compression ending; ``kind`` (csv, json, xlsx)
+    overrules that. For repeated use of text logs write the
     table to Parquet once (``save_events``) and open that."""
     options = options or FileOptions()
     sources = sources or standard_sources()
@@ -54,7 +58,7 @@ def _file(spark: SparkSession, path: str, options: FileOptions, sources: Sources
         loader = sources.find(path, options.plugin_id)
         if loader is None:
             raise LookupError(f"no source {options.plugin_id!r}")
-        return loader(spark, path, options)
+        return loader(spark, path, replace(options, is_directory=False))
     if kind == "parquet":
         return EventTable.from_parquet(spark, path).df.drop(EventTable.EVENT_MS)
     if kind == "xlsx":
@@ -84,28 +88,53 @@ def _json(spark: SparkSession, paths: list[str], jpath: str, keep_file: bool = F
 
 def _directory(spark: SparkSession, root: str, options: FileOptions, sources: Sources,
                exclude: tuple[str, ...], max_files: int, multiline: bool | None, kind: str) -> DataFrame:
-    kind = kind or kind_of(options.file_pattern, options, sources)
-    if kind == "csv":
-        return directory.read_csv_directory(
-            spark, root, options.file_pattern, exclude=exclude, max_files=max_files,
-            no_header_row=options.no_header_row, include_source=options.include_source,
-            multiline=multiline, row_index=ROW)
+    """Files of a kind are read together; kinds are united by column name, as text, and
+    rows numbered by path and place."""
     paths = [r["path"] for r in directory.listing(
         spark, root, options.file_pattern, exclude, max_files).select("path").collect()]
     if not paths:
         raise ValueError(f"no files match {options.file_pattern!r} in {root}")
+    groups: dict[tuple, list[str]] = {}
+    for path in paths:
+        own = kind or kind_of(path, options, sources)
+        loader = sources.find(path, options.plugin_id) if own == "plugin" else None
+        if own == "plugin" and loader is None:
+            raise LookupError(f"no source {options.plugin_id!r}")
+        groups.setdefault((own, loader), []).append(path)
+    parts = [_group(spark, root, options, multiline, own, loader, group)
+             for (own, loader), group in groups.items()]
+    source = directory.SOURCE_COLUMN
+    if len(parts) == 1 and ("parquet", None) not in groups:
+        rows = parts[0]
+    else:
+        texts = [p.select(*[F.col("`" + n.replace("`", "``") + "`").cast("string") if n != ROW else F.col(n)
+                            for n in p.columns]) for p in parts] if len(parts) > 1 else parts
+        united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), texts)
+        rows = number_blocks(pinned(united.withColumnRenamed(ROW, "_within")), [source], ROW, "_within").drop("_within")
+        rows = rows.select(*[F.col("`" + n.replace("`", "``") + "`") for n in rows.columns if n not in (source, ROW)], source, ROW)
+    return rows if options.include_source else rows.drop(source)
+
+
+def _group(spark: SparkSession, root: str, options: FileOptions, multiline: bool | None, kind: str,
+           loader: Loader | None, paths: list[str]) -> DataFrame:
+    """Files of one kind: their columns, the relative path of each row, its row index."""
+    if kind == "csv":
+        return directory.read_csv_directory(
+            spark, root, options.file_pattern, no_header_row=options.no_header_row,
+            include_source=True, multiline=multiline, row_index=ROW, paths=paths)
     if kind == "json":
         rows = _json(spark, paths, options.jpath, keep_file=True)
     elif kind == "xlsx":
         rows = cells.with_ordinal(cells.named_rows(
             pinned(workbooks.read_cells(spark, paths)), options.no_header_row), ROW)
+    elif kind == "parquet":
+        rows = spark.read.parquet(*paths).select(
+            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias(ROW))
     else:
-        raise ValueError(f"directories of {kind} files are not read as one table")
-    if options.include_source:
-        return rows.withColumn("_file", directory.relative(spark, root, F.col("_file"))).select(
-            *[c for c in rows.columns if c not in ("_file", ROW)],
-            F.col("_file").alias(directory.SOURCE_COLUMN), ROW)
-    return rows.drop("_file")
+        rows = loader(spark, paths, replace(options, is_directory=True))
+    return rows.withColumn("_file", directory.relative(spark, root, F.col("_file"))).select(
+        *[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns if c not in ("_file", ROW)],
+        F.col("_file").alias(directory.SOURCE_COLUMN), ROW)
 
 
 def save_events(table: EventTable, path: str) -> None:

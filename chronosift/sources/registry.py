@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.operators.ordinal import located, with_file_ordinal
+from chronosift.operators.ordinal import dense, located, with_file_ordinal
 from chronosift.sources import syslog, weblogs
+from chronosift.sources.heads import SUFFIXES
 from chronosift.sources.options import FileOptions
 
-# A loader gives the data columns and a 0-based ``_row_index``.
+# A loader gives the data columns and a 0-based ``_row_index``. With ``is_directory`` it gets
+# a list of paths and adds the path of each row as ``_file``.
 Loader = Callable[[SparkSession, str, FileOptions], DataFrame]
 
 
@@ -32,35 +34,41 @@ class Sources:
     def find(self, path: str, source_id: str = "") -> Loader | None:
         if source_id:
             return self._by_id.get(source_id)
-        ending = next((e for e in self._by_ending if path.lower().endswith(e)), None)
+        inner = path.lower()
+        for packed in SUFFIXES:
+            inner = inner.removesuffix(packed)
+        ending = next((e for e in self._by_ending if inner.endswith(e)), None)
         return self._by_id[self._by_ending[ending]] if ending else None
 
 
-def _text(spark: SparkSession, path: str) -> DataFrame:
-    return located(spark.read.option("ignoreCorruptFiles", "true").text(path))
+def _text(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return located(spark.read.text(path))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    return with_file_ordinal(rows, "_row_index").drop("_file")
+def _numbered(rows: DataFrame, options: FileOptions) -> DataFrame:
+    """Rows of a directory keep their file in ``_file``."""
+    rows = with_file_ordinal(dense(rows), "_row_index")
+    return rows if options.is_directory else rows.drop("_file")
 
 
 def load_syslog(spark: SparkSession, path: str, options: FileOptions,
                 year: int | None = None) -> DataFrame:
-    return _numbered(syslog.parse(_text(spark, path), year=year))
+    return _numbered(syslog.parse(_text(spark, path), year=year), options)
 
 
 def load_upper(spark: SparkSession, path: str, options: FileOptions) -> DataFrame:
     """Sample loader: line number from 1 and the line in upper case."""
-    rows = _numbered(_text(spark, path))
+    rows = _numbered(_text(spark, path), options)
+    file = ["_file"] if options.is_directory else []
     return rows.select((F.col("_row_index") + 1).cast("string").alias("line_number"),
-                       F.upper("value").alias("content"), "_row_index")
+                       F.upper("value").alias("content"), *file, "_row_index")
 
 
 def load_weblog(spark: SparkSession, path: str, options: FileOptions) -> DataFrame:
-    """Web server logs: each file is read in the format its first lines show; unknown
+    """Web server logs: each file is read in the format its lines show; unknown
     ones as W3C extended. Files with different W3C fields are united by name."""
     lines = _text(spark, path)
-    found = weblogs.vote(lines.filter("_start = 0")).groupBy("format", "fields").agg(
+    found = weblogs.vote(lines, order=("_start", "_seq")).groupBy("format", "fields").agg(
         F.collect_list("_file").alias("files")).collect()
     if not found:
         raise ValueError(f"no lines in {path}")
@@ -76,7 +84,7 @@ def load_weblog(spark: SparkSession, path: str, options: FileOptions) -> DataFra
     united = parts[0]
     for part in parts[1:]:
         united = united.unionByName(part, allowMissingColumns=True)
-    return _numbered(united)
+    return _numbered(united, options)
 
 
 def standard_sources() -> Sources:

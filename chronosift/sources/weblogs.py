@@ -22,7 +22,6 @@ NCSA_LINE = (r'(?s)^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d+)\s+(
 NCSA_TIME = (r"(?s)^(\d{1,2})/(\w{3})/(\d{4}):(\d{2}:\d{2}:\d{2})\s*(?:([+-]\d{2})(\d{2}))?.*$")
 NCSA_GUESS = r'^\S+\s+\S+\s+\S+\s+\[.+\]\s+"[^"]+"\s+\d+\s+\d+'
 CENTURY_PIVOT = 70
-HEAD_LINES = 50
 
 
 def _line(value: str) -> Column:
@@ -112,14 +111,11 @@ def parse_ncsa(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def vote(lines: DataFrame, value: str = "value", file: str = "_file",
-         order: str = "_seq") -> DataFrame:
-    """Format and W3C field list of every file, from its first 50 lines.
-
-    The rank filter keeps 50 lines per file and task before the shuffle.
+         order: tuple[str, ...] = ("_seq",)) -> DataFrame:
+    """Format and W3C field list of every file, from all of its lines: directives anywhere,
+    else the first line with data. One partial aggregate per file and task.
     """
-    rank = F.row_number().over(Window.partitionBy(file).orderBy(order))
-    head = (lines.select(file, order, _line(value).alias("line")).withColumn("_n", rank)
-            .filter(F.col("_n") <= HEAD_LINES))
+    head = lines.select(file, F.struct(*order).alias("_n"), _line(value).alias("line"))
     line = F.col("line")
     directive = (line.startswith("#Software:") | line.startswith("#Version:")
                  | line.startswith("#Fields:"))

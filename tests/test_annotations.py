@@ -86,8 +86,9 @@ def test_batches(table, none):
     assert sorted(r.color for r in changed.collect()) == ["grey", "red", "red"]
     assert {r.note for r in changed.collect()} == {"n"}
     assert tuple(counts.first()) == (2, 1)
+    assert A.batch_create(none, KEY, list(range(1000)), "n").count() == 1000
     with pytest.raises(ValueError):
-        A.batch_create(none, KEY, list(range(257)), "n")
+        A.batch_create(none, KEY, [], "n")
     with pytest.raises(ValueError):
         A.batch_create(none, KEY, [-1], "n")
     with pytest.raises(ValueError):

@@ -6,6 +6,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronosift.sources import jsonfiles, syslog, weblogs
 from chronosift.sources.directory import glob_regex, preview
@@ -68,15 +69,55 @@ def test_compressed(spark, tmp_path, suffix, pack):
 
 
 @pytest.mark.parametrize("suffix,pack", [(".gz", gzip.compress), (".xz", lzma.compress)])
-def test_broken_tail_keeps_the_readable_part(spark, tmp_path, suffix, pack):
+def test_broken_tail(spark, tmp_path, suffix, pack):
+    """An error, unless Spark is told to keep the readable part."""
     import random
     rng = random.Random(1)
     body = "a,b\n" + "".join(f"{i},{rng.random()}\n" for i in range(200000))
     whole = pack(body.encode())
     path = write(f"{tmp_path}/x.csv{suffix}", whole[:len(whole) // 2])
-    got = open_events(spark, path)
-    assert 1000 < got.total() < 200000
-    assert got.df.filter("_row_index <> cast(a as bigint) and b is not null").count() == 0
+    with pytest.raises(Exception):
+        open_events(spark, path).total()
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
+    try:
+        got = open_events(spark, path)
+        assert 1000 < got.total() < 200000
+        assert got.df.filter("_row_index <> cast(a as bigint) and b is not null").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreCorruptFiles")
+
+
+def test_directories_of_logs_and_mixed_kinds(spark, tmp_path):
+    write(f"{tmp_path}/d/a.log", W3C)
+    write(f"{tmp_path}/d/b.log.gz", gzip.compress(NCSA.encode()))
+    logs = open_events(spark, f"{tmp_path}/d", FileOptions(is_directory=True, file_pattern="*.log*", include_source=True))
+    assert logs.total() == 6
+    assert [r._row_index for r in open_events(spark, f"{tmp_path}/d/a.log").df.collect()] == [0, 1, 2]
+    assert {r["__source_file__"]: r["count"] for r in logs.df.groupBy("__source_file__").count().collect()} == {
+        "a.log": 3, "b.log.gz": 3}
+    assert sorted(r._row_index for r in logs.df.collect()) == list(range(6))
+    assert open_events(spark, f"{tmp_path}/d/b.log.gz").total() == 3
+    write(f"{tmp_path}/d/c.csv", "a,b\n1,2\n")
+    write(f"{tmp_path}/d/e.json", '{"a": 5}\n{"b": 6}\n')
+    spark.range(2).withColumn("a", F.lit("p")).coalesce(1).write.parquet(f"{tmp_path}/d/p.parquet")
+    mixed = open_events(spark, f"{tmp_path}/d", FileOptions(is_directory=True, file_pattern="**/*.{csv,json,parquet}"))
+    assert sorted((r.a or "", r.b or "", r.id or "") for r in mixed.df.collect()) == [
+        ("", "6", ""), ("1", "2", ""), ("5", "", ""), ("p", "", "0"), ("p", "", "1")]
+    assert sorted(r._row_index for r in mixed.df.collect()) == list(range(5))
+
+
+def test_more_than_five_hundred_files(spark, tmp_path):
+    for i in range(520):
+        write(f"{tmp_path}/d/{i:04}.csv", f"a\n{i}\n")
+    table = open_events(spark, f"{tmp_path}/d", FileOptions(is_directory=True, file_pattern="*.csv"))
+    assert table.total() == 520
+
+
+def test_json_rejects(spark, tmp_path):
+    write(f"{tmp_path}/d/a.json", '[{"a": 1}]')
+    write(f"{tmp_path}/d/b.json", '[{"a": 2')
+    table = open_events(spark, f"{tmp_path}/d", FileOptions(is_directory=True, file_pattern="*.json", jpath="$"))
+    assert sorted(rows(table)) == [("", '[{"a": 2'), ("1", "")] and table.columns == ("a", "_rejected")
 
 
 def test_directory(spark, tmp_path):
@@ -141,7 +182,7 @@ def test_json_values_one_after_another(spark, tmp_path):
     table = open_events(spark, path, FileOptions(jpath="$"))
     assert rows(table) == [("a}{b", "1"), ("][", ""), ("", '{"q":"} {"}')]
     lines = write(f"{tmp_path}/l.json", '{"a":1,"b":"x"}\nbroken\n{"b":"y"}\n')
-    assert rows(open_events(spark, lines)) == [("1", "x"), ("", "y")]
+    assert sorted(rows(open_events(spark, lines))) == sorted([("", "1", "x"), ("broken", "", ""), ("", "", "y")])
 
 
 def workbook(path, sheet, shared=None):
