@@ -205,7 +205,9 @@ def time_profile(spark, sf):
     return profile(EventTable.of(shapes(spark, sf), row_index="rowno"), "written")
 
 
-@query("validate_time_column", "select true as valid, 'ts' as name union all select false, 'props'")
+@query("validate_time_column", """
+select count(ts) > 0 as valid, 'ts' as name from events union all
+select coalesce(bool_or(try_cast(props as timestamp) is not null), false), 'props' from events""")
 def validate_time_column(spark, sf):
     from chronosift.operators.histogram import validate_time_column as check
     t = events(spark, sf)
