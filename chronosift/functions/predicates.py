@@ -34,12 +34,20 @@ def _and(tests: list[Column]) -> Column:
 # Free text over all cells
 # ---------------------------------------------------------------------------
 
+def _some_cell(table: EventTable, test: Callable[[Column], Column]) -> Column:
+    """Whether a cell passes, those beyond the header included."""
+    found = [test(col(c)) for c in table.columns]
+    if table.SURPLUS in table.df.columns:
+        found.append(F.coalesce(F.exists(F.col(table.SURPLUS), test), F.lit(False)))
+    return _or(found)
+
+
 def term(words: str) -> Test:
     """Some cell contains the words; a trailing ``*`` means starts with."""
     if words.endswith("*"):
         return starts(words[:-1])
     needle = words.lower()
-    return lambda table: _or([F.lower(text(col(c))).contains(needle) for c in table.columns])
+    return lambda table: _some_cell(table, lambda c: F.lower(text(c)).contains(needle))
 
 
 def phrase(words: str) -> Test:
@@ -47,15 +55,15 @@ def phrase(words: str) -> Test:
     if len(words) >= 2 and words[0] == words[-1] and words[0] in "\"'":
         words = words[1:-1]
     needle = words.lower()
-    return lambda table: _or([F.lower(text(col(c))).contains(needle) for c in table.columns])
+    return lambda table: _some_cell(table, lambda c: F.lower(text(c)).contains(needle))
 
 
 def starts(prefix: str) -> Test:
     """Some cell starts with the prefix; an empty prefix asks for a cell with a value."""
     needle = prefix.lower()
     if not needle:
-        return lambda table: _or([trimmed(col(c)) != "" for c in table.columns])
-    return lambda table: _or([folded(col(c)).startswith(needle) for c in table.columns])
+        return lambda table: _some_cell(table, lambda c: trimmed(c) != "")
+    return lambda table: _some_cell(table, lambda c: folded(c).startswith(needle))
 
 
 # ---------------------------------------------------------------------------

@@ -9,8 +9,8 @@ from chronosift.session import pinned
 
 # A side of a join is broadcast only when it was counted and found this small.
 BROADCAST_ROWS = 1_000_000
-# Up to here rows of one result may meet in one task (top-k, one page).
-SINGLE_TASK_ROWS = 1_000_000
+# Up to here rows of one result may meet in one task (top-k, one page): each task sends that many.
+SINGLE_TASK_ROWS = 10_000
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -60,9 +60,12 @@ def located(df: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("_seq"))
 
 
-def dense(placed: DataFrame) -> DataFrame:
+def dense(placed: DataFrame, shuffled: bool = False) -> DataFrame:
     """A ``located`` read from which rows were filtered, with ``_seq`` without gaps in a
-    split. To be called before anything is shuffled or pinned."""
+    split. ``shuffled`` rows have lost the reading order and are counted split by split."""
+    if shuffled:
+        split = Window.partitionBy("_file", "_start").orderBy("_seq")
+        return placed.withColumn("_seq", F.row_number().over(split).cast("bigint"))
     return placed.withColumn("_seq", F.monotonically_increasing_id())
 
 

@@ -22,6 +22,7 @@ from chronosift.functions.predicates import Test, all_of
 from chronosift.functions.text import (
     col, folded, is_blank, number, resolve, split_column_path, text)
 from chronosift.session import pinned
+from chronosift.sources.headers import SURPLUS
 from chronosift.operators.ordinal import (
     SINGLE_TASK_ROWS, slice_rows, with_parquet_ordinal, with_position)
 
@@ -49,6 +50,7 @@ class OrderTerm:
 class EventTable:
     ROW_INDEX: ClassVar[str] = "_row_index"
     EVENT_MS: ClassVar[str] = "_event_ms"
+    SURPLUS: ClassVar[str] = SURPLUS
 
     df: DataFrame
     columns: tuple[str, ...]
@@ -77,7 +79,7 @@ class EventTable:
             df = df.withColumnRenamed(row_index, cls.ROW_INDEX)
         if cls.ROW_INDEX not in df.columns:
             raise ValueError("an event table needs a row position column")
-        header = tuple(c for c in df.columns if c not in (cls.ROW_INDEX, cls.EVENT_MS))
+        header = tuple(c for c in df.columns if c not in (cls.ROW_INDEX, cls.EVENT_MS, cls.SURPLUS))
         chosen = timeparse.time_column(header, time_col)
         if cls.EVENT_MS not in df.columns:
             when, kind = F.lit(None).cast("bigint"), None
@@ -286,8 +288,15 @@ class EventTable:
         return self.keeping(self._slice(start, end))
 
     def _slice(self, start: int, end: int) -> DataFrame:
-        rows, order, helpers = self.keyed()
-        return slice_rows(rows, order, start, end, SINGLE_TASK_ROWS).drop(*helpers)
+        """A bounded top-k, or row indexes by position: then only sort keys and row indexes
+        move before the rows asked for."""
+        if self.whole and not self.order:
+            return self.df.filter(col(self.ROW_INDEX).between(start, end - 1))
+        if end <= SINGLE_TASK_ROWS:
+            rows, order, helpers = self.keyed()
+            return slice_rows(rows, order, start, end, SINGLE_TASK_ROWS).drop(*helpers)
+        nth = self.positions(name="_nth").filter(F.col("_nth").between(start, end - 1))
+        return self.df.join(nth.select(F.col("row_index").alias(self.ROW_INDEX)), self.ROW_INDEX, "left_semi")
 
     def positions(self, *carry: Column, name: str = "position", costly: bool = False) -> DataFrame:
         """``row_index``, its position in this result, and ``carry`` columns. Only the

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronosift.operators.ordinal import number_blocks, small_side
 from chronosift.session import pinned
-from chronosift.sources.headers import normal_names, union_header, unnamed
+from chronosift.sources.headers import SURPLUS, normal_names, union_header, unnamed
 
 SHAPE = "_file string, _pos bigint, cells array<string>"
 
@@ -31,8 +31,9 @@ def named_rows(cells: DataFrame, no_header_row: bool = False) -> DataFrame:
     padded = F.slice(F.concat("cells", F.array_repeat(F.lit(None).cast("string"), width)),
                      F.lit(1), width)
     by_name = F.map_from_arrays("_names", padded)
-    rows = data.join(small_side(table), "_file").select("_file", "_pos", by_name.alias("_by"))
-    return rows.select("_file", "_pos", *(F.try_element_at("_by", F.lit(n)).alias(n) for n in names))
+    rows = data.join(small_side(table), "_file").select("_file", "_pos", by_name.alias("_by"),
+        F.when(F.size("cells") > width, F.slice("cells", width + 1, F.size("cells"))).alias(SURPLUS))
+    return rows.select("_file", "_pos", *(F.try_element_at("_by", F.lit(n)).alias(n) for n in names), SURPLUS)
 
 
 def with_ordinal(rows: DataFrame, name: str) -> DataFrame:

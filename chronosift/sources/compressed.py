@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from chronosift.sources.cells import SHAPE
-from chronosift.sources.heads import MAGIC, OPENERS, open_bytes, skips_broken
+from chronosift.sources.heads import LONGEST_CELL, MAGIC, OPENERS, open_bytes, skips_broken
 
 BATCH = 5000
-csv.field_size_limit(2**31 - 1)
 
 
 def records(path: str, skip: bool = False) -> Iterator[list[str]]:
+    csv.field_size_limit(LONGEST_CELL)
     with open_bytes(path) as raw:
         start = raw.read(6)
         raw.seek(0)

@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronosift.operators.ordinal import located
-from chronosift.sources.headers import normal_names, unnamed
+from chronosift.sources.headers import SURPLUS, normal_names, unnamed
 from chronosift.sources.heads import first_records
 
 SETTINGS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1",
             "maxColumns": "100000"}
+# The text of a record whose number of cells differs from the header's.
+RECORD = "__record__"
+GAP = "\x00\x1f\x00"
+
+
+def record_cells(record: Column) -> Column:
+    """Cells of one CSV record. Between quotes a comma is text, so quotes cut first: every
+    other piece lies outside them."""
+    pieces = F.transform(F.split(record, '"'), lambda piece, i: F.when(
+        i % 2 == 0, F.replace(piece, F.lit(","), F.lit(GAP))).otherwise(piece))
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(F.split(F.array_join(pieces, '"'), GAP), lambda c: F.when(
+        c.startswith('"') & c.endswith('"') & (F.length(c) > 1), inner(c)).otherwise(c))
+
+
+def beyond(cells: Column, width: Column) -> Column:
+    """Cells after the first ``width``; null if there are none."""
+    return F.when(F.size(cells) > width, F.slice(cells, width + 1, F.size(cells)))
 
 
 def has_multiline_records(spark: SparkSession, paths: list[str]) -> bool:
@@ -27,20 +45,22 @@ def has_multiline_records(spark: SparkSession, paths: list[str]) -> bool:
 
 def read_group(spark: SparkSession, paths: list[str], names: list[str], header: bool,
                multiline: bool | None = None) -> DataFrame:
-    """Files that share their columns, as a located read."""
+    """Files that share their columns, as a located read. Short rows are padded; what a row
+    has beyond the header is in ``SURPLUS``."""
     if multiline is None:
         multiline = has_multiline_records(spark, paths)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = (spark.read.options(**SETTINGS).option("header", header)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, RECORD)])
+    rows = (spark.read.options(**SETTINGS).option("header", header).option("columnNameOfCorruptRecord", RECORD)
             .option("multiLine", multiline).schema(schema).csv(paths))
-    return located(rows)
+    surplus = beyond(record_cells(F.col(RECORD)), F.lit(len(names)))
+    return located(rows).withColumn(SURPLUS, surplus).drop(RECORD)
 
 
 def read_csv(spark: SparkSession, path: str, no_header_row: bool = False,
              multiline: bool | None = None) -> DataFrame:
-    """One CSV file as a located read. Short rows are padded; surplus cells are dropped."""
-    head = first_records(spark, [path]).first()
-    if head["record"] is None:
+    """One CSV file as a located read."""
+    record = first_records(spark, [path])[path].record
+    if record is None:
         raise ValueError(f"no readable header in {path}")
-    names = unnamed(len(head["record"])) if no_header_row else normal_names(list(head["record"]))
+    names = unnamed(len(record)) if no_header_row else normal_names(record)
     return read_group(spark, [path], names, not no_header_row, multiline)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chronosift.operators.ordinal import number_blocks
 from chronosift.session import pinned
 from chronosift.sources import cells, compressed, csvfiles
-from chronosift.sources.headers import normal_names, union_header, unnamed
+from chronosift.sources.headers import SURPLUS, normal_names, union_header, unnamed
 from chronosift.sources.heads import first_records
 
 # Fixed values.
@@ -70,8 +70,8 @@ def preview(spark: SparkSession, root: str, pattern: str, exclude: tuple[str, ..
     files = listing(spark, root, pattern, exclude, max_files)
     totals = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).first()
     paths = [r["path"] for r in files.select("path").collect()]
-    records = {r["path"]: r["record"] for r in first_records(spark, paths).collect()}
-    header = union_header(normal_names(list(records[p])) for p in paths if records[p])
+    heads = first_records(spark, paths) if paths else {}
+    header = union_header(normal_names(head.record) for head in heads.values() if head.record)
     return files.select("relative_path"), header, totals["n"], totals["bytes"] or 0
 
 
@@ -91,17 +91,16 @@ def read_csv_directory(spark: SparkSession, root: str, pattern: str, *,
                  listing(spark, root, pattern, exclude, max_files).select("path").collect()]
     if not paths:
         raise ValueError(f"no files match {pattern!r} in {root}")
-    heads = {r["path"]: r for r in first_records(spark, paths).collect()}
+    heads = first_records(spark, paths)
     headers: dict[str, list[str]] = {}
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
     streamed: list[str] = []
     for path in paths:
         head = heads[path]
-        if head["record"] is None:
+        if head.record is None:
             continue
-        record = list(head["record"])
-        headers[path] = unnamed(len(record)) if no_header_row else normal_names(record)
-        if head["codec"] == "xz" or head["by_magic"]:
+        headers[path] = unnamed(len(head.record)) if no_header_row else normal_names(head.record)
+        if head.streamed:
             streamed.append(path)
         else:
             by_header[tuple(headers[path])].append(path)
@@ -117,4 +116,4 @@ def read_csv_directory(spark: SparkSession, root: str, pattern: str, *,
     rows = number_blocks(pinned(united), ["_file", "_start"], row_index, "_seq")
     source = [F.col("_file").alias(SOURCE_COLUMN)] if include_source else []
     quoted = [F.col("`" + n.replace("`", "``") + "`") for n in names]
-    return rows.select(*quoted, *source, row_index)
+    return rows.select(*quoted, SURPLUS, *source, row_index)

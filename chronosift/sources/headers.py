@@ -14,6 +14,10 @@ def _letters() -> Iterable[str]:
             yield "".join(letters)
 
 
+# Cells of a row beyond its header, as a list; free-text tests read them, results don't show them.
+SURPLUS = "__surplus__"
+
+
 def normal_names(header: list[str | None]) -> list[str]:
     """Blank names become Unnamed_A, Unnamed_B, … counted over blank names only; repeated
     names (in any case) get a number so that the first one keeps its name."""

@@ -1,4 +1,8 @@
-"""A look at the first record of many files, in parallel and without reading the rest."""
+"""The first record of many files, in parallel and without reading the rest.
+
+Spark's text reader opens the files, so every file system and ending it knows will do; a task
+stops after the first record of its file. Only what Spark can't decompress is opened here.
+"""
 
 from __future__ import annotations
 
@@ -7,30 +11,47 @@ import csv
 import gzip
 import io
 import lzma
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Suffixes and leading bytes of compressed files.
 SUFFIXES = {".gz": "gzip", ".bz2": "bzip2", ".xz": "xz"}
 MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz"}
 OPENERS = {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}
 
-SCHEMA = "path string, codec string, by_magic boolean, record array<string>"
+# A split this large is a whole file, and no two files share a task.
+WHOLE_FILES = {"spark.sql.files.maxPartitionBytes": str(1 << 50),
+               "spark.sql.files.openCostInBytes": str(1 << 50),
+               "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
+# Cells may be as long as Python allows.
+LONGEST_CELL = 2**31 - 1
+
 
+class Head(NamedTuple):
+    """First CSV record of a file (None for an empty one); ``streamed`` when Spark's readers
+    can't decompress it: xz, or a compression that the name doesn't tell."""
+    record: list[str] | None
+    streamed: bool
 
-def codec_of_name(path: str) -> str:
-    return next((codec for end, codec in SUFFIXES.items() if path.lower().endswith(end)), "")
+
+def bare_path(path: str) -> str:
+    """Without scheme and leading slashes, the same for all ways a path is printed."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", path).lstrip("/")
 
 
 def open_bytes(path: str):
-    """A file of any file system the workers can reach, as a byte stream."""
+    """A file as a byte stream, for contents that no Spark reader takes."""
     from pyarrow import fs
     if "://" in path or path.startswith("file:"):
-        system, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1)
-                                               if path.startswith("file:/") and "///" not in path
-                                               else path)
+        path = re.sub("^file:/(?!/)", "file:///", path)
+        path = re.sub("^s3[an]://", "s3://", path)
+        system, inner = fs.FileSystem.from_uri(path)
     else:
         system, inner = fs.LocalFileSystem(), path
     return system.open_input_file(inner)
@@ -41,43 +62,77 @@ def skips_broken(spark: SparkSession) -> bool:
     return spark.conf.get("spark.sql.files.ignoreCorruptFiles", "false").lower() == "true"
 
 
-def _head(path: str, skip: bool) -> tuple[str, bool, list[str] | None]:
-    named = codec_of_name(path)
-    with open_bytes(path) as raw:
-        start = raw.read(6)
-        found = next((codec for magic, codec in MAGIC.items() if start.startswith(magic)), "")
-        raw.seek(0)
-        codec = named or found
-        stream = OPENERS[codec](raw) if codec else raw
-        lines = io.TextIOWrapper(io.BufferedReader(stream), encoding="utf-8", errors="replace",
-                                 newline="")
-        try:
-            record = next((r for r in csv.reader(lines) if r), None)
-        except (csv.Error, EOFError, OSError, lzma.LZMAError):
-            if not skip:
-                raise
-            record = None
-        return codec, bool(found and not named), record
-
-
-def first_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Compression and first CSV record of each file; NULL record for empty ones. An
-    unreadable file is an error unless ``spark.sql.files.ignoreCorruptFiles`` is set."""
+def _first_line_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``path, value`` of one file to its first record; the rest is not asked for."""
+    csv.field_size_limit(LONGEST_CELL)
+    seen: list[tuple[str, bytes]] = []
+
+    def lines() -> Iterator[str]:
+        for batch in batches:
+            for path, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not seen:
+                    seen.append((path, value[:6]))
+                yield value.decode("utf-8", errors="replace") + "\n"
+
+    try:
+        record = next((r for r in csv.reader(lines()) if r), None)
+    except csv.Error:
+        if not any(seen[0][1].startswith(magic) for magic in MAGIC):
+            raise
+        record = None
+    if seen:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([seen[0][0]]), pa.array([seen[0][1]], pa.binary()),
+             pa.array([record], pa.list_(pa.string()))], names=["path", "start", "record"])
+
+
+def _streamed_records(spark: SparkSession, paths: list[str]) -> dict[str, list[str] | None]:
     skip = skips_broken(spark)
 
+    def first(path: str) -> list[str] | None:
+        with open_bytes(path) as raw:
+            start = raw.read(6)
+            raw.seek(0)
+            codec = next(codec for magic, codec in MAGIC.items() if start.startswith(magic))
+            lines = io.TextIOWrapper(io.BufferedReader(OPENERS[codec](raw)), encoding="utf-8",
+                                     errors="replace", newline="")
+            return next((r for r in csv.reader(lines) if r), None)
+
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(LONGEST_CELL)
         for batch in batches:
             rows = []
             for path in batch["path"]:
                 try:
-                    codec, by_magic, record = _head(path, skip)
-                except OSError:
+                    rows.append((path, first(path)))
+                except (EOFError, OSError, lzma.LZMAError):
                     if not skip:
                         raise
-                    codec, by_magic, record = "", False, None
-                rows.append((path, codec, by_magic, record))
-            yield pd.DataFrame(rows, columns=["path", "codec", "by_magic", "record"])
-
-    tasks = max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism))
-    listing = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks)
-    return listing.mapInPandas(look, SCHEMA)
+                    rows.append((path, None))
+            yield pd.DataFrame(rows, columns=["path", "record"])
+
+    listing = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
+    return {r["path"]: r["record"]
+            for r in listing.mapInPandas(look, "path string, record array<string>").collect()}
+
+
+def first_records(spark: SparkSession, paths: list[str]) -> dict[str, Head]:
+    """Head of each file. An unreadable file is an error unless
+    ``spark.sql.files.ignoreCorruptFiles`` is set; then it counts as empty."""
+    own = spark.newSession()
+    for key, value in WHOLE_FILES.items():
+        own.conf.set(key, value)
+    own.conf.set("spark.sql.files.ignoreCorruptFiles", str(skips_broken(spark)).lower())
+    lines = own.read.text(paths).select(F.col("_metadata.file_path"), F.col("value").cast("binary"))
+    found = {bare_path(r["path"]): r for r in lines.mapInArrow(
+        _first_line_record, "path string, start binary, record array<string>").collect()}
+    heads: dict[str, Head] = {}
+    for path in paths:
+        row = found.get(bare_path(path)) or (next(iter(found.values()), None) if len(paths) == 1 else None)
+        packed = row is not None and any(bytes(row["start"]).startswith(magic) for magic in MAGIC)
+        heads[path] = Head(row["record"] if row is not None else None, packed)
+    streamed = [path for path, head in heads.items() if head.streamed]
+    if streamed:
+        for path, record in _streamed_records(spark, streamed).items():
+            heads[path] = Head(record, True)
+    return heads

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chronosift.operators.ordinal import number_blocks, with_file_ordinal
 from chronosift.plans.event_table import EventTable
 from chronosift.sources import cells, compressed, csvfiles, directory, jsonfiles, workbooks
+from chronosift.sources.headers import SURPLUS
 from chronosift.sources.heads import SUFFIXES, first_records
 from chronosift.sources.options import FileOptions, file_key
 from chronosift.sources.registry import Loader, Sources, standard_sources
@@ -65,8 +66,7 @@ def _file(spark: SparkSession, path: str, options: FileOptions, sources: Sources
         return _from_cells(workbooks.read_cells(spark, [path]), options)
     if kind == "json":
         return _json(spark, [path], options.jpath)
-    head = first_records(spark, [path]).first()
-    if head["codec"] == "xz" or head["by_magic"]:
+    if first_records(spark, [path])[path].streamed:
         return _from_cells(compressed.read_cells(spark, [path]), options)
     rows = csvfiles.read_csv(spark, path, options.no_header_row, multiline)
     return with_file_ordinal(rows, ROW).drop("_file")
@@ -107,7 +107,7 @@ def _directory(spark: SparkSession, root: str, options: FileOptions, sources: So
     if len(parts) == 1 and ("parquet", None) not in groups:
         rows = parts[0]
     else:
-        texts = [p.select(*[F.col("`" + n.replace("`", "``") + "`").cast("string") if n != ROW else F.col(n)
+        texts = [p.select(*[F.col("`" + n.replace("`", "``") + "`").cast("string") if n not in (ROW, SURPLUS) else F.col(n)
                             for n in p.columns]) for p in parts] if len(parts) > 1 else parts
         united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), texts)
         rows = number_blocks(pinned(united.withColumnRenamed(ROW, "_within")), [source], ROW, "_within").drop("_within")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.operators.ordinal import dense, located, with_file_ordinal
+from chronosift.operators.ordinal import BROADCAST_ROWS, dense, located, with_file_ordinal
+from chronosift.session import pinned
 from chronosift.sources import syslog, weblogs
 from chronosift.sources.heads import SUFFIXES
 from chronosift.sources.options import FileOptions
@@ -45,9 +46,9 @@ def _text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return located(spark.read.text(path))
 
 
-def _numbered(rows: DataFrame, options: FileOptions) -> DataFrame:
+def _numbered(rows: DataFrame, options: FileOptions, shuffled: bool = False) -> DataFrame:
     """Rows of a directory keep their file in ``_file``."""
-    rows = with_file_ordinal(dense(rows), "_row_index")
+    rows = with_file_ordinal(dense(rows, shuffled), "_row_index")
     return rows if options.is_directory else rows.drop("_file")
 
 
@@ -66,15 +67,24 @@ def load_upper(spark: SparkSession, path: str, options: FileOptions) -> DataFram
 
 def load_weblog(spark: SparkSession, path: str, options: FileOptions) -> DataFrame:
     """Web server logs: each file is read in the format its lines show; unknown
-    ones as W3C extended. Files with different W3C fields are united by name."""
+    ones as W3C extended. Files with different W3C fields are united by name.
+
+    Only the different formats and field lists come to the driver; each of them is one part
+    of the union, and lines find theirs by a join on the file.
+    """
     lines = _text(spark, path)
-    found = weblogs.vote(lines, order=("_start", "_seq")).groupBy("format", "fields").agg(
-        F.collect_list("_file").alias("files")).collect()
+    votes = pinned(weblogs.vote(lines, order=("_start", "_seq")))
+    found = votes.groupBy("format", "fields").agg(F.min("_file").alias("first")).orderBy("first").collect()
     if not found:
         raise ValueError(f"no lines in {path}")
+    many = len(found) > 1 and votes.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS
     parts = []
-    for group in sorted(found, key=lambda r: min(r["files"])):
-        mine = lines if len(found) == 1 else lines.filter(F.col("_file").isin(group["files"]))
+    for group in found:
+        mine = lines
+        if len(found) > 1:
+            same = F.lit(group["fields"]) if group["fields"] is not None else F.lit(None)
+            files = votes.filter((F.col("format") == group["format"]) & F.col("fields").eqNullSafe(same)).select("_file")
+            mine = lines.join(files if many else F.broadcast(files), "_file", "left_semi")
         if group["format"] == "iis_native":
             parts.append(weblogs.parse_iis(mine))
         elif group["format"] == "ncsa":
@@ -84,7 +94,7 @@ def load_weblog(spark: SparkSession, path: str, options: FileOptions) -> DataFra
     united = parts[0]
     for part in parts[1:]:
         united = united.unionByName(part, allowMissingColumns=True)
-    return _numbered(united, options)
+    return _numbered(united, options, shuffled=many)
 
 
 def standard_sources() -> Sources:
