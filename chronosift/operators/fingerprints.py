@@ -13,6 +13,8 @@ from chronosift.sources.directory import listing
 from chronosift.sources.heads import open_bytes
 
 CHUNK = 8 << 20
+# Contents up to here are hashed as a cell by Spark's own function, larger ones as a stream.
+CELL = 256 << 20
 
 
 def _digest(path: str) -> str:
@@ -23,35 +25,42 @@ def _digest(path: str) -> str:
     return digest.hexdigest()
 
 
-def file_hashes(paths: DataFrame) -> DataFrame:
-    """``path`` rows to ``path, file_hash``: SHA-256 of the content, read as a stream, so
-    size does not matter. Files that cannot be read are left out."""
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                try:
-                    rows.append((path, _digest(path)))
-                except OSError:
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "file_hash"])
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"path": batch["path"], "file_hash": [_digest(p) for p in batch["path"]]})
 
-    spread = paths.select("path").repartition("path")
-    return spread.mapInPandas(hashed, "path string, file_hash string")
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    """``path, file_hash``: SHA-256 of the content of every file of a ``listing``. A file that
+    can't be read is an error."""
+    within = files.filter(F.col("length") <= CELL).select("path", F.sha2("content", 256).alias("file_hash"))
+    larger = files.filter(F.col("length") > CELL).select("path").repartition("path")
+    return within.unionByName(larger.mapInPandas(_streamed, "path string, file_hash string"))
+
+
+def _together(level: DataFrame, digits: int) -> DataFrame:
+    """Hashes whose marks start with the same ``digits`` as one hash, in the order of marks."""
+    mark = F.substring("mark", 1, digits)
+    pairs = F.array_sort(F.collect_list(F.struct("mark", "hash")))
+    return level.groupBy(mark.alias("mark")).agg(
+        F.sha2(F.array_join(F.transform(pairs, lambda p: p["hash"]), ""), 256).alias("hash"))
 
 
 def directory_hash(spark: SparkSession, root: str, pattern: str, exclude: tuple[str, ...] = (),
                    max_files: int = 0) -> str | None:
-    """SHA-256 over content hash and relative path of every file, in path order. None
-    when there are no files. What is brought together is two short texts per file."""
+    """One SHA-256 for content and relative path of all files; None when there are none.
+
+    A tree of hashes over the hash of each relative path, so that no task holds more than a
+    65536th part of the files, or 256 hashes: first by 4 hex digits, then by 2, then all.
+    """
     files = listing(spark, root, pattern, exclude, max_files)
     marks = file_hashes(files).join(files.select("path", "relative_path"), "path")
-    line = F.concat(F.unhex("file_hash"), F.col("relative_path").cast("binary"))
-    row = marks.agg(F.sort_array(F.collect_list(F.struct("relative_path", line.alias("b"))))
-                    .alias("all")).select(F.sha2(F.aggregate(
-                        "all", F.lit(b"").cast("binary"), lambda done, x: F.concat(done, x["b"])),
-                        256).alias("h"), F.size("all").alias("n")).first()
-    return row["h"] if row["n"] else None
+    level = marks.select(F.sha2("relative_path", 256).alias("mark"),
+                         F.sha2(F.concat("file_hash", "relative_path"), 256).alias("hash"))
+    for digits in (4, 2, 0):
+        level = _together(level, digits)
+    row = level.first()
+    return row["hash"] if row else None
 
 
 def directory_changed(spark: SparkSession, root: str, pattern: str, stored: str | None,

@@ -64,6 +64,21 @@ def source_csv_multiline(spark, sf):
     return open_events(spark, path, _directory("*.csv")).result(ordered=False)
 
 
+@query("source_csv_ragged", """
+select cast(event_id as varchar) as event_id, event_type from events
+where event_type <> 'click' and 'seen, by "u' || user_id || '"' like '%seen, by "u1%'""")
+def source_csv_ragged(spark, sf):
+    """Rows longer than the header: their surplus cells are found by free text."""
+    path = scratch_path(spark, "ragged")
+    more = F.when(F.col("event_type") == "click", "").otherwise(
+        F.concat(F.lit(',x,"seen, by ""u'), "user_id", F.lit('"""')))
+    parquet(spark, sf, "events").select(
+        F.concat(F.col("event_id"), F.lit(","), "event_type", more).alias("event_id,event_type")).write.options(
+        header=True, sep="\x01", quote="\x00").csv(path)
+    found = open_events(spark, path, _directory("*.csv")).filter(P.term('seen, by "u1'))
+    return found.result(ordered=False)
+
+
 @query("source_csv_headerless", """
 select cast(o_orderkey as varchar) as Unnamed_A, o_orderstatus as Unnamed_B, o_orderpriority as Unnamed_C from orders""")
 def source_csv_headerless(spark, sf):
@@ -79,6 +94,13 @@ def source_csv_gzip(spark, sf):
     return _cells(open_events(spark, path, _directory("*.csv.gz")))
 
 
+@query("source_csv_bzip2", LOG_SQL)
+def source_csv_bzip2(spark, sf):
+    path = scratch_path(spark, "bzip2")
+    _log(spark, sf).write.options(**CSV).option("compression", "bzip2").csv(path)
+    return _cells(open_events(spark, path, _directory("*.csv.bz2")))
+
+
 @query("source_directory_union", """
 select cast(c_custkey as varchar) as id, c_name as name, c_mktsegment as segment, '' as nation, 'a_customers' as source
 from customer union all
@@ -374,12 +396,17 @@ def selection_export(spark, sf):
     return spark.read.options(header=True, sep="\t", quote="\0").csv(path)
 
 
-@query("file_fingerprints")
+@query("file_fingerprints", """
+select s_suppkey, sha256(s_name || chr(10)) as file_hash, length(s_name) + 1 as length from supplier""")
 def file_fingerprints(spark, sf):
+    """One text file per supplier."""
     from chronosift.operators.fingerprints import file_hashes
     from chronosift.sources.directory import listing
-    files = listing(spark, sf, "*.parquet")
-    return file_hashes(files).join(files, "path").select("relative_path", "file_hash", "length")
+    path = scratch_path(spark, "named")
+    parquet(spark, sf, "supplier").select("s_suppkey", "s_name").write.partitionBy("s_suppkey").text(path)
+    files = listing(spark, path, "**/*.txt")
+    key = F.regexp_extract("relative_path", r"s_suppkey=(\d+)/", 1).cast("bigint")
+    return file_hashes(files).join(files.drop("content"), "path").select(key.alias("s_suppkey"), "file_hash", "length")
 
 
 @query("directory_fingerprint")
@@ -390,13 +417,16 @@ def directory_fingerprint(spark, sf):
                                  "directory_hash string, changed boolean")
 
 
-@query("directory_preview", "select 'event_id,ts,user_id,event_type,props' as header, true as has_files")
+@query("directory_preview", """
+select 'event_id,event_type' as header, 4 as files,
+  4 * 20 + sum(length(cast(event_id as varchar)) + length(event_type) + 2) as bytes from events""")
 def directory_preview(spark, sf):
     from chronosift.sources.directory import preview
     path = scratch_path(spark, "preview")
-    _log(spark, sf).write.options(**CSV).csv(path)
+    parquet(spark, sf, "events").select("event_id", "event_type").repartitionByRange(4, "event_id").write.options(
+        **CSV).csv(path)
     _, header, n, size = preview(spark, path, "*.csv")
-    return spark.createDataFrame([(",".join(header), n > 0 and size > 0)], "header string, has_files boolean")
+    return spark.createDataFrame([(",".join(header), n, size)], "header string, files long, bytes long")
 
 
 # ---------------------------------------------------------------------------

@@ -51,17 +51,17 @@ def glob_regex(pattern: str) -> str:
 
 def listing(spark: SparkSession, root: str, pattern: str, exclude: tuple[str, ...] = (),
             max_files: int = 0) -> DataFrame:
-    """Matching files in path order: path, relative path, size. Contents are not read.
+    """Matching files: path, relative path, size, content. Contents are read only
+    where that column is used. Empty files are not listed.
     ``exclude`` globs look at the file name; ``max_files`` above 0 takes the first files only."""
     if not pattern:
         raise ValueError("a file pattern is required, such as **/*.csv")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-             .select("path", relative(spark, root, F.col("path")).alias("relative_path"), "length"))
+             .select("path", relative(spark, root, F.col("path")).alias("relative_path"), "length", "content"))
     files = files.filter(F.col("relative_path").rlike(glob_regex(pattern)))
     for glob in exclude:
         files = files.filter(~F.regexp_extract("path", "[^/]*$", 0).rlike(glob_regex(glob)))
-    files = files.orderBy("relative_path")
-    return files.limit(max_files) if max_files > 0 else files
+    return files.orderBy("relative_path").limit(max_files) if max_files > 0 else files
 
 
 def preview(spark: SparkSession, root: str, pattern: str, exclude: tuple[str, ...] = (),
@@ -69,10 +69,10 @@ def preview(spark: SparkSession, root: str, pattern: str, exclude: tuple[str, ..
     """Relative paths, union header, file count and total bytes."""
     files = listing(spark, root, pattern, exclude, max_files)
     totals = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).first()
-    paths = [r["path"] for r in files.select("path").collect()]
+    paths = [r["path"] for r in files.orderBy("relative_path").select("path").collect()]
     heads = first_records(spark, paths) if paths else {}
     header = union_header(normal_names(head.record) for head in heads.values() if head.record)
-    return files.select("relative_path"), header, totals["n"], totals["bytes"] or 0
+    return files.select("relative_path").orderBy("relative_path"), header, totals["n"], totals["bytes"] or 0
 
 
 def read_csv_directory(spark: SparkSession, root: str, pattern: str, *,
@@ -88,7 +88,7 @@ def read_csv_directory(spark: SparkSession, root: str, pattern: str, *,
     """
     if paths is None:
         paths = [r["path"] for r in
-                 listing(spark, root, pattern, exclude, max_files).select("path").collect()]
+                 listing(spark, root, pattern, exclude, max_files).orderBy("relative_path").select("path").collect()]
     if not paths:
         raise ValueError(f"no files match {pattern!r} in {root}")
     heads = first_records(spark, paths)

@@ -1,7 +1,7 @@
 """The first record of many files, in parallel and without reading the rest.
 
-Spark's text reader opens the files, so every file system and ending it knows will do; a task
-stops after the first record of its file. Only what Spark can't decompress is opened here.
+Spark's text reader opens the files, so every file system and ending it knows will do. Large
+files are not read beyond the first record. Only what Spark can't decompress is opened here.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import io
 import lzma
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
 # Suffixes and leading bytes of compressed files.
@@ -25,8 +26,12 @@ SUFFIXES = {".gz": "gzip", ".bz2": "bzip2", ".xz": "xz"}
 MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz"}
 OPENERS = {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}
 
-# A split this large is a whole file, and no two files share a task.
-WHOLE_FILES = {"spark.sql.files.maxPartitionBytes": str(1 << 50),
+# Files up to this many bytes are read to their end, many by one task; a file is not cut below it.
+SMALL_FILE = 4 << 20
+SMALL_FILES = {"spark.sql.files.maxPartitionBytes": str(32 * SMALL_FILE),
+               "spark.sql.files.openCostInBytes": str(SMALL_FILE)}
+# A split this large is a whole file, and no two files share a task, which ends after the first record.
+LARGE_FILES = {"spark.sql.files.maxPartitionBytes": str(1 << 50),
                "spark.sql.files.openCostInBytes": str(1 << 50),
                "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
 # Cells may be as long as Python allows.
@@ -62,28 +67,49 @@ def skips_broken(spark: SparkSession) -> bool:
     return spark.conf.get("spark.sql.files.ignoreCorruptFiles", "false").lower() == "true"
 
 
-def _first_line_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``path, value`` of one file to its first record; the rest is not asked for."""
-    csv.field_size_limit(LONGEST_CELL)
-    seen: list[tuple[str, bytes]] = []
+def _record(values: Iterator[bytes]) -> tuple[bytes, list[str] | None]:
+    """First bytes and first record of a file's lines."""
+    start: list[bytes] = []
 
     def lines() -> Iterator[str]:
-        for batch in batches:
-            for path, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not seen:
-                    seen.append((path, value[:6]))
-                yield value.decode("utf-8", errors="replace") + "\n"
+        for value in values:
+            if not start:
+                start.append(value[:6])
+            yield value.decode("utf-8", errors="replace") + "\n"
 
     try:
         record = next((r for r in csv.reader(lines()) if r), None)
     except csv.Error:
-        if not any(seen[0][1].startswith(magic) for magic in MAGIC):
+        if not start[0].startswith(tuple(MAGIC)):
             raise
         record = None
-    if seen:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([seen[0][0]]), pa.array([seen[0][1]], pa.binary()),
-             pa.array([record], pa.list_(pa.string()))], names=["path", "start", "record"])
+    return start[0], record
+
+
+def _looked(one_file: bool):
+    """Rows ``path, value``, file after file, to the head of each file; with ``one_file`` the
+    rest of the input is not asked for."""
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(LONGEST_CELL)
+        rows = (row for batch in batches
+                for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for path, group in groupby(rows, key=lambda row: row[0]):
+            start, record = _record(value for _, value in group)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([path]), pa.array([start], pa.binary()),
+                 pa.array([record], pa.list_(pa.string()))], names=["path", "start", "record"])
+            if one_file:
+                return
+    return look
+
+
+def _text_heads(spark: SparkSession, paths: list[str], small: bool) -> list[Row]:
+    own = spark.newSession()
+    for key, value in (SMALL_FILES if small else LARGE_FILES).items():
+        own.conf.set(key, value)
+    own.conf.set("spark.sql.files.ignoreCorruptFiles", str(skips_broken(spark)).lower())
+    lines = own.read.text(paths).select(F.col("_metadata.file_path"), F.col("value").cast("binary"))
+    return lines.mapInArrow(_looked(not small), "path string, start binary, record array<string>").collect()
 
 
 def _streamed_records(spark: SparkSession, paths: list[str]) -> dict[str, list[str] | None]:
@@ -119,13 +145,15 @@ def _streamed_records(spark: SparkSession, paths: list[str]) -> dict[str, list[s
 def first_records(spark: SparkSession, paths: list[str]) -> dict[str, Head]:
     """Head of each file. An unreadable file is an error unless
     ``spark.sql.files.ignoreCorruptFiles`` is set; then it counts as empty."""
-    own = spark.newSession()
-    for key, value in WHOLE_FILES.items():
-        own.conf.set(key, value)
-    own.conf.set("spark.sql.files.ignoreCorruptFiles", str(skips_broken(spark)).lower())
-    lines = own.read.text(paths).select(F.col("_metadata.file_path"), F.col("value").cast("binary"))
-    found = {bare_path(r["path"]): r for r in lines.mapInArrow(
-        _first_line_record, "path string, start binary, record array<string>").collect()}
+    rows = []
+    if len(paths) == 1:
+        rows = _text_heads(spark, paths, small=False)
+    else:
+        sizes = spark.read.format("binaryFile").load(paths).select("path", F.col("length") <= SMALL_FILE).collect()
+        for small in (True, False):
+            if group := [path for path, fits in sizes if fits == small]:
+                rows += _text_heads(spark, group, small)
+    found = {bare_path(r["path"]): r for r in rows}
     heads: dict[str, Head] = {}
     for path in paths:
         row = found.get(bare_path(path)) or (next(iter(found.values()), None) if len(paths) == 1 else None)

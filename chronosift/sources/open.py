@@ -91,7 +91,7 @@ def _directory(spark: SparkSession, root: str, options: FileOptions, sources: So
     """Files of a kind are read together; kinds are united by column name, as text, and
     rows numbered by path and place."""
     paths = [r["path"] for r in directory.listing(
-        spark, root, options.file_pattern, exclude, max_files).select("path").collect()]
+        spark, root, options.file_pattern, exclude, max_files).orderBy("relative_path").select("path").collect()]
     if not paths:
         raise ValueError(f"no files match {options.file_pattern!r} in {root}")
     groups: dict[tuple, list[str]] = {}

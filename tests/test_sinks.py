@@ -3,9 +3,11 @@ import hashlib
 import os
 
 from chronosift.operators import annotations as A
+from chronosift.operators import fingerprints
 from chronosift.operators.fingerprints import directory_changed, directory_hash, file_hashes
 from chronosift.sinks.selection import export_selection, selection
 from chronosift.sinks.timeline import export_timeline, timeline
+from chronosift.sources.directory import listing
 
 
 def lines(path):
@@ -45,16 +47,22 @@ def test_selection(make, tmp_path):
     assert selection(table).count() == 5
 
 
-def test_fingerprints(spark, tmp_path):
+def test_fingerprints(spark, tmp_path, monkeypatch):
     os.makedirs(f"{tmp_path}/d/s")
-    data = {"a.bin": b"one", "s/b.bin": b"two" * 100000}
+    data = {"a.bin": b"one", "s/b.bin": b"two" * 100000, "s/b c.bin": b"3"}
     for name, body in data.items():
         with open(f"{tmp_path}/d/{name}", "wb") as f:
             f.write(body)
-    paths = spark.createDataFrame([(f"{tmp_path}/d/{n}",) for n in data] + [("/no/such",)], "path string")
-    got = {os.path.basename(r.path): r.file_hash for r in file_hashes(paths).collect()}
-    assert got == {os.path.basename(n): hashlib.sha256(b).hexdigest() for n, b in data.items()}
-    want = hashlib.sha256(b"".join(hashlib.sha256(data[n]).digest() + n.encode() for n in sorted(data))).hexdigest()
+    sha = lambda b: hashlib.sha256(b.encode() if isinstance(b, str) else b).hexdigest()
+    for cell in (fingerprints.CELL, 5):
+        monkeypatch.setattr(fingerprints, "CELL", cell)
+        got = {r.path[-5:]: r.file_hash for r in file_hashes(listing(spark, f"{tmp_path}/d", "**/*.bin")).collect()}
+        assert got == {n[-5:]: sha(b) for n, b in data.items()}
+    level = sorted((sha(n), sha(sha(b) + n)) for n, b in data.items())
+    for digits in (4, 2, 0):
+        level = [(mark, sha("".join(h for m, h in level if m[:digits] == mark)))
+                 for mark in sorted({m[:digits] for m, _ in level})]
+    want = level[0][1]
     assert directory_hash(spark, f"{tmp_path}/d", "**/*.bin") == want
     assert not directory_changed(spark, f"{tmp_path}/d", "**/*.bin", want)
     assert directory_changed(spark, f"{tmp_path}/d", "*.bin", want)

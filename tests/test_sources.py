@@ -8,7 +8,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from chronosift.sources import jsonfiles, syslog, weblogs
+from chronosift.functions.predicates import starts, term
+from chronosift.sources import heads, jsonfiles, syslog, weblogs
 from chronosift.sources.directory import glob_regex, preview
 from chronosift.sources.headers import normal_names, unnamed
 from chronosift.sources.open import load_events, open_events, save_events
@@ -45,6 +46,35 @@ def test_csv(spark, tmp_path, multiline):
     assert bare.columns == ("Unnamed_A", "Unnamed_B", "Unnamed_C") and bare.total() == 4
 
 
+def test_surplus_cells(spark, tmp_path):
+    path = write(f"{tmp_path}/x.csv", 'a,b\n1,2,,"x, ""y""",z\n3\n4,"p\nq",5\n6,7,\n')
+    table = open_events(spark, path)
+    assert table.columns == ("a", "b") and table.total() == 4
+    more = {r.a: r["__surplus__"] for r in table.df.collect()}
+    assert more == {"1": ["", 'x, "y"', "z"], "3": None, "4": ["5"], "6": [""]}
+    hits = lambda *tests: [r[0] for r in rows(table.filter(*tests))]
+    assert hits(term('x, "Y')) == ["1"] and hits(starts("z")) == ["1"] and hits(term("5")) == ["4"]
+    assert hits(term("q,5")) == []
+    write(f"{tmp_path}/d/a.csv", "a,b\n1,2,found\n")
+    with gzip.open(f"{tmp_path}/d/b.csv", "wb") as f:
+        f.write(b"b,c\n1,2,found\n3\n")
+    both = open_events(spark, f"{tmp_path}/d", FileOptions(is_directory=True, file_pattern="*"))
+    assert both.columns == ("a", "b", "c")
+    assert rows(both.filter(term("found"))) == [("1", "2", None), (None, "1", "2")]
+
+
+def test_heads_of_small_and_large_files(spark, tmp_path, monkeypatch):
+    paths = [write(f"{tmp_path}/{n}.csv", text) for n, text in (
+        ("a", '\n\n"x\ny",z\n1,2\n'), ("b", ""), ("c", "one\n" + "1\n" * 50), ("d", "\n\n"))]
+    for size in (1 << 20, 10):
+        monkeypatch.setattr(heads, "SMALL_FILE", size)
+        found = heads.first_records(spark, paths)
+        assert [found[p].record for p in paths] == [["x\ny", "z"], None, ["one"], None]
+        assert not any(h.streamed for h in found.values())
+    with pytest.raises(Exception, match="(?i)not_found|not exist"):
+        heads.first_records(spark, [f"{tmp_path}/none.csv"])
+
+
 def test_row_index_over_many_splits(spark, tmp_path):
     path = write(f"{tmp_path}/big.csv", "n,pad\n" + "".join(f"{i},{'x' * 40}\n" for i in range(20000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
