@@ -337,6 +337,21 @@ def json_value(spark, sf):
     return parquet(spark, sf, "events").select("event_id", at(F.col("props"), "$.k").alias("k"))
 
 
+JSON_DOCUMENT = """'{"a":{"p":' || props || '},"list":[' || props || ',{"k":' || event_id || '}]}'"""
+
+
+@query("json_value_descent", """
+select event_id, cast(json_extract(props, '$.k') as bigint) as deep, event_id as last,
+  cast(json_extract(props, '$.k') as bigint) as sliced, case when cast(json_extract(props, '$.k') as bigint) > 50
+  then cast(json_extract(props, '$.k') as bigint) when event_id > 50 then event_id end as tested from events""")
+def json_value_descent(spark, sf):
+    from chronosift.functions.jsonpath import json_value as at
+    document = F.expr(JSON_DOCUMENT)
+    paths = {"deep": "$..k", "last": "$.list[-1].k", "sliced": "$.list[:1].k", "tested": "$.list[?(@.k > 50)].k"}
+    return parquet(spark, sf, "events").select(
+        "event_id", *[at(document, path).cast("bigint").alias(name) for name, path in paths.items()])
+
+
 @query("json_cells", """
 select event_id, case when event_type = 'view' then event_type else json_extract_string(props, '$.k') end
   as props from events""")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronosift.functions.jsonpath import is_plain, json_part
 from chronosift.operators.ordinal import dense, located
 from chronosift.session import pinned
 from chronosift.sources.cells import named_rows
@@ -61,7 +62,9 @@ def _items(documents: DataFrame, jpath: str) -> DataFrame:
 
 def _at(jpath: str) -> Column:
     """The part of the document in ``value`` at the path; '$' is all of it."""
-    return F.col("value") if jpath.strip() == "$" else F.get_json_object("value", jpath)
+    if jpath.strip() == "$":
+        return F.col("value")
+    return F.get_json_object("value", jpath) if is_plain(jpath) else json_part(F.col("value"), jpath)
 
 
 def read_objects(spark: SparkSession, paths: list[str], jpath: str) -> DataFrame:
