@@ -50,12 +50,17 @@ def number_blocks(df: DataFrame, block: list[str], name: str, within: str) -> Da
     return _shift(df, small_side(offsets), block, name, within)
 
 
+def file_path() -> Column:
+    """The file of a row. Spark's metadata escape blanks and such; names are as they are."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def located(df: DataFrame) -> DataFrame:
     """A text-like read with the place of each row: file, split start, and an id that
     grows in reading order inside the split."""
     return df.select(
         "*",
-        F.col("_metadata.file_path").alias("_file"),
+        file_path().alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"))
 

@@ -64,6 +64,14 @@ def locate(registry: DataFrame, scanned: DataFrame) -> DataFrame:
     return registry.join(found, "file_hash")
 
 
+def locate_directories(registry: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Rows of registered directories that were found again: same hash under the same
+    pattern; ``scanned`` has path, file_pattern, file_hash. Of several the smallest path."""
+    found = scanned.groupBy("file_hash", "file_pattern").agg(F.min("path").alias("located_path"))
+    wanted = registry.filter("options.is_directory").withColumn("file_pattern", F.col("options.file_pattern"))
+    return wanted.join(found, ["file_hash", "file_pattern"]).select(*registry.columns, "located_path")
+
+
 def reconcile_files(store: DataFrame, local: DataFrame) -> DataFrame:
     """File records of the shared store, with the paths this side already knows."""
     known = local.select("file_key", F.col("file_path").alias("_path"))

@@ -788,6 +788,13 @@ def file_list(spark, sf):
         "file_key", F.col("file_hash").cast("bigint").alias("hash"), "annotations")
 
 
+@query("file_describe", """
+select c_name as file_key, case when c_custkey = 7 then 'seen' else c_mktsegment end as description from customer""")
+def file_describe(spark, sf):
+    from chronosift.operators.registry import describe
+    return describe(registry(spark, sf), "Customer#000000007", "seen").select("file_key", "description")
+
+
 @query("file_locate", """
 select c_name as file_key, concat('/scan/', lpad(cast(min(o_orderkey) as varchar), 9, '0')) as located_path
 from customer join orders on o_custkey = c_custkey group by 1""")

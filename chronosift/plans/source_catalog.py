@@ -417,6 +417,37 @@ def directory_fingerprint(spark, sf):
                                  "directory_hash string, changed boolean")
 
 
+@query("directory_locate", """
+select distinct event_type as file_key, 'deep/copy/event_type=' || event_type as located_path from events""")
+def directory_locate(spark, sf):
+    """Directories registered by hash and pattern, found again below another root."""
+    from chronosift.operators.fingerprints import directory_hashes
+    from chronosift.operators.registry import locate_directories
+    path = scratch_path(spark, "locate")
+    parquet(spark, sf, "events").select("event_type", "props").write.partitionBy("event_type").text(f"{path}/deep/copy")
+    known = directory_hashes(spark, f"{path}/deep/copy", ["*.txt"]).select(
+        F.split_part("path", F.lit("="), F.lit(2)).alias("file_key"), F.lit("").alias("file_path"), "file_hash",
+        F.struct(*[F.lit(v).alias(n) for n, v in (
+            ("jpath", ""), ("no_header_row", True), ("ingest_tz", ""), ("plugin_id", ""), ("is_directory", True),
+            ("file_pattern", "*.txt"), ("include_source", False))]).alias("options"), F.lit("").alias("description"))
+    found = directory_hashes(spark, path, ["*.txt", "*.csv"])
+    return locate_directories(known, found).select("file_key", "located_path")
+
+
+@query("source_json_descent", """
+select cast(event_id as varchar) as event_id, event_type from events where event_type <> 'click'""")
+def source_json_descent(spark, sf):
+    """Records picked by descent and a test from documents that nest them."""
+    path = scratch_path(spark, "nested")
+    item = F.to_json(F.struct("event_id", "event_type"))
+    parquet(spark, sf, "events").groupBy((F.col("event_id") % 4).alias("_part")).agg(F.concat(
+        F.lit('{"a":[{"list":['), F.array_join(F.collect_list(item), ","), F.lit("]}]}")).alias("value")).repartition(
+        8, "_part").select("value").write.text(path)
+    found = open_events(spark, path, FileOptions(is_directory=True, file_pattern="*.txt",
+                                                 jpath="$..list[?(@.event_type != 'click')]"), kind="json")
+    return found.result(ordered=False)
+
+
 @query("directory_preview", """
 select 'event_id,event_type' as header, 4 as files,
   4 * 20 + sum(length(cast(event_id as varchar)) + length(event_type) + 2) as bytes from events""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronosift.functions.text import col, text
 from chronosift.operators.annotations import latest_per_row
 from chronosift.plans.event_table import EventTable
+from chronosift.session import pinned
 
 # Names of the leading columns of the export.
 TIME, PATH, DESCRIPTION, NOTE = (
@@ -39,7 +40,8 @@ def timeline(tables: list[EventTable], annotations: DataFrame, registry: DataFra
     usable = [t for t in tables if t.time_col is not None]
     if not usable:
         raise ValueError("no file has a time column")
-    current = latest_per_row(annotations)
+    # Settled once and not once per table.
+    current = pinned(latest_per_row(annotations.filter(F.col("file_key").isin([t.file_key for t in usable]))))
     # One record per table handed in.
     facts = {r["file_key"]: r for r in registry.filter(
         F.col("file_key").isin([t.file_key for t in usable])).collect()}

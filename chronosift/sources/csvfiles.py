@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronosift.operators.ordinal import located
+from chronosift.operators.ordinal import file_path, located
 from chronosift.sources.headers import SURPLUS, normal_names, unnamed
-from chronosift.sources.heads import first_records
+from chronosift.sources.heads import bare_path, first_records
 
 SETTINGS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1",
             "maxColumns": "100000"}
@@ -32,23 +32,20 @@ def beyond(cells: Column, width: Column) -> Column:
     return F.when(F.size(cells) > width, F.slice(cells, width + 1, F.size(cells)))
 
 
-def has_multiline_records(spark: SparkSession, paths: list[str]) -> bool:
-    """Whether some record may span lines: then a line has an odd number of quotes.
-
-    Files without such a line are read in splits; the others need one task per file,
-    since no split can know whether it starts inside quotes.
-    """
+def unsplittable(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files in which some record may span lines: those with a line of an odd number of
+    quotes. They need one task per file, since no split can know whether it starts inside
+    quotes; the others are read in splits."""
     lines = spark.read.text(paths)
     odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-    return not lines.filter(odd).limit(1).isEmpty()
+    # A part of the file list that came in.
+    found = {bare_path(r[0]) for r in lines.filter(odd).select(file_path().alias("path")).distinct().collect()}
+    known = [p for p in paths if bare_path(p) in found]
+    # A folder or a relative path can't be told from its files' names.
+    return known if len(known) == len(found) else list(paths)
 
 
-def read_group(spark: SparkSession, paths: list[str], names: list[str], header: bool,
-               multiline: bool | None = None) -> DataFrame:
-    """Files that share their columns, as a located read. Short rows are padded; what a row
-    has beyond the header is in ``SURPLUS``."""
-    if multiline is None:
-        multiline = has_multiline_records(spark, paths)
+def _located(spark: SparkSession, paths: list[str], names: list[str], header: bool, multiline: bool) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, RECORD)])
     rows = (spark.read.options(**SETTINGS).option("header", header).option("columnNameOfCorruptRecord", RECORD)
             .option("multiLine", multiline).schema(schema).csv(paths))
@@ -56,6 +53,17 @@ def read_group(spark: SparkSession, paths: list[str], names: list[str], header:
     return located(rows).withColumn(SURPLUS, surplus).drop(RECORD)
 
 
+def read_group(spark: SparkSession, paths: list[str], names: list[str], header: bool,
+               multiline: bool | None = None) -> DataFrame:
+    """Files that share their columns, as a located read. Short rows are padded; what a row
+    has beyond the header is in ``SURPLUS``. Without ``multiline`` each file is looked at."""
+    whole = unsplittable(spark, paths) if multiline is None else paths if multiline else []
+    away = set(whole)
+    split = [p for p in paths if p not in away]
+    parts = [_located(spark, group, names, header, kind) for group, kind in ((split, False), (whole, True)) if group]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def read_csv(spark: SparkSession, path: str, no_header_row: bool = False,
              multiline: bool | None = None) -> DataFrame:
     """One CSV file as a located read."""

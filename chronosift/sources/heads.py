@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
+from chronosift.operators.ordinal import file_path
+
 # Suffixes and leading bytes of compressed files.
 SUFFIXES = {".gz": "gzip", ".bz2": "bzip2", ".xz": "xz"}
 MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz"}
@@ -108,7 +110,7 @@ def _text_heads(spark: SparkSession, paths: list[str], small: bool) -> list[Row]
     for key, value in (SMALL_FILES if small else LARGE_FILES).items():
         own.conf.set(key, value)
     own.conf.set("spark.sql.files.ignoreCorruptFiles", str(skips_broken(spark)).lower())
-    lines = own.read.text(paths).select(F.col("_metadata.file_path"), F.col("value").cast("binary"))
+    lines = own.read.text(paths).select(file_path().alias("path"), F.col("value").cast("binary"))
     return lines.mapInArrow(_looked(not small), "path string, start binary, record array<string>").collect()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronosift.functions.jsonpath import is_plain, json_part
-from chronosift.operators.ordinal import dense, located
+from chronosift.operators.ordinal import dense, file_path, located
 from chronosift.session import pinned
 from chronosift.sources.cells import named_rows
 from chronosift.sources.headers import normal_names
@@ -22,7 +22,7 @@ REJECTED = "_rejected"
 def _documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per file. A document has to fit in one cell; larger data belongs in
     line-delimited files, which are split."""
-    return spark.read.text(paths, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("_file"))
+    return spark.read.text(paths, wholetext=True).select(F.col("value"), file_path().alias("_file"))
 
 
 def _one_value(document: str) -> str | None:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.operators.ordinal import number_blocks, with_file_ordinal
+from chronosift.operators.ordinal import file_path, number_blocks, with_file_ordinal
 from chronosift.plans.event_table import EventTable
 from chronosift.sources import cells, compressed, csvfiles, directory, jsonfiles, workbooks
 from chronosift.sources.headers import SURPLUS
@@ -129,7 +129,7 @@ def _group(spark: SparkSession, root: str, options: FileOptions, multiline: bool
             pinned(workbooks.read_cells(spark, paths)), options.no_header_row), ROW)
     elif kind == "parquet":
         rows = spark.read.parquet(*paths).select(
-            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias(ROW))
+            "*", file_path().alias("_file"), F.col("_metadata.row_index").alias(ROW))
     else:
         rows = loader(spark, paths, replace(options, is_directory=True))
     return rows.withColumn("_file", directory.relative(spark, root, F.col("_file"))).select(

@@ -143,6 +143,12 @@ def test_store(spark, tmp_path, table, none):
     assert store.load(spark, path, A.SCHEMA).count() == 3
     assert store.load(spark, path, A.SCHEMA, version=1).count() == 6
     assert A.list_annotations(store.load(spark, path, A.SCHEMA), color="grey").count() == 3
+    (tmp_path / "notes" / "table_version=3").mkdir()        # a save that is not done
+    (tmp_path / "notes" / "_claims" / "4").touch()          # and one that has only begun
+    assert store.versions(spark, path) == [1, 2] and store.load(spark, path, A.SCHEMA).count() == 3
+    assert store.save(store.load(spark, path, A.SCHEMA), path) == 5 and store.versions(spark, path) == [1, 2, 5]
+    with pytest.raises(LookupError):
+        store.load(spark, path, A.SCHEMA, version=3)
 
 
 def test_options_key():

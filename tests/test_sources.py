@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronosift.functions.predicates import starts, term
-from chronosift.sources import heads, jsonfiles, syslog, weblogs
-from chronosift.sources.directory import glob_regex, preview
+from chronosift.sources import csvfiles, heads, jsonfiles, syslog, weblogs
+from chronosift.sources.directory import glob_regex, listing, preview
 from chronosift.sources.headers import normal_names, unnamed
 from chronosift.sources.open import load_events, open_events, save_events
 from chronosift.sources.options import FileOptions
@@ -46,6 +46,20 @@ def test_csv(spark, tmp_path, multiline):
     assert bare.columns == ("Unnamed_A", "Unnamed_B", "Unnamed_C") and bare.total() == 4
 
 
+def test_files_with_line_breaks_are_told_apart(spark, tmp_path):
+    for i in range(4):
+        write(f"{tmp_path}/d/f {i}.csv", "a,b\n" + ('1,"x\ny"\n' if i == 2 else f"{i},z\n") * 3)
+    paths = [r.path for r in listing(spark, f"{tmp_path}/d", "*.csv").collect()]
+    assert [p[-5] for p in csvfiles.unsplittable(spark, paths)] == ["2"]
+    table = open_events(spark, f"{tmp_path}/d", FileOptions(is_directory=True, file_pattern="*.csv"))
+    got = [(r._row_index, r.a, r.b) for r in table.df.orderBy("_row_index").collect()]
+    want = [(str(i) if i != 2 else "1", "x\ny" if i == 2 else "z") for i in range(4) for _ in range(3)]
+    assert got == [(i, *w) for i, w in enumerate(want)]
+    write(f"{tmp_path}/d/g+%.csv", "a\n1\n")
+    named = open_events(spark, f"{tmp_path}/d", FileOptions(is_directory=True, file_pattern="*.csv", include_source=True))
+    assert {r[0] for r in named.df.select("__source_file__").distinct().collect()} == {f"f {i}.csv" for i in range(4)} | {"g+%.csv"}
+
+
 def test_surplus_cells(spark, tmp_path):
     path = write(f"{tmp_path}/x.csv", 'a,b\n1,2,,"x, ""y""",z\n3\n4,"p\nq",5\n6,7,\n')
     table = open_events(spark, path)
