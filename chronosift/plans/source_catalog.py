@@ -181,6 +181,33 @@ def source_json_arrays(spark, sf):
     return open_events(spark, path, _directory("**/*.txt", jpath="$"), kind="json").result(ordered=False)
 
 
+@query("source_json_shapes", """
+select cast(event_id as varchar) as event_id, event_type, case when event_id // 500 % 2 = 1 then props else '' end as detail,
+  false as rejected, event_id as row_index from events
+union all select '', '', '', true, (select count(*) from events) + i from range(2) t(i)""")
+def source_json_shapes(spark, sf):
+    """Documents of objects, documents of arrays, and two that hold neither, in one folder."""
+    path = scratch_path(spark, "shapes")
+    chunk = F.floor(F.col("event_id").cast("bigint") / 500)
+    log = _log(spark, sf).withColumn("odd", chunk % 2 == 1).withColumn("chunk", F.lpad(chunk.cast("string"), 12, "0"))
+
+    def documents(odd: bool, item, names) -> DataFrame:
+        rows = F.sort_array(F.collect_list(F.struct(F.col("event_id").cast("bigint"), item.alias("item"))))
+        items = F.transform(rows, lambda r: r["item"])
+        return log.filter(F.col("odd") == odd).groupBy("chunk").agg(
+            F.to_json(items if names is None else F.concat(names, items)).alias("value"))
+
+    names = F.array(F.array(F.lit("event_id"), F.lit("event_type"), F.lit("detail")))
+    neither = spark.createDataFrame([("x1", '{"event_id": 1}'), ("x2", "[1, 2]")], "chunk string, value string")
+    for part in (documents(False, F.struct("event_id", "event_type"), None),
+                 documents(True, F.array("event_id", "event_type", "props"), names), neither):
+        part.write.mode("append").partitionBy("chunk").text(path)
+    t = open_events(spark, path, _directory("**/*.txt", jpath="$"), kind="json")
+    cell = lambda name: F.coalesce(name, F.lit("")).alias(name)
+    return t.df.select(cell("event_id"), cell("event_type"), cell("detail"),
+                       (F.coalesce("_rejected", F.lit("")) != "").alias("rejected"), F.col(t.ROW_INDEX).alias("row_index"))
+
+
 @query("source_upper_lines", "select upper(props) as content, count(*) as n from events group by 1")
 def source_upper_lines(spark, sf):
     path = scratch_path(spark, "lines")

@@ -4,6 +4,7 @@ another. All cells are text; nested values stay JSON text."""
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,13 +52,23 @@ def one_value(documents: pd.Series) -> pd.Series:
 
 
 def _items(documents: DataFrame, jpath: str) -> DataFrame:
-    """(file, position, item, broken) of the array at the path, items as JSON text. A file
-    that holds no JSON is one item, its text."""
+    """(file, shape, position, item) of the array at the path, items as JSON text. Each file
+    has the shape of its own first item: ``arrays``, or ``objects`` if there are any; items of
+    the other shape are skipped. A file that holds no JSON, or whose path gives no array of
+    either, is one item, its text: ``broken`` or ``other``. Blank files and empty arrays have none."""
     whole = documents.select("_file", F.col("value").alias("_text"), one_value("value").alias("value"))
-    broken = F.col("value").isNull() & (F.trim("_text") != "")
-    items = F.when(broken, F.array("_text")).otherwise(F.from_json(_at(jpath), "array<string>"))
-    return (whole.select("_file", broken.alias("_broken"), items.alias("items"))
-            .select("_file", "_broken", F.posexplode("items").alias("_pos", "item")))
+    found = whole.select("_file", "_text", F.col("value").isNull().alias("_broken"),
+                         F.from_json(_at(jpath), "array<string>").alias("_found"))
+    starts = lambda item, mark: F.coalesce(F.ltrim(item).startswith(mark), F.lit(False))
+    of = lambda mark: F.filter("_found", lambda item: starts(item, mark))
+    shape = (F.when(F.col("_broken"), "broken")
+             .when(starts(F.get("_found", F.lit(0)), "["), "arrays")
+             .when(F.size(of("{")) > 0, "objects").otherwise("other"))
+    shaped = found.filter((F.trim("_text") != "") & F.coalesce(F.size("_found") != 0, F.lit(True))).select(
+        "*", shape.alias("_shape"))
+    items = (F.when(F.col("_shape") == "arrays", of("[")).when(F.col("_shape") == "objects", of("{"))
+             .otherwise(F.array("_text")))
+    return shaped.select("_file", "_shape", F.posexplode(items).alias("_pos", "item"))
 
 
 def _at(jpath: str) -> Column:
@@ -67,25 +78,12 @@ def _at(jpath: str) -> Column:
     return F.get_json_object("value", jpath) if is_plain(jpath) else json_part(F.col("value"), jpath)
 
 
-def read_objects(spark: SparkSession, paths: list[str], jpath: str) -> DataFrame:
-    """Objects as rows: the union of their keys, sorted by name; items that are no
-    objects are skipped. The text of files without JSON stands in ``_rejected``. Columns: the
-    keys, ``_file``, ``_pos``."""
-    items = _items(_documents(spark, paths), jpath)
-    return _spread(items.filter(F.col("_broken") | F.ltrim("item").startswith("{")), spark)
-
-
 def _object(text: str) -> Column:
     """The keys and values of an object; of anything else, its text under ``_rejected``."""
     found = F.when(F.ltrim(text).startswith("{"), F.from_json(text, "map<string,string>"))
     return F.coalesce(found, F.create_map(F.lit(REJECTED), F.col(text)))
 
 
-def _spread(items: DataFrame, spark: SparkSession) -> DataFrame:
-    maps = pinned(items.select("_file", "_pos", _object("item").alias("_by")))
-    return spread_keys(maps)
-
-
 def spread_keys(maps: DataFrame) -> DataFrame:
     """One column per key of ``_by``. The distinct keys, the header of the result, are
     found by one aggregate; files come in path order, keys by name inside a file."""
@@ -100,22 +98,35 @@ def spread_keys(maps: DataFrame) -> DataFrame:
         for k, n in zip(keys, normal_names(keys))))
 
 
-def read_arrays(spark: SparkSession, paths: list[str], jpath: str) -> DataFrame:
-    """Arrays as rows: the first inner array is the header."""
-    items = _items(_documents(spark, paths), jpath)
-    read = F.from_json("item", "array<string>")
-    cells = (items.filter(F.col("_broken") | F.ltrim("item").startswith("["))
-             .select("_file", F.col("_pos").cast("bigint"), F.coalesce(read, F.array("item")).alias("cells")))
-    return named_rows(pinned(cells))
+def _objects(items: DataFrame) -> DataFrame:
+    """Objects as rows: the union of their keys, sorted by name; files without a shape as
+    ``_rejected``. Columns: the keys, ``_file``, ``_pos``."""
+    by = F.when(F.col("_shape") == "objects", _object("item")).otherwise(F.create_map(F.lit(REJECTED), F.col("item")))
+    return spread_keys(pinned(items.select("_file", F.col("_pos").cast("bigint"), by.alias("_by"))))
+
+
+def _arrays(items: DataFrame) -> DataFrame:
+    """Arrays as rows: the first inner array of a file is its header."""
+    return named_rows(pinned(items.select(
+        "_file", F.col("_pos").cast("bigint"), F.from_json("item", "array<string>").alias("cells"))))
 
 
 def read_records(spark: SparkSession, paths: list[str], jpath: str) -> DataFrame:
-    """Objects or arrays, as the first item says."""
-    first = _items(_documents(spark, paths), jpath).filter("_pos = 0").orderBy("_broken", "_file").first()
-    if first is None:
-        raise ValueError(f"the path {jpath!r} gives no array with items")
-    is_array = (first["item"] or "").lstrip().startswith("[")
-    return (read_arrays if is_array else read_objects)(spark, paths, jpath)
+    """Objects or arrays, as the first item of each file says; files of both shapes are united by
+    name. The text of a file without JSON, or without such an array at the path, stands in
+    ``_rejected``. It is an error when the path gives no file an array."""
+    items = pinned(_items(_documents(spark, paths), jpath))
+    shapes = {r["_shape"]: r["first"] for r in items.groupBy("_shape").agg(F.min("_file").alias("first")).collect()}
+    if not shapes.keys() & {"arrays", "objects", "broken"}:
+        raise ValueError(f"the path {jpath!r} gives no array of objects or arrays")
+    parts = []
+    if "arrays" in shapes:
+        parts.append((shapes["arrays"], _arrays(items.filter("_shape = 'arrays'"))))
+    if shapes.keys() - {"arrays"}:
+        first = min(f for shape, f in shapes.items() if shape != "arrays")
+        parts.append((first, _objects(items.filter("_shape <> 'arrays'"))))
+    parts = [rows for _, rows in sorted(parts, key=lambda p: p[0])]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:

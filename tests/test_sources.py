@@ -229,6 +229,22 @@ def test_json_values_one_after_another(spark, tmp_path):
     assert sorted(rows(open_events(spark, lines))) == sorted([("", "1", "x"), ("broken", "", ""), ("", "", "y")])
 
 
+def test_json_shape_of_each_file(spark, tmp_path):
+    for name, value in (("a", [{"k": 1}, 5, {"k": 2, "only": "x"}]), ("b", [["k", "v"], [3, "y"], [4]]), ("c", {"k": 9}),
+                        ("d", [1, 2]), ("e", []), ("g", [["v"], {"k": 7}, ["z"]])):
+        write(f"{tmp_path}/d/{name}.json", json.dumps({"data": value}))
+    write(f"{tmp_path}/d/f.json", "no json")
+    options = FileOptions(is_directory=True, file_pattern="*.json", jpath="$.data", include_source=True)
+    table = open_events(spark, f"{tmp_path}/d", options).df.fillna("")
+    got = [tuple(r) for r in table.select("_row_index", "__source_file__", "k", "v", "only", "_rejected").orderBy("_row_index").collect()]
+    assert got == [
+        (0, "a.json", "1", "", "", ""), (1, "a.json", "2", "", "x", ""), (2, "b.json", "3", "y", "", ""), (3, "b.json", "4", "", "", ""),
+        (4, "c.json", "", "", "", '{"data": {"k": 9}}'), (5, "d.json", "", "", "", '{"data": [1, 2]}'),
+        (6, "f.json", "", "", "", "no json"), (7, "g.json", "", "z", "", "")]
+    with pytest.raises(ValueError, match="gives no array"):
+        open_events(spark, f"{tmp_path}/d/c.json", FileOptions(jpath="$.data"))
+
+
 def workbook(path, sheet, shared=None):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(path, "w") as z:
