@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +47,9 @@ def _text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return located(spark.read.text(path))
 
 
-def _numbered(rows: DataFrame, options: FileOptions, shuffled: bool = False) -> DataFrame:
+def _numbered(rows: DataFrame, options: FileOptions) -> DataFrame:
     """Rows of a directory keep their file in ``_file``."""
-    rows = with_file_ordinal(dense(rows, shuffled), "_row_index")
+    rows = with_file_ordinal(dense(rows), "_row_index")
     return rows if options.is_directory else rows.drop("_file")
 
 
@@ -66,35 +67,53 @@ def load_upper(spark: SparkSession, path: str, options: FileOptions) -> DataFram
 
 
 def load_weblog(spark: SparkSession, path: str, options: FileOptions) -> DataFrame:
-    """Web server logs: each file is read in the format its lines show; unknown
-    ones as W3C extended. Files with different W3C fields are united by name.
+    """Web server logs: each file is read in the format that most of its lines show; unknown
+    ones as W3C extended, each row by the last field list before it. Rows with different W3C
+    fields are united by name.
 
     Only the different formats and field lists come to the driver; each of them is one part
-    of the union, and lines find theirs by a join on the file.
+    of the union, and lines find theirs by a join on the file. Files in which the list varies
+    are read apart, and their lines find it row by row.
     """
     lines = _text(spark, path)
     votes = pinned(weblogs.vote(lines, order=("_start", "_seq")))
-    found = votes.groupBy("format", "fields").agg(F.min("_file").alias("first")).orderBy("first").collect()
+    found = votes.groupBy("format", "fields", "varies").agg(F.min("_file").alias("first")).orderBy("first").collect()
     if not found:
         raise ValueError(f"no lines in {path}")
     many = len(found) > 1 and votes.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS
+
+    def of(files: DataFrame) -> DataFrame:
+        return lines.join(files if many else F.broadcast(files), "_file", "left_semi")
+
+    def with_list(rows: DataFrame, name: str, fields: list[str] | None) -> DataFrame:
+        return rows.filter(F.col(name).eqNullSafe(F.lit(fields) if fields is not None else F.lit(None)))
+
     parts = []
     for group in found:
+        if group["varies"]:
+            continue
         mine = lines
         if len(found) > 1:
-            same = F.lit(group["fields"]) if group["fields"] is not None else F.lit(None)
-            files = votes.filter((F.col("format") == group["format"]) & F.col("fields").eqNullSafe(same)).select("_file")
-            mine = lines.join(files if many else F.broadcast(files), "_file", "left_semi")
+            steady = votes.filter((F.col("format") == group["format"]) & ~F.col("varies"))
+            mine = of(with_list(steady, "fields", group["fields"]).select("_file"))
         if group["format"] == "iis_native":
             parts.append(weblogs.parse_iis(mine))
         elif group["format"] == "ncsa":
             parts.append(weblogs.parse_ncsa(mine))
         else:
             parts.append(weblogs.parse_w3c(mine, group["fields"]))
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part, allowMissingColumns=True)
-    return _numbered(united, options, shuffled=many)
+    placed = [dense(_united(parts), many)] if parts else []
+    if any(group["varies"] for group in found):
+        varying = votes.filter("varies")
+        told = pinned(weblogs.with_fields(of(varying.select("_file")), varying))
+        lists = told.groupBy("_fields").agg(F.min(F.struct("_file", "_start", "_seq")).alias("first")).orderBy("first").collect()
+        placed += [weblogs.parse_w3c(with_list(told, "_fields", r["_fields"]).drop("_fields"), r["_fields"]) for r in lists]
+    rows = with_file_ordinal(_united(placed), "_row_index")
+    return rows if options.is_directory else rows.drop("_file")
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def standard_sources() -> Sources:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronosift.operators.ordinal import small_side
+from chronosift.session import pinned
 from chronosift.sources.syslog import groups, month_number
 
 # Columns and line shapes of the formats.
@@ -21,6 +23,7 @@ NCSA_COLUMNS = ("timestamp", "client_ip", "ident", "username", "method", "uri",
 NCSA_LINE = (r'(?s)^(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d+)\s+(\S+).*$')
 NCSA_TIME = (r"(?s)^(\d{1,2})/(\w{3})/(\d{4}):(\d{2}:\d{2}:\d{2})\s*(?:([+-]\d{2})(\d{2}))?.*$")
 NCSA_GUESS = r'^\S+\s+\S+\s+\S+\s+\[.+\]\s+"[^"]+"\s+\d+\s+\d+'
+W3C_NAME = r"^(date|time|time-taken|bytes|cached|(c|s|r|cs|sc|sr|rs|x)[-(].+)$"
 CENTURY_PIVOT = 70
 
 
@@ -110,28 +113,62 @@ def parse_ncsa(lines: DataFrame, value: str = "value") -> DataFrame:
         F.col("_p")[5].alias("status_code"), F.col("_p")[6].alias("bytes_sent"))
 
 
+def _names(line: Column) -> Column:
+    """The field names of a ``#Fields:`` line; null for other lines."""
+    names = F.split(F.regexp_replace(F.substr(line, F.lit(9)), r"^\s+|\s+$", ""), r"\s+")
+    return F.when(line.startswith("#Fields:"), names)
+
+
+def _new_names(line: Column) -> Column:
+    """Names that hold for the rows after a line. A single word that is no field of W3C is no list."""
+    names = _names(line)
+    return F.when((F.size(names) > 1) | names[0].rlike(W3C_NAME), names)
+
+
 def vote(lines: DataFrame, value: str = "value", file: str = "_file",
          order: tuple[str, ...] = ("_seq",)) -> DataFrame:
-    """Format and W3C field list of every file, from all of its lines: directives anywhere,
-    else the first line with data. One partial aggregate per file and task.
+    """Format and first W3C field list of every file, and whether the list ``varies`` in the
+    file. All lines decide: directives anywhere, else the format that most lines have, of
+    equals the one seen first. One partial aggregate per file and task.
     """
     head = lines.select(file, F.struct(*order).alias("_n"), _line(value).alias("line"))
     line = F.col("line")
     directive = (line.startswith("#Software:") | line.startswith("#Version:")
                  | line.startswith("#Fields:"))
-    data = F.when((line != "") & ~line.startswith("#"), line)
-    fields = F.when(line.startswith("#Fields:"), line)
-    files = head.groupBy(file).agg(
-        F.max(directive).alias("directive"),
-        F.min_by(data, F.when(data.isNotNull(), F.col("_n"))).alias("first"),
-        F.min_by(fields, F.when(fields.isNotNull(), F.col("_n"))).alias("fields"))
-    first = F.col("first")
-    words = F.split(F.regexp_replace(first, r"^\s+|\s+$", ""), r"\s+")
-    kind = (F.when(F.col("directive"), "w3c")
-            .when(first.isNull(), "unknown")
-            .when(first.contains(", ") & (F.size(F.split(first, ", ")) >= 10), "iis_native")
-            .when(first.rlike(NCSA_GUESS), "ncsa")
-            .when((F.size(words) >= 3) & words[0].rlike(r"^\d{4}-\d{2}-\d{2}"), "w3c")
-            .otherwise("unknown"))
-    names = F.split(F.regexp_replace(F.substr("fields", F.lit(9)), r"^\s+|\s+$", ""), r"\s+")
-    return files.select(file, kind.alias("format"), names.alias("fields"))
+    words = F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), r"\s+")
+    kind = (F.when((line == "") | line.startswith("#"), None)
+            .when(line.contains(", ") & (F.size(F.split(line, ", ")) >= 10), "iis_native")
+            .when(line.rlike(NCSA_GUESS) | line.rlike(NCSA_LINE), "ncsa")
+            .when((F.size(words) >= 3) & words[0].rlike(r"^\d{4}-\d{2}-\d{2}"), "w3c"))
+    told = head.select(file, "_n", directive.alias("directive"), kind.alias("kind"),
+                       _names(line).alias("names"), F.array_join(_new_names(line), " ").alias("list"))
+    votes = {k: (F.count_if(F.col("kind") == k).alias(f"n_{k}"), F.min(F.when(F.col("kind") == k, F.col("_n"))).alias(f"at_{k}"))
+             for k in ("iis_native", "ncsa", "w3c")}
+    files = told.groupBy(file).agg(
+        F.max("directive").alias("directive"), *(c for pair in votes.values() for c in pair),
+        F.min_by("names", F.when(F.col("names").isNotNull(), F.col("_n"))).alias("fields"),
+        F.min("list").alias("low"), F.max("list").alias("high"))
+    most = F.array_min(F.array(*(F.when(F.col(f"n_{k}") > 0, F.struct(
+        (-F.col(f"n_{k}")).alias("n"), F.col(f"at_{k}").alias("at"), F.lit(k).alias("kind"))) for k in votes)))["kind"]
+    varies = (F.col("low") != F.col("high")) | (F.col("low") != F.array_join("fields", " "))
+    return files.select(file, F.when(F.col("directive"), "w3c").otherwise(F.coalesce(most, F.lit("unknown"))).alias("format"),
+                        "fields", F.coalesce(varies, F.lit(False)).alias("varies"))
+
+
+def with_fields(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """The W3C data lines of ``files`` (``_file, fields``) with ``_fields``, the last list before
+    each one; lines before the first list have that one. ``lines`` are located; their ``_seq``
+    comes back without gaps. Only lines of one split meet in a task: lists are handed from
+    split to split by a table of one row per split."""
+    inside = Window.partitionBy("_file", "_start").orderBy("_seq")
+    line = _line("value")
+    rows = pinned(lines.select(
+        "value", "_file", "_start", "_seq", ((line != "") & ~line.startswith("#")).alias("_data"),
+        F.last(_new_names(line), ignorenulls=True).over(inside).alias("_own")))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("_file", "_start").agg(F.max_by("_own", "_seq").alias("_end"))
+    carried = ends.select("_file", "_start", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    splits = pinned(carried.join(files.select("_file", "fields"), "_file"))
+    told = rows.filter("_data").join(small_side(splits), ["_file", "_start"])
+    return told.select("value", "_file", "_start", F.row_number().over(inside).cast("bigint").alias("_seq"),
+                       F.coalesce("_own", "_carried", "fields").alias("_fields"))

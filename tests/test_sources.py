@@ -329,6 +329,41 @@ def test_weblogs(spark, tmp_path):
     assert everything.total() == 9 and "cs(User-Agent)" in everything.columns and "ident" in everything.columns
 
 
+def test_weblog_vote_counts_all_lines(spark, tmp_path):
+    good = {"1.log": NCSA, "2.log": "\n".join(IIS.split("\n")[:1] * 3)}
+    for name, text in good.items():
+        for first in ("cut off", "2024-01-15 10:30:01 a line of another log"):
+            table = open_events(spark, write(f"{tmp_path}/{name}", f"{first}\n{text}"))
+            assert "client_ip" in table.columns and "GET" in {r.method for r in table.df.collect()}
+    lines = [("a", "2024-01-15 x y"), ("a", ", ".join("f" * 12)), ("b", ", ".join("f" * 12)), ("b", "2024-01-15 x y"),
+             ("c", "words"), ("c", "more words"), ("d", ""), ("e", "words"), ("e", "#Version: 1"), ("e", ", ".join("f" * 12))]
+    df = spark.createDataFrame([(f, s, i) for i, (f, s) in enumerate(lines)], "_file string, value string, _seq bigint")
+    assert {r._file: r.format for r in weblogs.vote(df).collect()} == {
+        "a": "w3c", "b": "iis_native", "c": "unknown", "d": "unknown", "e": "w3c"}
+
+
+def test_weblog_field_lists_change_in_a_file(spark, tmp_path):
+    block = "#Fields: date time c-ip\n" + "2024-01-15 10:30:01 {i}\n" * 200 + "#Fields: time sc-status date cs-method\n" + \
+        "10:30:02 {i} 2024-01-15 GET\n" * 300
+    text = "2024-01-15 10:30:00 early\n" + "".join(block.replace("{i}", str(i)) for i in range(40))
+    write(f"{tmp_path}/d/b.log", text)
+    write(f"{tmp_path}/d/a.log", "#Fields: date time c-ip\n2024-01-15 10:30:03 steady\n")
+    with gzip.open(f"{tmp_path}/d/c.log.gz", "wb") as f:
+        f.write(block.replace("{i}", "7").encode())
+    want = [("2024-01-15T10:30:03Z", "steady", "", ""), ("2024-01-15T10:30:00Z", "early", "", "")]
+    for i in [*range(40), 7]:
+        want += [("2024-01-15T10:30:01Z", str(i), "", "")] * 200 + [("2024-01-15T10:30:02Z", "", str(i), "GET")] * 300
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        assert spark.read.text(f"{tmp_path}/d/b.log").rdd.getNumPartitions() > 5
+        table = open_events(spark, f"{tmp_path}/d", FileOptions(is_directory=True, file_pattern="*.log*"))
+        got = table.df.fillna("").orderBy("_row_index").select("_row_index", "timestamp", "c-ip", "sc-status", "cs-method").collect()
+        assert [tuple(r) for r in got] == [(i, *w) for i, w in enumerate(want)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_registered_sources(spark, tmp_path):
     def pipes(spark, path, options):
         from chronosift.operators.ordinal import located, with_file_ordinal
