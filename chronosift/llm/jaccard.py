@@ -1,11 +1,12 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding.
 
 Texts are sets of shingles of five words. Equal texts form a class, and only one text of a
-class goes on. Each tree of the forest gives a text a path of minhashes; texts that share the
-first levels of a path stand in one node of the tree's prefix trie. The matched prefix is
-shortened level by level until the weakest pair that counts (similarity exactly at the
-threshold) meets in some tree with the target probability. Nodes with the same members as
-another one are left out. What remains is verified exactly, on the sets themselves.
+class goes on. Each of 16 trees gives a text a path of minhashes, and texts with the same path
+are a node. The length of the paths is fixed before they are made, from the threshold: as long
+as the weakest pair that counts (similarity exactly at the threshold) meets in some tree with
+the target probability. It isn't shortened text by text, so this is banding, not the walk of a
+forest's tries. Nodes with the same members as another one are left out. What remains is
+verified exactly, on the sets themselves.
 
 A node is cut into tiles of bounded size, and a task compares two tiles by products of
 incidence matrices. Tasks give back link counts and a spanning star per component, never
@@ -46,12 +47,13 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 def matched_prefix(threshold: float = THRESHOLD, trees: int = TREES, levels: int = LEVELS,
                    recall: float = RECALL) -> int:
-    """Levels that have to agree: shortened until a pair at the threshold is found with the
-    probability ``recall``."""
-    length = levels
-    while length > 1 and 1 - (1 - threshold ** length) ** trees < recall:
-        length -= 1
-    return length
+    """Levels that have to agree: the most with which a pair at the threshold is found with the
+    probability ``recall``. A threshold too low for even one level is refused."""
+    for length in range(levels, 0, -1):
+        if 1 - (1 - min(threshold, 1.0) ** length) ** trees >= recall:
+            return length
+    least = 1 - (1 - recall) ** (1 / trees)
+    raise ValueError(f"{trees} trees find pairs with recall {recall} from threshold {least:.4f}, not at {threshold}")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,7 +77,7 @@ def shingle_set(text: str, size: int = WORDS) -> np.ndarray:
 
 
 class Forest:
-    """Minhash paths of ``trees`` trees, cut to the matched prefix."""
+    """Minhash paths of ``trees`` trees, as long as the matched prefix."""
 
     def __init__(self, trees: int = TREES, prefix: int | None = None):
         self.trees, self.prefix = trees, prefix or matched_prefix(trees=trees)
@@ -97,21 +99,23 @@ class Forest:
         return key.view(np.int64)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forest = Forest()
-    for batch in batches:
-        counts, keys, offsets = [], [], [0]
-        for text in batch.column(2):
-            shingles = shingle_set(text.as_py() or "")
-            counts.append(len(shingles))
-            if len(shingles):
-                keys.append(forest.keys(shingles))
-            offsets.append(offsets[-1] + (forest.trees if len(shingles) else 0))
-        values = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
-             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))],
-            names=["doc_id", "cls", "n", "keys"])
+def _sketched(prefix: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest(prefix=prefix)
+        for batch in batches:
+            counts, keys, offsets = [], [], [0]
+            for text in batch.column(2):
+                shingles = shingle_set(text.as_py() or "")
+                counts.append(len(shingles))
+                if len(shingles):
+                    keys.append(forest.keys(shingles))
+                offsets.append(offsets[-1] + (forest.trees if len(shingles) else 0))
+            values = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))],
+                names=["doc_id", "cls", "n", "keys"])
+    return run
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,10 +235,11 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
             text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All documents as ``doc_id, cls``, and ``cls, text_id, class_id, links`` of every class."""
+    prefix = matched_prefix(threshold)
     body = F.col(text).cast("string")
     rows = docs.select(F.col(doc_id).alias("doc_id"), class_key(body).alias("cls"), body.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sketches = pinned(rows.mapInArrow(_sketched, f"doc_id {kind}, cls binary, n long, keys array<long>"))
+    sketches = pinned(rows.mapInArrow(_sketched(prefix), f"doc_id {kind}, cls binary, n long, keys array<long>"))
     texts = pinned(sketches.filter("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("text_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     mark = F.xxhash64("cls")

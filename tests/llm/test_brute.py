@@ -334,6 +334,24 @@ def brute_join(rows):
     return sorted(((i, i, i, 0) if t is None else (i, least[find(t)], texts[t], links[t]) for i, t in rows), key=repr)
 
 
+def test_jaccard_keeps_recall_at_other_thresholds(spark):
+    # Pairs of 40 shingles each, of which 31 are shared: similarity 31 / 49.
+    rows = []
+    for i in range(300):
+        shared = " ".join(f"w{i}_{k}" for k in range(35))
+        rows += [(2 * i + side, f"{shared} " + " ".join(f"v{i}_{side}_{k}" for k in range(9))) for side in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard.join(df, threshold=0.6).collect()}
+    assert got == {d: (d // 2 * 2, 1) for d, _ in rows}
+    assert jaccard.first_of_each(df, threshold=0.6).count() == 300
+    assert {r.links for r in jaccard.join(df, threshold=0.64).collect()} == {0}
+    for threshold in (0.36, 0.5, 0.6, 0.7, 0.8, 0.95, 1.0):
+        assert 1 - (1 - threshold ** jaccard.matched_prefix(threshold)) ** jaccard.TREES >= jaccard.RECALL
+    for threshold in (0.35, 0.1, 0.0):
+        with pytest.raises(ValueError, match="recall"):
+            jaccard.join(df, threshold=threshold)
+
+
 def test_jaccard(docs, empty, spark, monkeypatch):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     base = prose(300, 77)
