@@ -54,6 +54,14 @@ def choose_width(start_ms: int, end_ms: int, max_buckets: int = MAX_BUCKETS) ->
     return next((w for w in WIDTHS if -(-span // w) <= max_buckets), WIDTHS[-1])
 
 
+def width_column(start_ms: Column, end_ms: Column, max_buckets: int = MAX_BUCKETS) -> Column:
+    """``choose_width`` of every row; null where a bound is."""
+    span = F.greatest(F.floor((end_ms - start_ms) / 1000), F.lit(1))
+    fits = F.filter(F.array(*map(F.lit, WIDTHS)), lambda w: F.ceil(span / w) <= max_buckets)
+    width = F.when(end_ms <= start_ms, F.lit(EMPTY_SPAN_WIDTH)).otherwise(F.coalesce(F.get(fits, F.lit(0)), F.lit(WIDTHS[-1])))
+    return F.when(start_ms.isNotNull() & end_ms.isNotNull(), width).cast("int")
+
+
 def bucket_counts(table: EventTable, width_s: int) -> DataFrame:
     """Counts of the buckets that have rows. Partial counts are made before the
     shuffle, so only one small row per bucket and task moves."""

@@ -545,12 +545,11 @@ WIDTHS_SQL = ("[1,2,5,10,30,60,300,600,1800,3600,7200,10800,21600,43200,86400,17
 select event_type, list_filter({WIDTHS_SQL}, lambda w: ceil(greatest((hi - lo) // 1000, 1) / w) <= 100)[1] as width_s
 from (select event_type, min((epoch_us(ts) // 1000)) as lo, max((epoch_us(ts) // 1000)) as hi from events group by 1)""")
 def bucket_widths(spark, sf):
-    from chronosift.operators.histogram import choose_width
+    from chronosift.operators.histogram import width_column
     t = events(spark, sf)
     when = F.col(t.EVENT_MS)
-    spans = t.df.groupBy("event_type").agg(F.min(when).alias("lo"), F.max(when).alias("hi")).collect()
-    return spark.createDataFrame(
-        [(r.event_type, choose_width(r.lo, r.hi)) for r in spans], "event_type string, width_s int")
+    spans = t.df.groupBy("event_type").agg(F.min(when).alias("lo"), F.max(when).alias("hi"))
+    return spans.select("event_type", width_column(F.col("lo"), F.col("hi")).alias("width_s"))
 
 
 @query("column_time_range", """

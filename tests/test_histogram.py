@@ -46,3 +46,16 @@ def test_before_1970(make):
     table = make(["timestamp"], [("-5",), ("-400",), ("10",)])
     assert rows(histogram(table, 300)) == [(-600000, 1), (-300000, 1), (0, 1)]
     assert list(column_time_range(table, "timestamp").first()) == [-400000, 10000]
+
+
+def test_widths_in_the_plan(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from chronosift.operators.histogram import WIDTHS, choose_width, width_column
+    ends = [-5, 0, 1, 999, 100_000, 100_999, 101_000, *(w * 100_000 + d for w in WIDTHS for d in (-1, 0, 999, 1000))]
+    df = spark.createDataFrame([(7, e + 7) for e in ends] + [(None, None)], "lo bigint, hi bigint")
+    got = [r[0] for r in df.select(width_column(F.col("lo"), F.col("hi"))).collect()]
+    assert got == [*(choose_width(7, e + 7) for e in ends), None]
+    import __spark_entry__ as entry
+    kind = type(df)
+    monkeypatch.setattr(kind, "collect", lambda self: (_ for _ in ()).throw(AssertionError("rows came to the driver")))
+    assert entry.queries()["bucket_widths"](spark, "/root/testdata/sf0.001").columns == ["event_type", "width_s"]
