@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.llm import (ann, jaccard, langid, licenses, mixing, packing, quality, secret_scan, sharding, urls)
+from chronosift.llm import (ann, conversations, jaccard, langid, licenses, mixing, packing, quality, secret_scan, sharding, urls)
 from chronosift.llm.catalog_sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,24 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, repeated or given another role, by a hash of their place."""
+    said = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")]
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    drawn = rows.select("conv_id", "turn", *said, (F.crc32(F.encode(place, "UTF-8")) % 20).alias("draw"))
+    text = (F.when(F.col("draw") == 1, "").when(F.col("draw") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")))
+    times = F.when(F.col("draw") == 0, 0).when(F.col("draw") == 3, 2).otherwise(1)
+    return drawn.select(
+        "conv_id", "turn", F.when(F.col("draw") == 4, "user").otherwise(F.col("role")).alias("role"),
+        text.alias("text"), F.explode(F.array_repeat(F.lit(1), times)).alias("_time")).drop("_time")
+
+
+@query
+def op11_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    return conversations.report(damaged(rows), ids=rows.select("conv_id"))
+
+
 def all_queries() -> dict[str, Query]:
     return dict(QUERIES)
 

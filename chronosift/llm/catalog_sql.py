@@ -92,3 +92,49 @@ select doc_id, size, source_size, target,
   cast(whole * size + case when before + size <= need then size
        when before <= need and 2 * (need - before) >= size then size else 0 end as bigint) as taken from a""",
 }
+
+
+SQL["op11_conversations"] = r"""
+with recursive crc as (select list(c order by i) as tab from (select i, list_reduce(list_prepend(i, range(8)),
+    lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) as t(i))),
+place as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as p from conversations),
+drawn as (select place.*, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(p, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 as draw from place, crc),
+rows as (select conv_id, turn, case when draw = 4 then 'user' else role end as role,
+    case when draw = 1 then '' when draw = 2 then translate(text, '.!?', '') else text end as text
+  from (select *, unnest(case draw when 0 then [] when 3 then [1, 2] else [1] end) as time from drawn)),
+c as (select coalesce(conv_id::varchar, ' ') as k, *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as final from rows),
+g as (select *, row_number() over (partition by conv_id, role, text order by i) as nth from c),
+f as (select *, case when final = '' then 'blank' when nth > 1 then 'duplicate' when final not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by i) as earlier from g),
+s as (select conv_id, any_value(k) as k, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (i > 1 and coalesce(earlier, '') || initial not in ('su', 'ua', 'au')) as illegal from f group by conv_id),
+steps(b, ins, mid) as (values (1, 0, 1), (1, 1, 3), (1, 2, 4), (2, 0, 2), (2, 1, 3), (2, 2, 4), (3, 0, 3), (3, 1, 4), (3, 2, 3), (4, 0, 4), (4, 1, 3), (4, 2, 4)),
+added as (select *, repeat('I', ins) as letters, list_transform(range(ins), lambda n: case when (b = 3) = (n % 2 = 0) then 'assistant:' else 'user:' end) as lines from steps),
+moves(mid, initial, after) as (values (1, 's', 2), (1, 'u', 3), (2, 'u', 3), (3, 'a', 4), (4, 'u', 3)),
+ways as (
+  select k, i, b, mid as a, 3 * ins + 4 as cost, letters || 'D' as w, lines from f, added
+  union all select k, i, b, case mid when 3 then 4 else 3 end, 3 * ins + 3 + case fault when 'truncated' then 3 else 0 end, letters || 'R',
+    list_append(lines, case mid when 3 then 'assistant:' else 'user:' end || text) from f, added where fault in ('', 'truncated')
+  union all select k, i, b, after, 3 * ins + case fault when 'truncated' then 3 else 0 end, letters || 'K', list_append(lines, role || ':' || text)
+    from f join moves using (initial) join added using (mid) where fault in ('', 'truncated')),
+options as (select k, i, list({b: b, a: a, cost: cost, w: w, lines: lines}) as opts from ways group by k, i),
+walk as (
+  select k, 0::bigint as i, [{cost: 0, w: '', lines: []::varchar[]}, {cost: 1000000, w: '', lines: []::varchar[]},
+    {cost: 1000000, w: '', lines: []::varchar[]}, {cost: 1000000, w: '', lines: []::varchar[]}] as st from s
+  union all
+  select walk.k, walk.i + 1, list_transform([1, 2, 3, 4], lambda t: coalesce(list_sort(list_transform(list_filter(opts, lambda o: o.a = t),
+      lambda o: {cost: st[o.b].cost + o.cost, w: st[o.b].w || o.w, lines: list_concat(st[o.b].lines, o.lines)}))[1],
+      {cost: 1000000, w: '', lines: []::varchar[]}))
+  from walk join options on options.k = walk.k and options.i = walk.i + 1),
+ends as (select s.k, list_sort([{cost: st[1].cost, w: st[1].w, lines: st[1].lines},
+    {cost: st[2].cost + 6, w: st[2].w || 'II', lines: list_concat(st[2].lines, ['user:', 'assistant:'])},
+    {cost: st[3].cost + 3, w: st[3].w || 'I', lines: list_append(st[3].lines, 'assistant:')},
+    {cost: st[4].cost, w: st[4].w, lines: st[4].lines}])[1] as best from walk join s on s.k = walk.k and s.n = walk.i)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(best.cost, 0)::bigint as cost,
+  coalesce(best.w, '') as audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join s on o.conv_id is not distinct from s.conv_id left join ends using (k)"""

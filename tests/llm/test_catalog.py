@@ -26,7 +26,7 @@ def test_rows(spark, name):
 
 def test_all_registered():
     assert {*catalog.QUERIES, "pipeline"} <= set(entry.queries())
-    assert len(catalog.QUERIES) == 10
+    assert len(catalog.QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", ["op2_quality_rules", "op4_secrets", "op5_sharding", "op10_mixing"])
