@@ -138,3 +138,21 @@ select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint
   coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(best.cost, 0)::bigint as cost,
   coalesce(best.w, '') as audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
 from (select distinct conv_id from conversations) o left join s on o.conv_id is not distinct from s.conv_id left join ends using (k)"""
+
+
+SQL["op13_decontamination"] = r"""
+with low as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+d as (select r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from low),
+b as (select distinct coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+bw as (select distinct item, least(len(ws), 10) as span, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') as w
+       from (select *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as i from b where len(ws) > 0)),
+spans as (select distinct span from bw),
+dw as (select r, span, i, array_to_string(ws[i:i + span - 1], ' ') as w
+       from (select r, ws, span, unnest(range(1, len(ws) - span + 2)) as i from d, spans where len(ws) >= span)),
+hit as (select r, span, i, item from dw join bw using (span, w)),
+places as (select r, count(distinct i + d) as n_hit from (select distinct r, i, unnest(range(span)) as d from hit) group by r),
+named as (select r, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct r, item from hit) group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join places using (r) left join named using (r)"""
