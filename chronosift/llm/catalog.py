@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.llm import (ann, conversations, decontamination, jaccard, langid, licenses, mixing, packing, quality, secret_scan, sharding, urls)
+from chronosift.llm import (alignment, ann, conversations, decontamination, jaccard, langid, licenses, mixing, packing,
+                            quality, secret_scan, sharding, urls)
 from chronosift.llm.catalog_sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +93,11 @@ def op11_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.report(damaged(rows), ids=rows.select("conv_id"))
 
 
+@query
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.report(table(spark, sf, "documents"))
+
+
 @query
 def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
