@@ -9,11 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.operators.ordinal import number_blocks
 from chronosift.session import pinned
 from chronosift.sources import cells, compressed, csvfiles
 from chronosift.sources.headers import SURPLUS, normal_names, union_header, unnamed
 from chronosift.sources.heads import first_records
+from chronosift.sources.splits import split_counts, with_stable_ordinal
 
 # Fixed values.
 SOURCE_COLUMN = "__source_file__"
@@ -105,15 +105,16 @@ def read_csv_directory(spark: SparkSession, root: str, pattern: str, *,
         else:
             by_header[tuple(headers[path])].append(path)
     names = union_header(headers.values())
-    parts = [csvfiles.read_group(spark, group, list(header), not no_header_row, multiline)
+    reads = [csvfiles.read_group(spark, group, list(header), not no_header_row, multiline)
              for header, group in by_header.items()]
     if streamed:
-        parts.append(cells.named_rows(
-            pinned(compressed.read_cells(spark, streamed)), no_header_row)
-            .withColumnRenamed("_pos", "_seq").withColumn("_start", F.lit(0).cast("bigint")))
+        rows = (cells.named_rows(pinned(compressed.read_cells(spark, streamed)), no_header_row)
+                .withColumnRenamed("_pos", "_seq").withColumn("_start", F.lit(0).cast("bigint")))
+        reads.append((rows, split_counts(rows)))
+    parts, counts = zip(*reads)
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    united = united.withColumn("_file", relative(spark, root, F.col("_file")))
-    rows = number_blocks(pinned(united), ["_file", "_start"], row_index, "_seq")
+    rows = with_stable_ordinal(united, row_index, reduce(DataFrame.unionByName, counts)).withColumn(
+        "_file", relative(spark, root, F.col("_file")))
     source = [F.col("_file").alias(SOURCE_COLUMN)] if include_source else []
     quoted = [F.col("`" + n.replace("`", "``") + "`") for n in names]
     return rows.select(*quoted, SURPLUS, *source, row_index)

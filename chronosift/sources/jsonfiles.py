@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronosift.functions.jsonpath import is_plain, json_part
-from chronosift.operators.ordinal import dense, file_path, located
+from chronosift.operators.ordinal import dense, file_path
 from chronosift.session import pinned
 from chronosift.sources.cells import named_rows
 from chronosift.sources.headers import normal_names
+from chronosift.sources.splits import read_lines as text_lines
 
 REJECTED = "_rejected"
 
@@ -133,9 +134,9 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Line-delimited objects, the form that scales: files are read in splits. A located
     read with one column per key. Lines that hold no object are rows too, with their text
     in the column ``_rejected``; blank lines are none."""
-    lines = located(spark.read.text(paths)).filter(F.trim("value") != "")
+    lines = text_lines(spark, paths).filter(F.trim("value") != "")
     maps = lines.select("_file", "_start", "_seq", _object("value").alias("_by"))
-    return spread_keys(pinned(dense(maps)))
+    return spread_keys(dense(maps))
 
 
 def preview(spark: SparkSession, path: str, jpath: str, n: int = 5) -> DataFrame:

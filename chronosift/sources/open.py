@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.operators.ordinal import file_path, number_blocks, with_file_ordinal
+from chronosift.operators.ordinal import file_path, number_blocks
 from chronosift.plans.event_table import EventTable
 from chronosift.sources import cells, compressed, csvfiles, directory, jsonfiles, workbooks
 from chronosift.sources.headers import SURPLUS
 from chronosift.sources.heads import SUFFIXES, first_records
 from chronosift.sources.options import FileOptions, file_key
 from chronosift.sources.registry import Loader, Sources, standard_sources
+from chronosift.sources.splits import with_stable_ordinal
 from chronosift.session import pinned
 
 ROW = EventTable.ROW_INDEX
@@ -68,8 +69,8 @@ def _file(spark: SparkSession, path: str, options: FileOptions, sources: Sources
         return _json(spark, [path], options.jpath)
     if first_records(spark, [path])[path].streamed:
         return _from_cells(compressed.read_cells(spark, [path]), options)
-    rows = csvfiles.read_csv(spark, path, options.no_header_row, multiline)
-    return with_file_ordinal(rows, ROW).drop("_file")
+    rows, counts = csvfiles.read_csv(spark, path, options.no_header_row, multiline)
+    return with_stable_ordinal(rows, ROW, counts).drop("_file")
 
 
 def _from_cells(found: DataFrame, options: FileOptions) -> DataFrame:
@@ -82,7 +83,7 @@ def _json(spark: SparkSession, paths: list[str], jpath: str, keep_file: bool = F
     if jpath:
         rows = cells.with_ordinal(jsonfiles.read_records(spark, paths, jpath), ROW)
     else:
-        rows = with_file_ordinal(jsonfiles.read_lines(spark, paths), ROW)
+        rows = with_stable_ordinal(jsonfiles.read_lines(spark, paths), ROW)
     return rows if keep_file else rows.drop("_file")
 
 

@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.operators.ordinal import BROADCAST_ROWS, dense, located, with_file_ordinal
+from chronosift.operators.ordinal import BROADCAST_ROWS, dense
 from chronosift.session import pinned
 from chronosift.sources import syslog, weblogs
 from chronosift.sources.heads import SUFFIXES
 from chronosift.sources.options import FileOptions
+from chronosift.sources.splits import read_lines, with_stable_ordinal
 
 # A loader gives the data columns and a 0-based ``_row_index``. With ``is_directory`` it gets
 # a list of paths and adds the path of each row as ``_file``.
@@ -44,12 +45,12 @@ class Sources:
 
 
 def _text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return located(spark.read.text(path))
+    return read_lines(spark, path)
 
 
 def _numbered(rows: DataFrame, options: FileOptions) -> DataFrame:
     """Rows of a directory keep their file in ``_file``."""
-    rows = with_file_ordinal(dense(rows), "_row_index")
+    rows = with_stable_ordinal(dense(rows), "_row_index")
     return rows if options.is_directory else rows.drop("_file")
 
 
@@ -108,7 +109,7 @@ def load_weblog(spark: SparkSession, path: str, options: FileOptions) -> DataFra
         told = pinned(weblogs.with_fields(of(varying.select("_file")), varying))
         lists = told.groupBy("_fields").agg(F.min(F.struct("_file", "_start", "_seq")).alias("first")).orderBy("first").collect()
         placed += [weblogs.parse_w3c(with_list(told, "_fields", r["_fields"]).drop("_fields"), r["_fields"]) for r in lists]
-    rows = with_file_ordinal(_united(placed), "_row_index")
+    rows = with_stable_ordinal(_united(placed), "_row_index")
     return rows if options.is_directory else rows.drop("_file")
 
 
