@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo, available_timezones
 
@@ -80,22 +81,29 @@ def rung_of(value: Column) -> Column:
                         for name, shape in RUNGS.items()))
 
 
-def canonical(value: Column) -> Column:
-    """Trimmed text with single blanks and a point before fractions."""
+def canonical(value: Column, zone_names: Mapping[str, str] | None = None) -> Column:
+    """Trimmed text with single blanks and a point before fractions. The abbreviations of ``zone_names``
+    (letters alone) are written as their offsets (``+hh:mm``) where a zone name may stand."""
     cell = trimmed(value)
-    return F.translate(F.when(cell.contains("  "), F.regexp_replace(cell, " +", " ")).otherwise(cell),
-                       ",", ".")
+    cell = F.translate(F.when(cell.contains("  "), F.regexp_replace(cell, " +", " ")).otherwise(cell), ",", ".")
+    for name, offset in (zone_names or {}).items():
+        if not re.fullmatch("[A-Za-z]+", name) or not re.fullmatch(_OFFSET, offset):
+            raise ValueError(f"not a zone abbreviation and its offset: {name!r}, {offset!r}")
+        shape = RUNGS["zone_name"].replace("(?:UTC|GMT)", name)
+        cell = F.when(cell.rlike(shape), F.regexp_replace(cell, f" {name}$", offset)).otherwise(cell)
+    return cell
 
 
-def text_millis(value: Column, zone: str = "UTC") -> Column:
+def text_millis(value: Column, zone: str = "UTC", zone_names: Mapping[str, str] | None = None) -> Column:
     """Epoch milliseconds of a text cell, NULL when no shape fits."""
-    return ladder(canonical(value), zone)
+    return ladder(canonical(value, zone_names), zone)
 
 
-def with_text_millis(df: DataFrame, value: Column, name: str, zone: str = "UTC") -> DataFrame:
+def with_text_millis(df: DataFrame, value: Column, name: str, zone: str = "UTC",
+                     zone_names: Mapping[str, str] | None = None) -> DataFrame:
     """``df`` with ``text_millis`` as a column. The canonical text is a column on the way:
     it is looked at many times, and small steps keep the generated code compilable."""
-    return (df.withColumn("_canonical", canonical(value))
+    return (df.withColumn("_canonical", canonical(value, zone_names))
             .withColumn(name, ladder(F.col("_canonical"), zone)).drop("_canonical"))
 
 

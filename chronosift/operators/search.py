@@ -62,18 +62,26 @@ def find(table: EventTable, pattern: str, *, regex: bool = False,
             "row_pos bigint, column_index int, column_name string, match_start int, "
             "match_end int, snippet string"))
     shown = [f"_cell{i}" for i in range(len(table.columns))]
+    # Cells beyond the header are searched after the others, and have no name.
+    spare = table.SURPLUS if table.SURPLUS in table.df.columns else None
     seen = table.keeping(table.df.withColumns(
         {place: table.shown(name) for place, name in zip(shown, table.columns)}))
     if table.whole and not table.order:
         # Positions are row indexes, so rows without a hit can go at once.
         some = reduce(lambda a, b: a | b, (_has(F.col(c), pattern, regex) for c in shown))
+        if spare:
+            some = some | F.coalesce(F.exists(spare, lambda c: _has(c, pattern, regex)), F.lit(False))
         seen = replace(seen.keeping(seen.df.filter(some)), whole=True)
     else:
         seen = replace(seen, whole=table.whole)
     # Only cells with a hit are carried on; where and how is looked up in those.
-    found = F.array_compact(F.array(*(
-        F.when(_has(F.col(c), pattern, regex), F.struct(F.lit(i).alias("i"), F.col(c).alias("cell")))
-        for i, c in enumerate(shown))))
+    cells = F.array(*(F.when(_has(F.col(c), pattern, regex), F.struct(F.lit(i).alias("i"), F.col(c).alias("cell")))
+                      for i, c in enumerate(shown)))
+    if spare:
+        beyond = F.transform(spare, lambda c, i: F.when(
+            _has(c, pattern, regex), F.struct((i + len(shown)).alias("i"), c.alias("cell"))))
+        cells = F.concat(cells, F.coalesce(beyond, F.slice(cells, 1, 0)))
+    found = F.array_compact(cells)
     placed = F.transform(found, lambda hit: F.struct(
         hit["i"].alias("i"), hit["cell"].alias("cell"), _start(hit["cell"], pattern, regex).alias("s")))
     ended = F.transform(placed, lambda hit: F.struct(
@@ -82,7 +90,7 @@ def find(table: EventTable, pattern: str, *, regex: bool = False,
     names = F.array(*(F.lit(c) for c in table.columns))
     rows = seen.positions(ended.alias("hits"), name="row_pos", costly=True).select(
         "row_pos", F.inline("hits").alias("column_index", "match_start", "match_end", "snippet"))
-    rows = rows.select("row_pos", "column_index", F.element_at(names, F.col("column_index") + 1).alias("column_name"),
+    rows = rows.select("row_pos", "column_index", F.coalesce(F.get(names, F.col("column_index")), F.lit("")).alias("column_name"),
                        F.col("match_start").cast("int").alias("match_start"),
                        F.col("match_end").cast("int").alias("match_end"), "snippet")
     if max_hits is None:

@@ -162,6 +162,26 @@ def parse_time(spark, sf):
     return t.df.select("event_id", F.col(t.EVENT_MS).alias("event_ms"))
 
 
+@query("parse_time_rungs", """
+select event_id, case event_id % 9 when 0 then epoch_us(ts) // 1000000 * 1000 when 1 then epoch_us(ts) // 1000
+  when 2 then epoch_us(ts) // 1000 - 19800000 when 3 then epoch_us(ts) // 1000000 * 1000 + 12600000
+  when 4 then epoch_us(ts) // 1000000 * 1000 when 5 then epoch_us(ts) // 1000000 * 1000 + 18000000
+  when 6 then epoch_us(ts) // 60000000 * 60000 when 7 then epoch_us(ts) // 60000000 * 60000 end as event_ms from events""")
+def parse_time_rungs(spark, sf):
+    """Every shape of the ladder, an abbreviation from a table, and one that no table has."""
+    at = lambda shape: F.date_format("ts", shape)
+    written = F.array(
+        F.unix_seconds(F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp")).cast("string"),
+        at("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.concat(at("yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+0530")),
+        F.concat(at("yyyy-MM-dd HH:mm:ss"), F.lit("-03:30")), F.concat(at("yyyy-MM-dd HH:mm:ss"), F.lit(" GMT")),
+        F.concat(at("yyyy-MM-dd HH:mm:ss"), F.lit(" EST")), at("yyyy-MM-dd HH:mm"),
+        F.concat(at("dd/MM/yyyy h:mm"), F.lower(at("a"))), F.concat(at("yyyy-MM-dd HH:mm:ss"), F.lit(" XYZ")))
+    rows = parquet(spark, sf, "events").select(
+        "event_id", F.get(written, (F.col("event_id") % 9).cast("int")).alias("written"), F.col("event_id").alias("rowno"))
+    t = EventTable.of(rows, row_index="rowno", zone_names={"EST": "-05:00"}).using_time("written")
+    return t.df.select("event_id", F.col(t.EVENT_MS).alias("event_ms"))
+
+
 @query("ingest_zone", """
 select event_id, (epoch_us(ts) // 1000) // 1000 * 1000 - 13 * 3600000 as from_text,
   (epoch_us(ts) // 1000) - 13 * 3600000 as from_typed from events""")

@@ -59,6 +59,7 @@ class EventTable:
     file_key: str = ""
     ingest_zone: str = "UTC"
     display_zone: str = "UTC"
+    zone_names: tuple[tuple[str, str], ...] = ()
     order: tuple[SortKey, ...] = ()
     sorted_by_user: bool = False
     after_ms: int | None = None
@@ -71,9 +72,10 @@ class EventTable:
     @classmethod
     def of(cls, df: DataFrame, *, row_index: str | None = None, time_col: str | None = None,
            file_key: str = "", ingest_zone: str | None = None,
-           display_zone: str | None = None) -> EventTable:
+           display_zone: str | None = None, zone_names: Mapping[str, str] | None = None) -> EventTable:
         """Wrap a DataFrame. ``row_index`` names a column that holds the 0-based row
-        position; it becomes the row identity and leaves the header."""
+        position; it becomes the row identity and leaves the header. ``zone_names`` says which
+        offset (``+hh:mm``) an abbreviation after a text's time stands for; UTC and GMT are known."""
         ingest = timeparse.zone_id(ingest_zone)
         if row_index is not None and row_index != cls.ROW_INDEX:
             df = df.withColumnRenamed(row_index, cls.ROW_INDEX)
@@ -87,11 +89,12 @@ class EventTable:
                 kind = df.schema[chosen].dataType
                 when = timeparse.millis(col(chosen), kind, ingest, _session_zone(df))
             if isinstance(kind, T.StringType):
-                df = timeparse.with_text_millis(df, col(chosen), cls.EVENT_MS, ingest)
+                df = timeparse.with_text_millis(df, col(chosen), cls.EVENT_MS, ingest, zone_names)
             else:
                 df = df.withColumn(cls.EVENT_MS, when)
         return cls(df=df, columns=header, display=header, time_col=chosen, file_key=file_key,
-                   ingest_zone=ingest, display_zone=timeparse.zone_id(display_zone))
+                   ingest_zone=ingest, display_zone=timeparse.zone_id(display_zone),
+                   zone_names=tuple(sorted((zone_names or {}).items())))
 
     @classmethod
     def from_parquet(cls, spark, path: str, **options) -> EventTable:
@@ -106,7 +109,7 @@ class EventTable:
         """Choose another time column by name, any case."""
         return EventTable.of(
             self.df.drop(self.EVENT_MS), time_col=name, file_key=self.file_key,
-            ingest_zone=self.ingest_zone, display_zone=self.display_zone)
+            ingest_zone=self.ingest_zone, display_zone=self.display_zone, zone_names=dict(self.zone_names))
 
     def keeping(self, rows: DataFrame) -> EventTable:
         """The same table with only these of its rows."""

@@ -3,15 +3,20 @@ given tables into the shared folder first, so their size follows the tables."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronosift.functions import predicates as P
+from chronosift.operators.search import find
 from chronosift.plans.catalog import MARKS_SQL, _histogram_sql, events, marks, parquet, query
 from chronosift.plans.event_table import EventTable
 from chronosift.session import scratch_path
 from chronosift.sources.open import open_events
 from chronosift.sources.options import FileOptions
+from chronosift.sources.registry import Sources, load_syslog
+from chronosift.sources.splits import at_home, fixed_layout
 
 CSV = {"header": True, "escape": '"'}
 
@@ -253,6 +258,83 @@ def source_syslog(spark, sf):
         "uptime", F.when(odd, F.concat("facility", F.lit(": "), "message")).otherwise(F.col("message")).alias("message"))
 
 
+@query("source_log_controls", """
+select * from (select strftime(ts, '%Y-%m-%d %H:%M:%S') as timestamp, concat('ho', chr(31), 'st', user_id) as hostname,
+  concat('app', chr(30)) as facility, '' as uptime, concat('a', chr(31), event_id, chr(30), '1') as message from events)
+union all
+select '', '', '', '', concat('?', chr(31), event_id) from events where event_type = 'error'""")
+def source_log_controls(spark, sf):
+    """Control characters in lines of an opened log can't move cells."""
+    path = scratch_path(spark, "controls")
+    line = F.concat(F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" ho\x1fst"), "user_id", F.lit(" app\x1e: a\x1f"), "event_id", F.lit("\x1e1"))
+    rows = parquet(spark, sf, "events")
+    rows.select(line).union(rows.filter("event_type = 'error'").select(F.concat(F.lit("?\x1f"), "event_id"))).write.text(path)
+    sources = Sources()
+    sources.register("syslog", ["txt"], partial(load_syslog, year=2024))
+    return open_events(spark, path, _directory("*.txt"), sources=sources).result(ordered=False)
+
+
+@query("source_ncsa_controls", """
+select strftime(ts, '%Y-%m-%dT%H:%M:%S-08:00') as timestamp, concat('bob', chr(31), user_id) as username,
+  event_id - (select min(event_id) from events) as row_index from events""")
+def source_ncsa_controls(spark, sf):
+    path = scratch_path(spark, "controls")
+    rows = parquet(spark, sf, "events").orderBy("event_id")
+    rows.select(F.concat(F.lit("10.0.0.1 - bob\x1f"), "user_id", F.lit(" ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"),
+                         F.lit(' -0800] "GET /x HTTP/1.1" 200 5'))).write.text(path)
+    t = open_events(spark, path, FileOptions(is_directory=True, file_pattern="*.txt", plugin_id="weblog"))
+    return t.df.select("timestamp", "username", F.col(t.ROW_INDEX).alias("row_index"))
+
+
+@query("find_surplus", """
+select event_id as row_pos, case when event_type = 'error' then 2 else 3 end as column_index, '' as column_name,
+  case when event_type = 'error' then 0 else 1 end as match_start, case when event_type = 'error' then 6 else 7 end as match_end,
+  case when event_type = 'error' then concat('Needle ', event_id) else concat('"needle"') end as snippet
+from events where event_type in ('error', 'click')""")
+def find_surplus(spark, sf):
+    """Cells beyond the header are searched too; they have places and no names."""
+    path = scratch_path(spark, "surplus")
+    kind = F.col("event_type")
+    more = F.when(kind == "error", F.concat(F.lit(",Needle "), "event_id")).when(kind == "click", ',,"""needle"""').otherwise("")
+    parquet(spark, sf, "events").orderBy("event_id").select(
+        F.concat(F.col("event_id"), F.lit(","), "event_type", more).alias("event_id,event_type")).write.options(
+        header=True, sep="\x01", quote="\x00").csv(path)
+    return find(open_events(spark, path, _directory("*.csv")), "needle")
+
+
+@query("source_json_strange_items", """
+select cast(event_id as varchar) as event_id, '' as rejected from events where event_type <> 'error' union all
+select '', case when event_id % 2 = 0 then cast(event_id as varchar) else concat('["', event_id, '"]') end from events where event_type = 'error'""")
+def source_json_strange_items(spark, sf):
+    """Items of another shape than their file's are rows with their text."""
+    path = scratch_path(spark, "strange")
+    good = F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id")))
+    odd = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(
+        F.concat(F.lit('["'), "event_id", F.lit('"]')))
+    item = F.when(F.col("event_type") == "error", odd).otherwise(good)
+    first = F.col("event_type") != "error"
+    parquet(spark, sf, "events").groupBy((F.col("event_id") % 16).alias("file")).agg(
+        F.sort_array(F.collect_list(F.struct(~first, item.alias("item")))).alias("items")).select(
+        F.concat(F.lit("["), F.array_join("items.item", ","), F.lit("]"))).repartition(16).write.text(path)
+    t = open_events(spark, path, FileOptions(is_directory=True, file_pattern="*.txt", jpath="$"), kind="json")
+    return t.df.select("event_id", F.coalesce("_rejected", F.lit("")).alias("rejected"))
+
+
+@query("source_csv_splits", """
+select cast(conv_id as varchar) as conv_id, cast(turn as varchar) as turn, role, text,
+  row_number() over (order by conv_id, turn) - 1 as row_index from conversations""")
+def source_csv_splits(spark, sf):
+    """One file with line breaks and quotes in cells, read in many splits."""
+    path = scratch_path(spark, "splits")
+    parquet(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text").orderBy(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long")).coalesce(1).write.options(**CSV).csv(path)
+    cut = fixed_layout(spark)
+    cut.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    t = open_events(cut, path, _directory("*.csv"))
+    return at_home(spark, t.df.select(*t.columns, F.col(t.ROW_INDEX).alias("row_index")))
+
+
 @query("source_w3c", """
 select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as timestamp, event_type as "cs-method",
   case when event_type = 'view' then '' else concat('/u/', user_id) end as "cs-uri-stem",

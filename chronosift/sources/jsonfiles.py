@@ -55,7 +55,7 @@ def one_value(documents: pd.Series) -> pd.Series:
 def _items(documents: DataFrame, jpath: str) -> DataFrame:
     """(file, shape, position, item) of the array at the path, items as JSON text. Each file
     has the shape of its own first item: ``arrays``, or ``objects`` if there are any; items of
-    the other shape are skipped. A file that holds no JSON, or whose path gives no array of
+    the other shape are ``strange``. A file that holds no JSON, or whose path gives no array of
     either, is one item, its text: ``broken`` or ``other``. Blank files and empty arrays have none."""
     whole = documents.select("_file", F.col("value").alias("_text"), one_value("value").alias("value"))
     found = whole.select("_file", "_text", F.col("value").isNull().alias("_broken"),
@@ -67,9 +67,12 @@ def _items(documents: DataFrame, jpath: str) -> DataFrame:
              .when(F.size(of("{")) > 0, "objects").otherwise("other"))
     shaped = found.filter((F.trim("_text") != "") & F.coalesce(F.size("_found") != 0, F.lit(True))).select(
         "*", shape.alias("_shape"))
-    items = (F.when(F.col("_shape") == "arrays", of("[")).when(F.col("_shape") == "objects", of("{"))
-             .otherwise(F.array("_text")))
-    return shaped.select("_file", "_shape", F.posexplode(items).alias("_pos", "item"))
+    told = F.transform("_found", lambda item: F.coalesce(item, F.lit("null")))
+    items = F.when(F.col("_shape").isin("arrays", "objects"), told).otherwise(F.array("_text"))
+    exploded = shaped.select("_file", "_shape", F.posexplode(items).alias("_pos", "item"))
+    fits = starts(F.col("item"), F.when(F.col("_shape") == "arrays", "[").otherwise("{"))
+    return exploded.withColumn("_shape", F.when(
+        F.col("_shape").isin("arrays", "objects") & ~fits, "strange").otherwise(F.col("_shape")))
 
 
 def _at(jpath: str) -> Column:
@@ -115,7 +118,7 @@ def _arrays(items: DataFrame) -> DataFrame:
 def read_records(spark: SparkSession, paths: list[str], jpath: str) -> DataFrame:
     """Objects or arrays, as the first item of each file says; files of both shapes are united by
     name. The text of a file without JSON, or without such an array at the path, stands in
-    ``_rejected``. It is an error when the path gives no file an array."""
+    ``_rejected``, and so do items of another shape than their file's. It is an error when the path gives no file an array."""
     items = pinned(_items(_documents(spark, paths), jpath))
     shapes = {r["_shape"]: r["first"] for r in items.groupBy("_shape").agg(F.min("_file").alias("first")).collect()}
     if not shapes.keys() & {"arrays", "objects", "broken"}:

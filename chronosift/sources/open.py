@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import replace
 from functools import reduce
 
@@ -38,11 +39,13 @@ def open_events(spark: SparkSession, path: str, options: FileOptions | None = No
                 time_col: str | None = None, display_zone: str | None = None,
                 file_hash: str = "", sources: Sources | None = None,
                 exclude: tuple[str, ...] = (), max_files: int = 0,
-                multiline: bool | None = None, kind: str = "") -> EventTable:
+                multiline: bool | None = None, kind: str = "",
+                zone_names: Mapping[str, str] | None = None) -> EventTable:
     """A file or directory as an event table. Files of a directory may be of several kinds,
     each told by its own ending, inside any compression ending; ``kind`` (csv, json, xlsx)
-    overrules that. For repeated use of text logs write the
-    table to Parquet once (``save_events``) and open that."""
+    overrules that. ``zone_names`` gives offsets of zone abbreviations in times (``EST`` to ``-05:00``).
+    Opening writes nothing; for repeated use of text logs write the table to Parquet once (``save_events``) and
+    open that."""
     options = options or FileOptions()
     sources = sources or standard_sources()
     if options.is_directory:
@@ -50,7 +53,7 @@ def open_events(spark: SparkSession, path: str, options: FileOptions | None = No
     else:
         rows = _file(spark, path, options, sources, multiline, kind)
     return EventTable.of(rows, time_col=time_col, ingest_zone=options.ingest_tz,
-                         display_zone=display_zone, file_key=file_key(file_hash, options))
+                         display_zone=display_zone, file_key=file_key(file_hash, options), zone_names=zone_names)
 
 
 def _file(spark: SparkSession, path: str, options: FileOptions, sources: Sources,

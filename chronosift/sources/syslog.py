@@ -17,11 +17,22 @@ _CLASSIC_TIME = r"(?s)^(\w{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\S+)\s+"
 CLASSIC = _CLASSIC_TIME + _REST
 BARE = _CLASSIC_TIME + r"(.*)$"
 
-_SEP = "\x1f"
+# Groups are cut where this stands between them. A line may hold it too: it is written as something else before,
+# which no shape tells from other letters, and back after.
+_SEP, _ESCAPE = "\x1f", "\x1e"
+
+
+def escaped(line: Column) -> Column:
+    return F.replace(F.replace(line, F.lit(_ESCAPE), F.lit(_ESCAPE + "0")), F.lit(_SEP), F.lit(_ESCAPE + "1"))
+
+
+def as_written(cell: Column) -> Column:
+    """The text of a group of an ``escaped`` line."""
+    return F.replace(F.replace(cell, F.lit(_ESCAPE + "1"), F.lit(_SEP)), F.lit(_ESCAPE + "0"), F.lit(_ESCAPE))
 
 
 def groups(line: Column, pattern: str, n: int) -> Column:
-    """All groups of a pattern that matches the whole line, by one regex run."""
+    """All groups of a pattern that matches the whole ``escaped`` line, by one regex run."""
     return F.split(F.regexp_replace(line, pattern, _SEP.join(f"${i}" for i in range(1, n + 1))),
                    _SEP, n)
 
@@ -53,10 +64,10 @@ def parse(lines: DataFrame, value: str = "value", year: int | None = None) -> Da
     full = F.concat(F.lit(f"{year:04d}-"), F.lpad(month_number(words[0]).cast("string"), 2, "0"),
                     F.lit("-"), F.lpad(words[1], 2, "0"), F.lit(" "), words[2])
     classic = (cells[0] != "") & (F.substring(cells[0], 5, 1) != "-")
-    rows = (lines.select(*others, F.regexp_replace(value, r"[\r\n]+$", "").alias("_line"))
+    rows = (lines.select(*others, escaped(F.regexp_replace(value, r"[\r\n]+$", "")).alias("_line"))
             .filter("_line <> ''").select(*others, found.alias("_cells"))
             .select(*others, "_cells", F.when(classic, F.split(cells[0], " ")).alias("_words"))
             .select(*others, "_cells", F.when(words.isNotNull(), full).alias("_full")))
     stamp = F.when(F.col("_full").try_cast("timestamp_ntz").isNotNull(), F.col("_full")).otherwise(cells[0])
-    return rows.select(*others, stamp.alias(COLUMNS[0]),
-                       *(cells[i].alias(c) for i, c in enumerate(COLUMNS) if i))
+    return rows.select(*others, as_written(stamp).alias(COLUMNS[0]),
+                       *(as_written(cells[i]).alias(c) for i, c in enumerate(COLUMNS) if i))

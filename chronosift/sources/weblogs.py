@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronosift.operators.ordinal import small_side
 from chronosift.session import pinned
-from chronosift.sources.syslog import groups, month_number
+from chronosift.sources.syslog import as_written, escaped, groups, month_number
 
 # Columns and line shapes of the formats.
 W3C_FIELDS = (
@@ -96,10 +96,10 @@ def parse_iis(lines: DataFrame, value: str = "value") -> DataFrame:
 def parse_ncsa(lines: DataFrame, value: str = "value") -> DataFrame:
     """NCSA common lines; others are dropped. The time keeps its offset."""
     others = _others(lines, value)
-    rows = (lines.withColumn("_line", _line(value)).filter(F.col("_line").rlike(NCSA_LINE))
+    rows = (lines.withColumn("_line", escaped(_line(value))).filter(F.col("_line").rlike(NCSA_LINE))
             .select(*others, groups(F.col("_line"), NCSA_LINE, 7).alias("_p"))
-            .select(*others, F.transform("_p", lambda p: _no_dash(p)).alias("_p"), F.col("_p")[3].alias("_raw"),
-                    F.split(F.col("_p")[4], " ", 3).alias("_request"))
+            .select(*others, F.transform("_p", lambda p: _no_dash(as_written(p))).alias("_p"), F.col("_p")[3].alias("_raw"),
+                    F.split(as_written(F.col("_p")[4]), " ", 3).alias("_request"))
             .select("*", F.when(F.col("_raw").rlike(NCSA_TIME), groups(F.col("_raw"), NCSA_TIME, 6)).alias("_t")))
     t = F.col("_t")
     iso = F.concat(t[2], F.lit("-"), F.lpad(month_number(t[1]).cast("string"), 2, "0"), F.lit("-"),
@@ -107,7 +107,7 @@ def parse_ncsa(lines: DataFrame, value: str = "value") -> DataFrame:
                    F.when(t[4] != "", F.concat(t[4], F.lit(":"), t[5])).otherwise(""))
     word = lambda i: F.coalesce(F.get("_request", F.lit(i)), F.lit(""))
     return rows.select(
-        *others, F.coalesce(iso, "_raw").alias("timestamp"), F.col("_p")[0].alias("client_ip"),
+        *others, F.coalesce(iso, as_written(F.col("_raw"))).alias("timestamp"), F.col("_p")[0].alias("client_ip"),
         F.col("_p")[1].alias("ident"), F.col("_p")[2].alias("username"),
         word(0).alias("method"), word(1).alias("uri"), word(2).alias("protocol"),
         F.col("_p")[5].alias("status_code"), F.col("_p")[6].alias("bytes_sent"))
