@@ -302,22 +302,40 @@ def find_surplus(spark, sf):
     return find(open_events(spark, path, _directory("*.csv")), "needle")
 
 
-@query("source_json_strange_items", """
-select cast(event_id as varchar) as event_id, '' as rejected from events where event_type <> 'error' union all
-select '', case when event_id % 2 = 0 then cast(event_id as varchar) else concat('["', event_id, '"]') end from events where event_type = 'error'""")
-def source_json_strange_items(spark, sf):
-    """Items of another shape than their file's are rows with their text."""
-    path = scratch_path(spark, "strange")
-    good = F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id")))
-    odd = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(
-        F.concat(F.lit('["'), "event_id", F.lit('"]')))
-    item = F.when(F.col("event_type") == "error", odd).otherwise(good)
-    first = F.col("event_type") != "error"
-    parquet(spark, sf, "events").groupBy((F.col("event_id") % 16).alias("file")).agg(
-        F.sort_array(F.collect_list(F.struct(~first, item.alias("item")))).alias("items")).select(
-        F.concat(F.lit("["), F.array_join("items.item", ","), F.lit("]"))).repartition(16).write.text(path)
-    t = open_events(spark, path, FileOptions(is_directory=True, file_pattern="*.txt", jpath="$"), kind="json")
-    return t.df.select("event_id", F.coalesce("_rejected", F.lit("")).alias("rejected"))
+@query("source_json_concatenated", """
+select cast(conv_id as varchar) as conv_id, cast(turn as varchar) as turn, role, text,
+  row_number() over (order by conv_id, turn) - 1 as row_index from conversations""")
+def source_json_concatenated(spark, sf):
+    """Values one after another without a path: over several lines, several in a line, cut by splits anywhere."""
+    path = scratch_path(spark, "values")
+    rows = parquet(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text").orderBy(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"))
+    pretty = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"pretty": "true"})
+    flat = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    rows.select(F.when(F.col("turn") == "0", flat).otherwise(pretty)).coalesce(1).write.option(
+        "lineSep", " ").text(path)
+    cut = fixed_layout(spark)
+    cut.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    t = open_events(cut, path, _directory("*.txt"), kind="json")
+    return at_home(spark, t.df.select("conv_id", "turn", "role", "text", F.col(t.ROW_INDEX).alias("row_index")))
+
+
+@query("source_json_root_array", """
+select cast(event_id as varchar) as event_id, props, row_number() over (order by event_id) - 1 as row_index from events""")
+def source_json_root_array(spark, sf):
+    """One array over all lines of a file; nested values stay JSON text."""
+    path = scratch_path(spark, "root")
+    rows = parquet(spark, sf, "events").orderBy("event_id").coalesce(1)
+    item = F.concat(F.lit('{"event_id": "'), "event_id", F.lit('",\n  "props": '), "props", F.lit("}"))
+    rows.withColumn("n", F.monotonically_increasing_id()).select(
+        F.concat(F.when(F.col("n") == 0, "[").otherwise(","), item)).union(
+        spark.range(1).select(F.lit("]"))).coalesce(1).write.text(path)
+    cut = fixed_layout(spark)
+    cut.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    t = open_events(cut, path, FileOptions(is_directory=True, file_pattern="*.txt", jpath="$"), kind="json")
+    return at_home(spark, t.df.select("event_id", F.regexp_replace("props", '":', '": ').alias("props"),
+                                      F.col(t.ROW_INDEX).alias("row_index")))
 
 
 @query("source_csv_splits", """

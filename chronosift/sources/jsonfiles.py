@@ -7,16 +7,16 @@ import json
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronosift.functions.jsonpath import is_plain, json_part
-from chronosift.operators.ordinal import dense, file_path
+from chronosift.operators.ordinal import file_path
 from chronosift.session import pinned
 from chronosift.sources.cells import named_rows
 from chronosift.sources.headers import normal_names
-from chronosift.sources.splits import read_lines as text_lines
+from chronosift.sources.jsonsplits import Values
 
 REJECTED = "_rejected"
 
@@ -55,7 +55,7 @@ def one_value(documents: pd.Series) -> pd.Series:
 def _items(documents: DataFrame, jpath: str) -> DataFrame:
     """(file, shape, position, item) of the array at the path, items as JSON text. Each file
     has the shape of its own first item: ``arrays``, or ``objects`` if there are any; items of
-    the other shape are ``strange``. A file that holds no JSON, or whose path gives no array of
+    the other shape are skipped. A file that holds no JSON, or whose path gives no array of
     either, is one item, its text: ``broken`` or ``other``. Blank files and empty arrays have none."""
     whole = documents.select("_file", F.col("value").alias("_text"), one_value("value").alias("value"))
     found = whole.select("_file", "_text", F.col("value").isNull().alias("_broken"),
@@ -67,12 +67,38 @@ def _items(documents: DataFrame, jpath: str) -> DataFrame:
              .when(F.size(of("{")) > 0, "objects").otherwise("other"))
     shaped = found.filter((F.trim("_text") != "") & F.coalesce(F.size("_found") != 0, F.lit(True))).select(
         "*", shape.alias("_shape"))
-    told = F.transform("_found", lambda item: F.coalesce(item, F.lit("null")))
-    items = F.when(F.col("_shape").isin("arrays", "objects"), told).otherwise(F.array("_text"))
-    exploded = shaped.select("_file", "_shape", F.posexplode(items).alias("_pos", "item"))
-    fits = starts(F.col("item"), F.when(F.col("_shape") == "arrays", "[").otherwise("{"))
-    return exploded.withColumn("_shape", F.when(
-        F.col("_shape").isin("arrays", "objects") & ~fits, "strange").otherwise(F.col("_shape")))
+    items = (F.when(F.col("_shape") == "arrays", of("[")).when(F.col("_shape") == "objects", of("{"))
+             .otherwise(F.array("_text")))
+    return shaped.select("_file", "_shape", F.posexplode(items).alias("_pos", "item"))
+
+
+def _root_items(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same for the root: items of a root array, or roots one after another, cut in splits. Only the files
+    that have neither are read as wholes."""
+    found = Values(spark, paths, items=True)
+    values, files = pinned(found.values), pinned(found.files)
+    mark = F.substring(F.col("value"), 1, 1)
+    shapes = values.groupBy("_file").agg(
+        F.min_by(mark, F.struct("_start", "_seq")).alias("lead"), F.max(mark == "{").alias("some")).join(files, "_file").select(
+        "_file", F.when(~F.col("matched"), "broken").when((F.col("roots") == 1) & (F.col("first") != "["), "other")
+        .when(F.col("lead") == "[", "arrays").when(F.col("some"), "objects").otherwise("other").alias("_shape"))
+    fits = F.when(F.col("_shape") == "arrays", (mark == "[") & F.from_json("value", "array<string>").isNotNull()).otherwise(mark == "{")
+    inside = Window.partitionBy("_file", "_start").orderBy("_seq")
+    kept = values.join(shapes.filter("_shape in ('arrays', 'objects')"), "_file").filter(fits).withColumn(
+        "_nth", F.row_number().over(inside) - 1)
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = kept.groupBy("_file", "_start").count().select(
+        "_file", "_start", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    items = kept.join(offsets, ["_file", "_start"]).select(
+        "_file", "_shape", (F.col("_before") + F.col("_nth")).alias("_pos"), F.col("value").alias("item"))
+    odd = shapes.filter("_shape in ('broken', 'other')")
+    # A part of the file list that came in.
+    left = [r[0] for r in odd.select("_file").collect()]
+    if not left:
+        return items
+    whole = _documents(spark, left).join(odd, "_file").select(
+        "_file", "_shape", F.lit(0).cast("bigint").alias("_pos"), F.col("value").alias("item"))
+    return items.unionByName(whole)
 
 
 def _at(jpath: str) -> Column:
@@ -118,8 +144,8 @@ def _arrays(items: DataFrame) -> DataFrame:
 def read_records(spark: SparkSession, paths: list[str], jpath: str) -> DataFrame:
     """Objects or arrays, as the first item of each file says; files of both shapes are united by
     name. The text of a file without JSON, or without such an array at the path, stands in
-    ``_rejected``, and so do items of another shape than their file's. It is an error when the path gives no file an array."""
-    items = pinned(_items(_documents(spark, paths), jpath))
+    ``_rejected``. Items of another shape than their file's are no records. It is an error when the path gives no file an array."""
+    items = pinned(_root_items(spark, paths) if jpath.strip() == "$" else _items(_documents(spark, paths), jpath))
     shapes = {r["_shape"]: r["first"] for r in items.groupBy("_shape").agg(F.min("_file").alias("first")).collect()}
     if not shapes.keys() & {"arrays", "objects", "broken"}:
         raise ValueError(f"the path {jpath!r} gives no array of objects or arrays")
@@ -133,13 +159,12 @@ def read_records(spark: SparkSession, paths: list[str], jpath: str) -> DataFrame
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Line-delimited objects, the form that scales: files are read in splits. A located
-    read with one column per key. Lines that hold no object are rows too, with their text
-    in the column ``_rejected``; blank lines are none."""
-    lines = text_lines(spark, paths).filter(F.trim("value") != "")
-    maps = lines.select("_file", "_start", "_seq", _object("value").alias("_by"))
-    return spread_keys(dense(maps))
+def read_values(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Objects one after another, with any spacing and over any lines, as a located read with one
+    column per key. Files are read in splits. What is no object is a row too, with its text in the column
+    ``_rejected``; in a file whose brackets don't match, each line stands alone."""
+    values = Values(spark, paths).values
+    return spread_keys(values.select("_file", "_start", "_seq", _object("value").alias("_by")))
 
 
 def preview(spark: SparkSession, path: str, jpath: str, n: int = 5) -> DataFrame:

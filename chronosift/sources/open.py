@@ -82,11 +82,11 @@ def _from_cells(found: DataFrame, options: FileOptions) -> DataFrame:
 
 
 def _json(spark: SparkSession, paths: list[str], jpath: str, keep_file: bool = False) -> DataFrame:
-    """Records at the path; without a path the file holds one object per line."""
+    """Records at the path; without a path the file holds objects one after another."""
     if jpath:
         rows = cells.with_ordinal(jsonfiles.read_records(spark, paths, jpath), ROW)
     else:
-        rows = with_stable_ordinal(jsonfiles.read_lines(spark, paths), ROW)
+        rows = with_stable_ordinal(jsonfiles.read_values(spark, paths), ROW)
     return rows if keep_file else rows.drop("_file")
 
 

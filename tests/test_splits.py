@@ -2,6 +2,7 @@
 
 import csv
 import io
+import json
 import os
 import random
 
@@ -97,3 +98,43 @@ def test_opening_writes_nothing(spark, tmp_path, small_splits):
         plan = table.df.select(first).filter(F.col(f"`{first}`") != "")._jdf.queryExecution().optimizedPlan().toString()
         assert "_shift" not in plan
     assert set(os.listdir(folder)) == before
+
+
+def values(seed, n):
+    rng = random.Random(seed)
+    strings = ["a", "x}y", "[{", 'q"uote\\', "é日", ",", "long " * 40, ""]
+    return [{"id": i, "s": rng.choice(strings), "list": [rng.choice(strings), {"k": i}], "deep": {"a": {"b": [1, [2]]}}} for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [30, 300, 1 << 20])
+def test_json_values_over_splits(spark, tmp_path, small_splits, size):
+    small_splits(size)
+    found = values(1, 10 if size < 100 else 40)
+    rng = random.Random(size)
+    texts = [json.dumps(v, indent=rng.choice([None, 2]), ensure_ascii=False) for v in found]
+    forms = {"one.json": (rng.choice([" ", "\n", "\n\n", ""]).join(texts), ""), "lines.json": ("\n".join(json.dumps(v) for v in found), ""),
+             "root.json": ("[" + ",\n".join(texts) + "]", "$"), "many.json": (" ".join(texts), "$"),
+             "pretty.json": (json.dumps(found, indent=1), "$")}
+    for name, (text, path) in forms.items():
+        with open(f"{tmp_path}/{name}", "w", newline="") as file:
+            file.write(text)
+        table = open_events(spark, f"{tmp_path}/{name}", FileOptions(jpath=path))
+        got = [(r["id"], r["s"], json.loads(r["list"]), json.loads(r["deep"]), r["_row_index"])
+               for r in table.df.orderBy("_row_index").collect()]
+        assert got == [(str(v["id"]), v["s"], v["list"], v["deep"], i) for i, v in enumerate(found)], name
+
+
+def test_json_that_is_none(spark, tmp_path, small_splits):
+    """Lines stand alone where brackets don't match; strays between values are rows of their own."""
+    small_splits(16)
+    for name, text, want in (
+            ("a.json", '{"a": 1}\n{"a": 2\n\n{"a": 3}\nno json\n', [("1", ""), ("", '{"a": 2'), ("3", ""), ("", "no json")]),
+            ("b.json", '{"a": 1} stray {"a":\n 2}\n 5 \n[1]', [("1", ""), ("", "stray"), ("2", ""), ("", "5"), ("", "[1]")])):
+        with open(f"{tmp_path}/{name}", "w") as file:
+            file.write(text)
+        got = open_events(spark, f"{tmp_path}/{name}").df.orderBy("_row_index").collect()
+        assert [(r["a"], r["_rejected"]) for r in got] == want
+    with open(f"{tmp_path}/c.json", "w") as file:
+        file.write('[["h", "i"],\n ["1", "2"], 7, {"x": 1},\n["3"]]')
+    got = open_events(spark, f"{tmp_path}/c.json", FileOptions(jpath="$")).df.orderBy("_row_index").collect()
+    assert [(r["h"], r["i"]) for r in got] == [("1", "2"), ("3", None)]      # others are no records of such a file
