@@ -295,8 +295,8 @@ def first_of_each(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "
     _, known = classes(docs, threshold, doc_id, text)
     heads = known.filter(F.col("text_id").eqNullSafe(F.col("class_id"))).select(
         F.col("cls").alias("_cls"), F.col("text_id").alias("_head"))
-    rows = docs.select("*", class_key(F.col(f"`{text}`")).alias("_cls"))
-    whole = F.struct(*[F.col(f"`{n}`") for n in names])
+    # Columns of the input travel in a struct, so that no name of theirs clashes.
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), class_key(F.col(f"`{text}`")).alias("_cls"))
     first = rows.filter("_cls is not null").join(heads, "_cls").filter(
-        F.col(f"`{doc_id}`").eqNullSafe(F.col("_head"))).groupBy("_cls").agg(F.first(whole).alias("_row"))
-    return first.select("_row.*").unionByName(rows.filter("_cls is null").select(*[F.col(f"`{n}`") for n in names]))
+        F.col(f"_row.`{doc_id}`").eqNullSafe(F.col("_head"))).groupBy("_cls").agg(F.first("_row").alias("_row"))
+    return first.select("_row").union(rows.filter("_cls is null").select("_row")).select("_row.*")

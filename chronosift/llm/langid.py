@@ -198,6 +198,12 @@ def _predictor(model: dict[str, np.ndarray]):
     return predict
 
 
+def noise(model: dict[str, np.ndarray]) -> float:
+    """The greatest cosine to be expected of a text that is like none of the languages: of as many
+    numbers with the deviation of random vectors' cosines."""
+    return float(np.sqrt(2 * np.log(max(len(model), 2)) / DIMENSIONS))
+
+
 def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[Column], text: str = "text") -> DataFrame:
     """The columns ``keep`` of every document with ``lang_pred`` and ``score``. The score is
     the cosine with the prototype of the language, 0 if negative."""

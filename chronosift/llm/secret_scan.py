@@ -4,9 +4,10 @@ A candidate is a run of 20 or more characters of the base-64 alphabets with a le
 digit in it. A window of 20 characters slides over it; a table of counts is kept up to date
 by the one character that comes and the one that goes, and with it the Shannon entropy. The
 limit depends on the class of the run (hex, one case of letters, both). The span goes from
-the first window over the limit to the end of the last one. Runs that an allow-list knows as
-harmless (UUIDs, sample and placeholder words, alphabets) are left out; it holds for this
-kind alone.
+the first window over the limit to the end of the last one. What an allow-list knows as harmless
+is left out: runs that are UUIDs, and of other runs the segments (each ends with ``/`` or ``-``) that
+hold a sample or placeholder word or an alphabet; what stands beside them is looked at as before.
+The list holds for this kind alone.
 
 Edge cases. A null text is read as empty. Overlapping spans of different kinds are all given.
 Repeated rows are scanned each. Positions are code points, ends exclusive.
@@ -23,8 +24,8 @@ from chronosift.llm.text import let
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-ALLOWED = (r"example|sample|placeholder|changeme|dummy|xxxx|0123456789|1234567890|abcdefgh|lorem"
-           r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+ALLOWED = r"example|sample|placeholder|changeme|dummy|xxxx|0123456789|1234567890|abcdefgh|lorem"
+UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 KINDS = ("assign", "access", "hex", "entropy")
 ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_-"
 
@@ -138,7 +139,18 @@ def base_spans(text: Column) -> Column:
 
 
 def entropy_spans(text: Column) -> Column:
-    runs = F.filter(places(text, CANDIDATE), lambda m: ~F.lower(m["found"]).rlike(ALLOWED))
+    runs = F.filter(places(text, CANDIDATE), lambda m: ~F.lower(m["found"]).rlike(UUID))
+
+    def beside(run: Column, start: Column) -> Column:
+        """What is left of a run without its harmless segments."""
+        kept = F.transform(F.split(run, "(?<=[/-])"), lambda part: F.when(
+            F.lower(part).rlike(ALLOWED), F.repeat(F.lit(" "), F.length(part))).otherwise(part))
+        return let(F.array_join(kept, ""), lambda text: F.transform(places(text, CANDIDATE), lambda m: F.struct(
+            m["found"].alias("found"), (start + m["start"]).alias("start"))))
+
+    runs = F.flatten(F.transform(runs, lambda m: F.when(
+        F.lower(m["found"]).rlike(ALLOWED), beside(m["found"], m["start"])).otherwise(
+            F.array(F.struct(m["found"].alias("found"), m["start"].alias("start"))))))
     parts = F.transform(runs, lambda m: let(dense_part(m["found"]), lambda d: F.struct(
         (d["first"] >= 0).alias("ok"),
         _span("entropy", m["start"] + d["first"], m["start"] + d["last"]).alias("span"))))

@@ -221,9 +221,14 @@ def brute_secrets(text):
     base += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     base += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
     more = []
+    runs = []
     for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
-        run = m[0]
-        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or re.search(secret_scan.ALLOWED, run.lower()):
+        if not re.search(secret_scan.UUID, m[0].lower()):
+            kept = "".join(" " * len(part) if re.search(secret_scan.ALLOWED, part.lower()) else part
+                           for part in re.split("(?<=[/-])", m[0]))
+            runs += [(m.start() + k.start(), k[0]) for k in re.finditer("[^ ]{20,}", kept)]
+    for at, run in runs:
+        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
             continue
         limit = secret_scan.LIMITS[
             "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) else
@@ -231,7 +236,7 @@ def brute_secrets(text):
         over = [i for i in range(len(run) - 19) if -sum(
             c / 20 * math.log2(c / 20) for c in Counter(run[i:i + 20]).values()) >= limit - 1e-9]
         if over:
-            more.append((m.start() + over[0], 3, m.start() + over[-1] + 20, "entropy"))
+            more.append((at + over[0], 3, at + over[-1] + 20, "entropy"))
     return base, more
 
 
@@ -252,6 +257,21 @@ def test_secrets(docs, empty):
     assert secret_scan.report(empty).count() == 0
 
 
+def test_allowed_words_cover_their_own_segment(spark):
+    """A harmless word in a path does not hide the key beside it; in the key's own segment it does."""
+    key = "AKx9fQ2mZ7Lp0vR4tYb8Wc3N"
+    texts = [f"key sample/{key} end", f"/example/hooks/{key}", f"{key}-placeholder", f"sample{key}", "123e4567-e89b-12d3-a456-426614174000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.report(df).collect()}
+    for i, text in enumerate(texts[:3]):
+        (kind, start, end), = [s.split(":") for s in got[i].split(",")]
+        at = text.index(key)
+        assert kind == "entropy" and int(start) <= at + 4 and at + 20 <= int(end) <= at + len(key) + 1, (text, got[i])
+    assert got[3] == got[4] == ""
+    masked = [r.text for r in secret_scan.redact(df).orderBy("doc_id").collect()]
+    assert all(key[4:20] not in m for m in masked[:3]) and masked[3:] == texts[3:]
+
+
 def test_many_matches(spark):
     text = "é" + " ".join(f"token = abcdef{i}" for i in range(500))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
@@ -454,7 +474,6 @@ def test_urls(spark):
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(packing.tokenizer_path())
-    whole.encode_special_tokens = True
     got = packing.pack(docs, capacity=256).collect()
     ids = {i: whole.encode(t or "", add_special_tokens=False).ids + [0] for i, t in [*enumerate(TEXTS), (None, "no id here")]}
     seen, bins = Counter(), defaultdict(list)
@@ -504,7 +523,6 @@ def test_word_tokenizer():
     from tokenizers import Tokenizer
     path = packing.tokenizer_path()
     whole, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
-    whole.encode_special_tokens = True
     cases = [t for t in TEXTS if t] + ["Don't 'S I'll 12³ İstanbul ΑΣ ς e\u0301 ﬁ <|endoftext|> a\x1cb Ⅷ 🄰 ªº"]
     for text in cases:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
