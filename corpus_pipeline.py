@@ -5,7 +5,8 @@ to the shared folder and reads it back for the next one. All but the last keep t
 documents.
 
 * ``language``: documents without a language (no letter, no text) go, and those whose cosine
-  with no language is above 0. Short texts have low cosines and stay.
+  with no language is above the noise between random vectors (``langid.noise``). Of texts under
+  ``SHORT`` characters, which have low cosines, those above 0 stay.
 * ``near_duplicates``: of texts linked by similarity of 0.8 or more, directly or through
   others, the one of the smallest id stays.
 * ``secrets``: what a secret covers is replaced by a mask; no document goes.
@@ -26,15 +27,16 @@ from pyspark.sql import functions as F
 from chronosift.llm import jaccard, langid, mixing, packing, secret_scan
 from chronosift.session import pinned
 
-# A document that is not above this cosine is like none of the languages that were learned.
-LEAST_SCORE = 0.0
+# Texts of fewer characters have too few trigrams to rise above the noise.
+SHORT = 64
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.prototypes(docs.filter(~langid.held_out(F.col("doc_id"))))
     row = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row")
     found = langid.predict(docs, model, [row])
-    kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > LEAST_SCORE))
+    least = F.when(F.length(F.col("_row.text")) < SHORT, 0.0).otherwise(langid.noise(model))
+    kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > least))
     return kept.select("_row.*")
 
 
