@@ -293,32 +293,88 @@ def test_redaction(docs):
 
 # -- 5 ------------------------------------------------------------------------------------------
 
-def brute_shard(doc_id, shards):
+def brute_descent(doc_id, tree):
+    """Draw of the region that is followed, and the leaf."""
     key = "null" if doc_id is None else str(doc_id)
-
-    def draw(s):
-        bits = int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16)
-        return -math.log((bits + 0.5) / 16.0 ** 13)
-    return min(range(shards), key=draw)
+    taken = 0
+
+    def least(level, shards):
+        nonlocal taken
+        weights = {}
+        for s in shards:
+            weights[getattr(s, level)] = weights.get(getattr(s, level), 0.0) + s.weight
+        draws = []
+        for node, weight in weights.items():
+            taken += 1
+            bits = int(hashlib.md5(f"{key}:{level}{node}".encode()).hexdigest()[:13], 16)
+            draws.append((-math.log((bits + 0.5) / 16.0 ** 13) / weight, node))
+        draw, node = min(draws)
+        return draw, [s for s in shards if getattr(s, level) == node]
+    draw, left = least("region", tree)
+    _, left = least("rack", left)
+    _, left = least("shard", left)
+    return draw, left[0], taken
 
 
 def test_sharding(docs, empty, spark):
-    got = sharding.place(docs, 7).collect()
+    tree = sharding.layout(40)
+    got = sharding.place(docs).collect()
     slots = defaultdict(list)
     for r in got:
         text = TEXTS[r.doc_id] if r.doc_id is not None else "no id here"
         data = (text or "").encode()
         assert (r["size"], r.text_crc32, r.law) == (len(data) + 16, zlib.crc32(data), "key")
-        assert r.shard == brute_shard(r.doc_id, 7)
-        assert r.grown_shard == brute_shard(r.doc_id, 8) and r.grown_shard in (r.shard, 7)
+        _, leaf, draws = brute_descent(r.doc_id, tree)
+        assert (r.region, r.rack, r.shard) == leaf[:3] and draws == 11
+        assert r.grown_shard == brute_descent(r.doc_id, sharding.layout(41, 40))[1].shard
+        assert r.grown_shard in (r.shard, 40)
         slots[r.shard].append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert sharding.place(empty).count() == 0
+
+
+def shards_of(docs, **options):
+    return {r.doc_id: (r.region, r.rack, r.shard, r.grown_shard) for r in sharding.place(docs, **options).collect()}
+
+
+def test_sharding_law_and_shares(spark):
     many = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     tree = [sharding.Shard(0, 0, 0, 1.0), sharding.Shard(0, 1, 1, 3.0), sharding.Shard(1, 2, 2, 4.0)]
-    placed = sharding.place(many, tree=tree, more=[sharding.Shard(1, 3, 3, 2.0)])
-    n = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
+    placed = shards_of(many, tree=tree, more=[sharding.Shard(1, 3, 3, 2.0)])     # into a full region
+    n = Counter(s for _, _, s, _ in placed.values())
     assert [n[i] / 20000 for i in range(3)] == pytest.approx([1 / 8, 3 / 8, 1 / 2], abs=0.02)
+    n = Counter(g for *_, g in placed.values())
+    assert [n[i] / 20000 for i in range(4)] == pytest.approx([1 / 10, 3 / 10, 4 / 10, 2 / 10], abs=0.02)
+    assert all(g in (s, 3) for _, _, s, g in placed.values())
+    # Shard by shard, from any founding, also one that ends inside a rack.
+    for founded, upto in ((40, 43), (7, 9)):
+        before = shards_of(many, shards=founded)
+        for shards in range(founded + 1, upto):
+            after = shards_of(many, shards=shards, founded=founded)
+            assert all(after[i][2] == before[i][3] and before[i][3] in (before[i][2], shards - 1) for i in before)
+            taken = sum(r[2] == shards - 1 for r in after.values())
+            assert taken / 20000 == pytest.approx(1 / shards, abs=0.02)
+            before = after
+
+
+def test_sharding_movement_stays_in_changed_subtrees(spark):
+    many = spark.range(10000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    tree = sharding.layout(40)
+    before = shards_of(many, tree=tree)
+
+    def moved(changes):
+        after = shards_of(many, tree=[s._replace(weight=changes.get(s.shard, s.weight)) for s in tree])
+        return [(before[i], after[i]) for i in before if before[i][2] != after[i][2]]
+    # Shifted within rack 1 (shards 4 to 7): only there.
+    within = moved({4: 1.5, 5: 0.5})
+    assert within and all(a[1] == b[1] == 1 for a, b in within)
+    # Shifted between racks 1 and 2 of region 0: only in that region, out of or into these racks.
+    between = moved({4: 2.0, 8: 0.0})
+    assert between and all(a[0] == b[0] == 0 and {a[1], b[1]} & {1, 2} for a, b in between)
+    # More weight for one shard: its region takes, none goes from one shard of region 1 to another.
+    heavier = moved({4: 5.0})
+    assert heavier and all(b[0] == 0 for a, b in heavier)
+    assert moved({}) == []
 
 
 # -- 6 ------------------------------------------------------------------------------------------
