@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosift.functions.text import col
+from chronosift.operators.intervals import Ranges, in_ranges
 from chronosift.plans.event_table import EventTable
 
 SCHEMA = ("annotation_id string, file_key string, row_index bigint, note string, color string, "
@@ -95,18 +96,16 @@ def counts_per_file(annotations: DataFrame) -> DataFrame:
 # New versions of the annotation table
 # ---------------------------------------------------------------------------
 
-def selected_rows(table: EventTable, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
-    """``row_index`` of all rows of the result, or of position ranges ``[start, end)``."""
+def selected_rows(table: EventTable, ranges: Ranges | None = None) -> DataFrame:
+    """``row_index`` of all rows of the result, or of position ranges ``[start, end)``, given
+    as a list or as a table of two columns."""
     if ranges is None:
         return table.df.select(col(table.ROW_INDEX).alias("row_index"))
-    tests = F.lit(False)
-    for start, end in ranges:
-        tests = tests | F.col("position").between(max(start, 0), end - 1)
-    return table.positions().filter(tests).select("row_index")
+    return in_ranges(table.positions(), "position", ranges).select("row_index")
 
 
 def annotate(table: EventTable, annotations: DataFrame, note: str, color: str = DEFAULT_COLOR,
-             ranges: list[tuple[int, int]] | None = None, author: str = "",
+             ranges: Ranges | None = None, author: str = "",
              at: Column | None = None) -> DataFrame:
     """Upsert one note and colour for the selected rows: rows that already have an
     annotation keep their id, the others get a new one."""
@@ -133,7 +132,7 @@ def annotate(table: EventTable, annotations: DataFrame, note: str, color: str =
 
 
 def unannotate(table: EventTable, annotations: DataFrame,
-               ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+               ranges: Ranges | None = None) -> DataFrame:
     """Drop the annotations of the selected rows; it is an error when there are none."""
     gone = selected_rows(table, ranges).select(
         F.lit(table.file_key).alias("file_key"), "row_index")

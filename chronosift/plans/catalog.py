@@ -653,6 +653,21 @@ def annotate_ranges(spark, sf):
         "row_index", "note")
 
 
+@query("annotate_range_table", f"""
+select coalesce(m.row_index, e.event_id) as row_index,
+  case when e.event_id is not null then 'range' else m.note end as note
+from {MARKS_SQL} m full outer join (select event_id from (select event_id,
+  row_number() over (order by value, event_id) - 1 as p from events)
+  where p in (select 3 * o_orderkey from orders)
+    or p in (select 3 * o_orderkey + 1 from orders where o_custkey % 2 = 1)) e on e.event_id = m.row_index""")
+def annotate_range_table(spark, sf):
+    """As many ranges as there are orders."""
+    start = 3 * F.col("o_orderkey")
+    ranges = parquet(spark, sf, "orders").select(start, start + 1 + F.col("o_custkey") % 2)
+    t = events(spark, sf).sort("value")
+    return A.annotate(t, marks(spark, sf), "range", ranges=ranges).select("row_index", "note")
+
+
 @query("unannotate", f"select annotation_id, row_index from {MARKS_SQL} where color <> 'red'")
 def unannotate(spark, sf):
     t = events(spark, sf).filter(P.field_eq("event_type", "error"))
@@ -971,6 +986,17 @@ def timeline(spark, sf):
     return build([log, book], notes, files)
 
 
+@query("selection_range_table", """
+select p as position, event_type from (select row_number() over (order by value desc, event_id) - 1 as p, event_type from events)
+where exists (select 1 from customer where p >= 11 * c_custkey - 20 and p < 11 * c_custkey - 20 + c_nationkey)""")
+def selection_range_table(spark, sf):
+    """Overlapping ranges, also below the first and beyond the last row."""
+    from chronosift.sinks.selection import selection as pick
+    start = 11 * F.col("c_custkey") - 20
+    ranges = parquet(spark, sf, "customer").select(start, start + F.col("c_nationkey"))
+    return pick(events(spark, sf).sort(("value", True)), ranges, ["event_type"])
+
+
 @query("selection", """
 select p as position, user_id as user, coalesce(k, '') as props, '' as nope from (select
   row_number() over (order by value desc, event_id) - 1 as p, cast(user_id as varchar) as user_id,

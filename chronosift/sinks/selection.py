@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from chronosift.functions.jsonpath import json_cell
 from chronosift.functions.text import col, resolve
+from chronosift.operators.intervals import Ranges, in_ranges
 from chronosift.plans.event_table import EventTable
 
 
-def selection(table: EventTable, ranges: Sequence[tuple[int, int]] | None = None,
+def selection(table: EventTable, ranges: Ranges | None = None,
               fields: Sequence[str] | None = None, headers: Sequence[str] | None = None,
               paths: Mapping[str, str] | None = None) -> DataFrame:
-    """Rows of the current result, all or position ranges ``[start, end)``, with the
-    chosen columns in the given order. Unknown columns are empty; tabs and line breaks
+    """Rows of the current result, all or position ranges ``[start, end)`` (a list, or a
+    table of two columns), with the chosen columns in the given order. Of ranges only sort keys
+    are put in order, and the cells of the rows found are fetched by row index. Unknown columns are empty; tabs and line breaks
     become blanks; ``paths`` shows columns through a JSON path. Positions come along in
     ``position`` to keep the order."""
     fields = list(fields or table.display)
@@ -30,13 +32,12 @@ def selection(table: EventTable, ranges: Sequence[tuple[int, int]] | None = None
         if path and column is not None:
             cell = json_cell(col(column), path)
         cells.append(F.regexp_replace(cell, "[\t\r\n]", " ").alias(name))
-    placed = table.positions(F.struct(*cells).alias("_cells"))
-    if ranges is not None:
-        wanted = F.lit(False)
-        for start, end in ranges:
-            wanted = wanted | F.col("position").between(max(start, 0), end - 1)
-        placed = placed.filter(wanted)
-    return placed.select("position", "_cells.*")
+    cells = F.struct(*cells).alias("_cells")
+    if ranges is None:
+        return table.positions(cells).select("position", "_cells.*")
+    found = in_ranges(table.positions(), "position", ranges)
+    rows = table.df.select(col(table.ROW_INDEX).alias("row_index"), cells)
+    return rows.join(found, "row_index").select("position", "_cells.*")
 
 
 def export_selection(rows: DataFrame, path: str) -> None:
