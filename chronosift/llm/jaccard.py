@@ -1,12 +1,18 @@
-"""N-gram Jaccard join by MinHash banding.
+"""N-gram Jaccard join by a MinHash LSH forest.
 
 Texts are sets of shingles of five words. Equal texts form a class, and only one text of a
-class goes on. Each of 16 trees gives a text a path of minhashes, and texts with the same path
-are a node. The length of the paths is fixed before they are made, from the threshold: as long
-as the weakest pair that counts (similarity exactly at the threshold) meets in some tree with
-the target probability. It isn't shortened text by text, so this is banding, not the walk of a
-forest's tries. Nodes with the same members as another one are left out. What remains is
-verified exactly, on the sets themselves.
+class goes on. Each tree gives a text a path of minhashes; texts that share a prefix of it are
+a node of the tree's trie. The prefix that has to match starts at the deepest level and is
+shortened until the weakest pair that counts (similarity exactly at the threshold) meets with
+the target probability; thresholds too low for 16 trees get more of them.
+
+How deep a node goes beyond that follows from its texts. A crowded node (many tiles, for
+instance texts that share a long passage and little else) is split by further levels: its
+members get a second path in every tree, by minhashes not used so far, and only those that
+share one of these too stay together. So that this loses nothing, half of the permitted misses
+are kept for the second paths. Where the split would not lower the number of comparisons (near
+copies stay together at any depth), the node is left whole. Nodes with the same members as
+another one are left out. What remains is verified exactly, on the sets themselves.
 
 A node is cut into tiles of bounded size, and a task compares two tiles by products of
 incidence matrices. Tasks give back link counts and a spanning star per component, never
@@ -39,21 +45,27 @@ from chronosift.session import pinned
 WORDS, THRESHOLD = 5, 0.8
 TREES, LEVELS, RECALL = 16, 8, 0.999
 TILE_TEXTS, TILE_SHINGLES = 512, 1 << 20
+# Nodes of more tiles are split by further levels where that lowers the comparisons.
+CROWDED_TILES = 4
+# Trees of the second paths by which the number of comparisons after a split is estimated.
+TRIAL_TREES = 2
 # Classes that may be sent to all tasks when texts are fetched (16 bytes each, an id, a flag).
 BROADCAST_CLASSES = 500_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def matched_prefix(threshold: float = THRESHOLD, trees: int = TREES, levels: int = LEVELS,
-                   recall: float = RECALL) -> int:
-    """Levels that have to agree: the most with which a pair at the threshold is found with the
-    probability ``recall``. A threshold too low for even one level is refused."""
-    for length in range(levels, 0, -1):
-        if 1 - (1 - min(threshold, 1.0) ** length) ** trees >= recall:
-            return length
-    least = 1 - (1 - recall) ** (1 / trees)
-    raise ValueError(f"{trees} trees find pairs with recall {recall} from threshold {least:.4f}, not at {threshold}")
+def forest_shape(threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
+    """Trees, and levels that have to agree: the most with which a pair at the threshold is
+    missed by the first paths or by the second ones with a probability of at most
+    ``1 - recall``. There are 16 trees, and more where even one level is too much for them."""
+    if not 0 < threshold:
+        raise ValueError(f"the threshold must be above 0, not {threshold}")
+    threshold, missed = min(threshold, 1.0), (1 - recall) / 2
+    for levels in range(LEVELS, 0, -1):
+        if (1 - threshold ** levels) ** TREES <= missed:
+            return TREES, levels
+    return math.ceil(math.log(missed) / math.log(1 - threshold)), 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,31 +89,37 @@ def shingle_set(text: str, size: int = WORDS) -> np.ndarray:
 
 
 class Forest:
-    """Minhash paths of ``trees`` trees, as long as the matched prefix."""
+    """Minhash prefixes of ``levels`` levels in each of ``trees`` trees. Forests of different
+    ``seed`` use different minhashes."""
 
-    def __init__(self, trees: int = TREES, prefix: int | None = None):
-        self.trees, self.prefix = trees, prefix or matched_prefix(trees=trees)
-        rng = np.random.default_rng(20)
-        width = trees * self.prefix
+    def __init__(self, trees: int, levels: int, seed: int = 20):
+        self.trees, self.levels = trees, levels
+        rng = np.random.default_rng(seed)
+        width = trees * levels
         self.flip = rng.integers(0, 1 << 63, width, dtype=np.uint64)
         self.scale = rng.integers(0, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """A key per tree that stands for the first levels of the path there."""
-        least = np.full(self.trees * self.prefix, np.iinfo(np.uint64).max, dtype=np.uint64)
+        """A key per tree that stands for the prefix of the path there."""
+        least = np.full(self.trees * self.levels, np.iinfo(np.uint64).max, dtype=np.uint64)
         for at in range(0, len(shingles), 1024):
             part = (shingles[at:at + 1024, None] ^ self.flip) * self.scale
             np.minimum(least, part.min(axis=0), out=least)
-        path = least.reshape(self.trees, self.prefix)
+        path = least.reshape(self.trees, self.levels)
         key = np.zeros(self.trees, dtype=np.uint64)
-        for level in range(self.prefix):
+        for level in range(self.levels):
             key = _mixed(key * _MULTIPLIER + path[:, level])
         return key.view(np.int64)
 
 
-def _sketched(prefix: int):
+def _lists(keys: list[np.ndarray], offsets: list[int]) -> pa.ListArray:
+    values = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+
+
+def _sketched(trees: int, levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest(prefix=prefix)
+        forest = Forest(trees, levels)
         for batch in batches:
             counts, keys, offsets = [], [], [0]
             for text in batch.column(2):
@@ -109,15 +127,24 @@ def _sketched(prefix: int):
                 counts.append(len(shingles))
                 if len(shingles):
                     keys.append(forest.keys(shingles))
-                offsets.append(offsets[-1] + (forest.trees if len(shingles) else 0))
-            values = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
+                offsets.append(offsets[-1] + (trees if len(shingles) else 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), _lists(keys, offsets)],
                 names=["doc_id", "cls", "n", "keys"])
     return run
 
 
+def _deeper(trees: int, levels: int):
+    """Second paths of the sets in crowded nodes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest(trees, levels, seed=21)
+        for batch in batches:
+            keys = [forest.keys(np.frombuffer(s.as_py(), dtype=np.uint64)) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _lists(keys, [i * trees for i in range(len(keys) + 1)])], names=["cls", "deep"])
+    return run
+
+
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t.as_py() or "").tobytes() for t in batch.column(1)]
@@ -148,21 +175,24 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return np.nonzero(common >= threshold * union)
 
 
-def _verify(rows: list[tuple], tree: int, low: int, high: int, threshold: float):
-    """Link counts and star edges of one pair of tiles; rows are ``cls, tile, keys, shingles``."""
+def _verify(rows: list[tuple], tree: int, branch: int, low: int, high: int, threshold: float):
+    """Link counts and star edges of one pair of tiles; rows are ``cls, tile, keys, deep,
+    shingles``. A pair counts in the first tree where it meets, and in a split node of it
+    (``branch`` from 0) in the first tree of the second paths."""
     first = np.array([i for i, r in enumerate(rows) if r[1] == low])
     second = first if low == high else np.array([i for i, r in enumerate(rows) if r[1] == high])
     if not len(first) or not len(second):
         return []
     if low == high and len(rows) == 2:
         first, second = first[:1], second[1:]
-    sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+    sets = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
     a, b = linked_pairs(sets, first, second, threshold)
     a, b = first[a], second[b]
     if low == high:
         a, b = a[a < b], b[a < b]
-    if tree and len(a):
-        keys = np.array([r[2][:tree] for r in rows])
+    seen = tree + max(branch, 0)
+    if seen and len(a):
+        keys = np.array([[*r[2][:tree], *(r[3][:branch] if branch > 0 else ())] for r in rows])
         fresh = np.concatenate([~(keys[a[i:i + 65536]] == keys[b[i:i + 65536]]).any(axis=1)
                                 for i in range(0, len(a), 65536)])
         a, b = a[fresh], b[fresh]
@@ -191,19 +221,19 @@ def _verified(threshold: float):
 
         group, rows, out = None, [], []
         for batch in batches:
-            heads = list(zip(*[batch.column(i).to_pylist() for i in range(4)]))
-            body = list(zip(*[batch.column(i).to_pylist() for i in range(4, 8)]))
+            heads = list(zip(*[batch.column(i).to_pylist() for i in range(6)]))
+            body = list(zip(*[batch.column(i).to_pylist() for i in range(6, 11)]))
             for head, row in zip(heads, body):
                 if head != group:
                     if len(rows) > 1:
-                        out += _verify(rows, group[0], group[2], group[3], threshold)
+                        out += _verify(rows, group[0], group[2], group[4], group[5], threshold)
                     group, rows = head, []
                 rows.append(row)
             if len(out) > 10_000:
                 yield packed(out)
                 out = []
         if len(rows) > 1:
-            out += _verify(rows, group[0], group[2], group[3], threshold)
+            out += _verify(rows, group[0], group[2], group[4], group[5], threshold)
         yield packed(out)
     return run
 
@@ -232,26 +262,62 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("cls"), "label")
 
 
+NODE = ["tree", "key", "branch", "deep_key"]
+
+
+def _shared_nodes(placed: DataFrame) -> DataFrame:
+    """Size, tiles and a mark of the members of every node of more than one text."""
+    mark = F.xxhash64("cls")
+    nodes = placed.groupBy(*NODE).agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.bit_xor(mark).alias("x"),
+        F.min(mark).alias("low"), F.max(mark).alias("high")).filter("size > 1")
+    tiles = F.greatest(F.ceil(F.col("size") / TILE_TEXTS), F.ceil(F.col("weight") / TILE_SHINGLES))
+    return nodes.withColumn("tiles", tiles.cast("int"))
+
+
+def _one_of_each(nodes: DataFrame) -> DataFrame:
+    """One node for each set of members: the one of the earliest tree and branch."""
+    first = F.min_by(F.struct(*NODE), F.struct("tree", "branch"))
+    return nodes.groupBy("size", "weight", "x", "low", "high").agg(
+        first.alias("node"), F.first("tiles").alias("tiles")).select("node.*", "tiles", "size", "weight", "x", "low", "high")
+
+
+def _split(members: DataFrame, crowded: DataFrame, sets: DataFrame, shape: tuple[int, int]):
+    """Crowded nodes split by further levels, those where it lowers the comparisons:
+    the split nodes (``tree, key``), the nodes that take their place, the members of these,
+    and the second paths."""
+    inside = pinned(members.join(crowded.select("tree", "key"), ["tree", "key"], "left_semi"))
+    within = sets.join(inside.select("cls").distinct(), "cls", "left_semi")
+    deep = pinned(within.select("cls", "shingles").mapInArrow(_deeper(*shape), "cls binary, deep array<long>"))
+    placed = inside.drop("branch", "deep_key").join(deep, "cls")
+
+    def branches(rows: DataFrame, keys) -> DataFrame:
+        return rows.select("cls", "n", "tree", "key", F.posexplode(keys).alias("branch", "deep_key"))
+
+    # The trees of the second paths are alike, so a few tell what all of them will cost.
+    trial = _shared_nodes(branches(placed, F.slice("deep", 1, TRIAL_TREES)))
+    after = trial.groupBy("tree", "key").agg(
+        (F.sum(F.col("size").cast("double") * F.col("size")) * (shape[0] / TRIAL_TREES)).alias("after"))
+    split = pinned(crowded.join(after, ["tree", "key"], "left").filter(
+        F.coalesce("after", F.lit(0.0)) < F.col("size").cast("double") * F.col("size")).select("tree", "key"))
+    fresh = branches(placed.join(split, ["tree", "key"], "left_semi"), F.col("deep"))
+    return split, _shared_nodes(fresh), fresh, deep
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
             text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All documents as ``doc_id, cls``, and ``cls, text_id, class_id, links`` of every class."""
-    prefix = matched_prefix(threshold)
+    shape = forest_shape(threshold)
     body = F.col(text).cast("string")
     rows = docs.select(F.col(doc_id).alias("doc_id"), class_key(body).alias("cls"), body.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sketches = pinned(rows.mapInArrow(_sketched(prefix), f"doc_id {kind}, cls binary, n long, keys array<long>"))
+    sketches = pinned(rows.mapInArrow(_sketched(*shape), f"doc_id {kind}, cls binary, n long, keys array<long>"))
     texts = pinned(sketches.filter("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("text_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    mark = F.xxhash64("cls")
-    nodes = texts.select("cls", "n", F.posexplode("keys").alias("tree", "key"))
-    shared = nodes.groupBy("tree", "key").agg(
-        F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.bit_xor(mark).alias("x"),
-        F.min(mark).alias("low"), F.max(mark).alias("high")).filter("size > 1")
-    tiles = F.greatest(F.ceil(F.col("size") / TILE_TEXTS), F.ceil(F.col("weight") / TILE_SHINGLES)).cast("int")
-    # One node for each set of members: the earliest tree's.
-    kept = pinned(shared.groupBy("size", "weight", "x", "low", "high").agg(
-        F.min("tree").alias("tree"), F.min_by("key", "tree").alias("key")).select("tree", "key", tiles.alias("tiles")))
-    members = pinned(nodes.select("cls", "tree", "key").join(kept, ["tree", "key"]))
+    placed = texts.select("cls", "n", F.posexplode("keys").alias("tree", "key")).select(
+        "*", F.lit(-1).alias("branch"), F.lit(0).cast("bigint").alias("deep_key"))
+    kept = pinned(_one_of_each(_shared_nodes(placed)))
+    members = pinned(placed.join(kept.select("tree", "key"), ["tree", "key"], "left_semi"))
     wanted = pinned(members.select("cls").distinct().join(texts.select("cls", "text_id"), "cls"))
     fetch = rows.join(small_side(wanted, BROADCAST_CLASSES),
                       (rows["cls"] == wanted["cls"]) & rows["doc_id"].eqNullSafe(wanted["text_id"])).select(
@@ -259,13 +325,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id
     sets = fetch.mapInArrow(_with_sets, "cls binary, shingles binary").groupBy("cls").agg(
         F.first("shingles").alias("shingles"))
     sets = pinned(sets.join(texts.select("cls", "keys"), "cls"))
+    crowded = kept.filter(F.col("tiles") > CROWDED_TILES)
+    if crowded.limit(1).count():
+        split, parts, inside, deep = _split(members, crowded, sets, shape)
+        whole = kept.join(split, ["tree", "key"], "left_anti")
+        kept = pinned(_one_of_each(whole.select(*parts.columns).union(parts)))
+        members = members.join(split, ["tree", "key"], "left_anti").select(*inside.columns).union(inside)
+        sets = sets.join(deep, "cls", "left")
+    else:
+        sets = sets.withColumn("deep", F.lit(None).cast("array<bigint>"))
+    within = members.select("cls", *NODE).join(kept.select(*NODE, "tiles"), NODE)
     tile = F.pmod(F.xxhash64("cls", F.lit(7)), F.col("tiles")).cast("int")
-    placed = members.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cells = placed.select("tree", "key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
-                          "cls", "tile")
-    dealt = cells.join(sets, "cls").select("tree", "key", "low", "high", "cls", "tile", "keys", "shingles")
-    dealt = dealt.repartition("tree", "key", "low", "high").sortWithinPartitions("tree", "key", "low", "high")
-    found = pinned(dealt.mapInArrow(_verified(threshold), "cls binary, root binary, links long"))
+    dealt = within.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cells = dealt.select(*NODE, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "cls", "tile")
+    place = [*NODE, "low", "high"]
+    full = cells.join(sets, "cls").select(*place, "cls", "tile", "keys", "deep", "shingles")
+    full = full.repartition(*place).sortWithinPartitions(*place)
+    found = pinned(full.mapInArrow(_verified(threshold), "cls binary, root binary, links long"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     labels = components(found.select("cls", "root"))
     linked = labels.join(texts.select("cls", "text_id"), "cls")

@@ -421,11 +421,50 @@ def test_jaccard_keeps_recall_at_other_thresholds(spark):
     assert got == {d: (d // 2 * 2, 1) for d, _ in rows}
     assert jaccard.first_of_each(df, threshold=0.6).count() == 300
     assert {r.links for r in jaccard.join(df, threshold=0.64).collect()} == {0}
-    for threshold in (0.36, 0.5, 0.6, 0.7, 0.8, 0.95, 1.0):
-        assert 1 - (1 - threshold ** jaccard.matched_prefix(threshold)) ** jaccard.TREES >= jaccard.RECALL
-    for threshold in (0.35, 0.1, 0.0):
-        with pytest.raises(ValueError, match="recall"):
-            jaccard.join(df, threshold=threshold)
+    for threshold in (0.01, 0.1, 0.36, 0.5, 0.6, 0.7, 0.8, 0.95, 1.0):
+        trees, levels = jaccard.forest_shape(threshold)
+        assert 2 * (1 - threshold ** levels) ** trees <= 1 - jaccard.RECALL + 1e-12
+    with pytest.raises(ValueError, match="above 0"):
+        jaccard.join(df, threshold=0.0)
+    assert {(r.class_id, r.links) for r in jaccard.join(df, threshold=0.2).collect()} == {(2 * i, 1) for i in range(300)}
+
+
+def test_jaccard_splits_crowded_nodes(spark, monkeypatch):
+    # Texts that share a passage and little else crowd the nodes; some are near copies besides.
+    passage = prose(120, 901)
+    rows = [(i, f"{passage} {prose(60, 5000 + i)}") for i in range(400)]
+    rows += [(1000 + i, near(rows[i][1], 2, i)) for i in range(0, 60)]
+    rows += [(2000 + i, near(prose(250, 902), 2 + i % 5, i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    real = jaccard._split
+
+    def watched(members, crowded, sets, shape):
+        out = real(members, crowded, sets, shape)
+        whole = crowded.collect()
+        seen.append((len(whole), out[0].count(), sum(r["size"] ** 2 for r in whole),
+                     sum(r["size"] ** 2 for r in out[1].collect())))
+        return out
+
+    monkeypatch.setattr(jaccard, "TILE_TEXTS", 8)
+    monkeypatch.setattr(jaccard, "CROWDED_TILES", 2)
+    monkeypatch.setattr(jaccard, "_split", watched)
+    assert rows_of(jaccard.join(df)) == brute_join(rows)
+    crowded, split, before, after = seen[0]
+    assert 0 < split <= crowded and after < before
+
+
+def test_jaccard_split_keeps_recall(spark, monkeypatch):
+    # Pairs just at the threshold: all nodes split, whether that pays or not.
+    rows = []
+    for i in range(200):
+        shared = " ".join(f"w{i}_{k}" for k in range(44))
+        rows += [(2 * i + side, f"{shared} " + " ".join(f"v{i}_{side}_{k}" for k in range(5))) for side in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "CROWDED_TILES", 0)
+    monkeypatch.setattr(jaccard, "TRIAL_TREES", 1e9)
+    monkeypatch.setattr(jaccard.F, "slice", lambda c, *_: F.col(c))
+    assert {(r.class_id, r.links) for r in jaccard.join(df).collect()} == {(2 * i, 1) for i in range(200)}
 
 
 def test_jaccard(docs, empty, spark, monkeypatch):
@@ -448,9 +487,9 @@ def test_first_of_each(docs):
     assert ids == sorted({r[0] for r in want if r[0] == r[1]}, key=repr)
 
 
-def test_matched_prefix():
-    d = jaccard.matched_prefix()
-    assert 1 - (1 - 0.8 ** d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+def test_forest_shape():
+    trees, levels = jaccard.forest_shape()
+    assert 2 * (1 - 0.8 ** levels) ** trees <= 1 - jaccard.RECALL < 2 * (1 - 0.8 ** (levels + 1)) ** trees
 
 
 # -- 7 ------------------------------------------------------------------------------------------
