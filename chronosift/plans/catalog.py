@@ -557,6 +557,18 @@ def histogram_fixed_width(spark, sf):
     return build(events(spark, sf), width_s=600)
 
 
+@query("histogram_sparse", """
+select ((epoch_us(case when event_id % 1000 = 7 then ts + interval '7900 years' else ts end) // 1000) // 60000) * 60000
+  as bucket_start_ms, count(*) as n from events group by 1""")
+def histogram_sparse(spark, sf):
+    """Minutes that have rows, with some rows dated far ahead."""
+    from chronosift.operators.histogram import histogram as build
+    t = events(spark, sf)
+    far = F.when(F.col("event_id") % 1000 == 7, F.expr("ts + interval 7900 years")).otherwise(F.col("ts"))
+    ahead = F.unix_millis(far.cast("timestamp"))
+    return build(t.keeping(t.df.withColumn(t.EVENT_MS, ahead)), width_s=60, zeros=False)
+
+
 WIDTHS_SQL = ("[1,2,5,10,30,60,300,600,1800,3600,7200,10800,21600,43200,86400,172800,432000,864000,"
               "2592000,15552000,31104000,62208000,155520000,311040000,622080000,1555200000]")
 

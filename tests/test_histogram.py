@@ -42,6 +42,39 @@ def test_no_times(make):
     assert make(["a"], [("1",)]).time_col is None
 
 
+def test_fine_counts_fit_every_wider_bucket():
+    from chronosift.operators.histogram import fine_width
+    for i, width in enumerate(WIDTHS):
+        span = width * 100_000
+        assert all(wider % fine_width(0, span) == 0 for wider in WIDTHS[i:])
+        assert -(-span // 1000) // fine_width(0, span) <= 200
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_one_scan_equals_two(make, spark, seed):
+    import random
+    draw = random.Random(seed)
+    reach = 10 ** draw.randint(1, 9)
+    times = [draw.choice([draw.randint(-reach, reach), draw.randint(0, 5)]) for _ in range(300)]
+    table = make(["timestamp"], [(str(t),) for t in times])
+    table = table.keeping(table.df.repartition(7))
+    stats = time_stats(table)
+    step = choose_width(stats.min_ms, stats.max_ms) * 1000
+    want = {}
+    for r in table.df.select(table.EVENT_MS).collect():
+        if r[0] is not None:
+            want[r[0] // step * step] = want.get(r[0] // step * step, 0) + 1
+    assert rows(histogram(table, zeros=False)) == sorted(want.items())
+    dense = rows(histogram(table))
+    assert [r for r in dense if r[1]] == sorted(want.items())
+    assert [b for b, _ in dense] == list(range(dense[0][0], dense[-1][0] + step, step))
+
+
+def test_far_row_without_zeros(make):
+    table = make(["timestamp"], [("1000",), ("1003",), ("253402300799",)])
+    assert rows(histogram(table, 1, zeros=False)) == [(1000000, 1), (1003000, 1), (253402300799000, 1)]
+
+
 def test_before_1970(make):
     table = make(["timestamp"], [("-5",), ("-400",), ("10",)])
     assert rows(histogram(table, 300)) == [(-600000, 1), (-300000, 1), (0, 1)]

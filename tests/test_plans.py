@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from chronosift.functions import predicates as P
 from chronosift.operators import annotations as A
-from chronosift.operators.histogram import histogram
+from chronosift.operators.histogram import bucket_counts, fine_counts
 from chronosift.plans.catalog import events, marks
 
 SF = "/root/testdata/sf0.001"
@@ -41,8 +41,10 @@ def test_limit_is_a_top_k(spark):
 
 
 def test_histogram_reads_one_column_and_counts_before_the_shuffle(spark):
-    text = plan(histogram(events(spark, SF)))
-    assert "partial_count" in text and "user_id" not in text and "CartesianProduct" not in text
+    for counts, partial in ((fine_counts(events(spark, SF)), "partial_sum"), (bucket_counts(events(spark, SF), 60), "partial_count")):
+        text = plan(counts)
+        assert partial in text and "user_id" not in text and "CartesianProduct" not in text
+        assert len(re.findall(r"ReadSchema", text)) == 1
 
 
 def test_annotations_join_without_a_forced_broadcast(spark):
