@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosift.functions import predicates as P
@@ -420,6 +420,39 @@ def source_json_rejects(spark, sf):
     return t.df.select("event_id", "event_type", F.col("_rejected").alias("rejected"))
 
 
+@query("timeline_many", """
+select strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as _TT_timestamp, concat('part=', part) as _TT_filepath,
+  concat('file ', part) as _TT_file_description, case o_orderpriority when '1-URGENT' then 'urgent' else '' end as _TT_note,
+  cast(o_orderkey as varchar) as o_orderkey, case when part % 2 = 0 then o_orderstatus else '' end as o_orderstatus,
+  case when part % 2 = 1 then o_orderpriority else '' end as o_orderpriority
+from (select *, o_orderkey % 200 as part from orders) where o_orderpriority in ('1-URGENT', '2-HIGH')""")
+def timeline_many(spark, sf):
+    """Annotated rows of two hundred files with two headers, found by file and row in the file."""
+    from chronosift.operators.annotations import annotation_id
+    from chronosift.sinks.timeline import PATH, folder_timeline
+    from chronosift.sources.directory import listing
+    path = scratch_path(spark, "many")
+    part = F.col("o_orderkey") % 200
+    orders = parquet(spark, sf, "orders").withColumn("part", part)
+    time = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("timestamp")
+    for rest, name in ((0, "o_orderstatus"), (1, "o_orderpriority")):
+        (orders.filter(part % 2 == rest).select(time, "o_orderkey", name, "part").repartition("part")
+         .sortWithinPartitions("part", "o_orderkey").write.partitionBy("part").mode("append").options(**CSV).csv(path))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")) - 1
+    key = F.concat(F.lit("file"), F.col("part"))
+    notes = orders.withColumn("row_index", number.cast("bigint")).filter("o_orderpriority in ('1-URGENT', '2-HIGH')").select(
+        annotation_id(F.col("o_orderkey")).alias("annotation_id"), key.alias("file_key"), "row_index",
+        F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").alias("note"),
+        F.timestamp_seconds(F.lit(0)).alias("created_at"))
+    number_of = F.regexp_extract("relative_path", r"part=(\d+)", 1)
+    files = listing(spark, path, "**/*.csv").select(
+        F.concat(F.lit("file"), number_of).alias("file_key"), F.col("path").alias("file_path"),
+        F.concat(F.lit("file "), number_of).alias("description"))
+    t = open_events(spark, path, _directory("**/*.csv", include_source=True))
+    found = folder_timeline(t, path, notes, files)
+    return found.withColumn(PATH, F.regexp_extract(PATH, r"part=\d+", 0))
+
+
 @query("source_mixed_directory", """
 select cast(c_custkey as varchar) as id, c_name as name, '' as nation, 'a' as source from customer union all
 select cast(s_suppkey as varchar), s_name, '', 'b' from supplier union all

@@ -6,7 +6,7 @@ from chronosift.operators import annotations as A
 from chronosift.operators import fingerprints
 from chronosift.operators.fingerprints import directory_changed, directory_hash, file_hashes
 from chronosift.sinks.selection import export_selection, selection
-from chronosift.sinks.timeline import export_timeline, timeline
+from chronosift.sinks.timeline import export_timeline, folder_timeline, timeline
 from chronosift.sources.directory import listing
 
 
@@ -36,6 +36,48 @@ def test_timeline(spark, make, tmp_path):
     assert out[1] == "2024-01-01 00:00:00,/1,first,n1,,b,1" and '"say ""x"", y"' in out[3]
 
 
+def test_folder_timeline(spark, tmp_path):
+    import contextlib
+    import io
+    import pytest
+    from chronosift.sources.open import open_events
+    from chronosift.sources.options import FileOptions
+
+    def folder(n):
+        root = tmp_path / f"n{n}"
+        root.mkdir()
+        for i in range(n):
+            head = "ts,msg" if i % 2 else "host,ts"
+            body = [f"2024-01-0{1 + (i + r) % 9},m{i}{r}" if i % 2 else f"h{i}{r},2024-02-0{1 + (i + r) % 9}" for r in range(3)]
+            (root / f"f{i:02}.csv").write_text("\n".join([head, *body]) + "\n")
+        t = open_events(spark, str(root), FileOptions(is_directory=True, file_pattern="*.csv", include_source=True))
+        files = spark.createDataFrame([(f"k{i}", f"{root}/f{i:02}.csv", None if i else "first") for i in range(n)],
+                                      "file_key string, file_path string, description string")
+        return str(root), t, files
+
+    def depth(df):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain()
+        return out.getvalue().count("Join"), out.getvalue().count("Scan")
+
+    # An older note of a row, a row beyond its file, one before it, and an unknown file.
+    notes = spark.createDataFrame([("a", "k0", 2, "old", 0), ("b", "k0", 2, "new", 5), ("c", "k1", 0, None, 0), ("d", "k2", 3, "no", 0),
+                                   ("e", "k2", -1, "no", 0), ("f", "kx", 0, "no", 0)],
+                                  "annotation_id string, file_key string, row_index bigint, note string, s bigint").selectExpr(
+        "annotation_id", "file_key", "row_index", "note", "timestamp_seconds(s) as created_at")
+    root, t, files = folder(4)
+    rows = folder_timeline(t, root, notes, files)
+    assert [tuple(r) for r in rows.collect()] == [
+        ("2024-01-02 00:00:00", f"{root}/f01.csv", "", "", "", "m10"),
+        ("2024-02-03 00:00:00", f"{root}/f00.csv", "first", "new", "h02", "")]
+    assert rows.columns[4:] == ["host", "msg"]
+    with pytest.raises(ValueError, match="whole"):
+        folder_timeline(t.filter(after="2024-01-01"), root, notes, files)
+    more_root, more, more_files = folder(24)
+    assert depth(folder_timeline(more, more_root, notes, more_files)) == depth(folder_timeline(t, root, notes, files))
+
+
 def test_selection(make, tmp_path):
     table = make(["time", "a", "j"], [(f"2024-01-0{i}", f"v\t{i}\nw", '{"k":"x\\ty"}') for i in range(1, 6)])
     rows = selection(table.sort(("time", True)), [(0, 1), (3, 9)], ["A", "time", "none", "j"], None, {"J": "$.k"})
