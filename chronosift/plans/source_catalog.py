@@ -16,7 +16,7 @@ from chronosift.session import scratch_path
 from chronosift.sources.open import open_events
 from chronosift.sources.options import FileOptions
 from chronosift.sources.registry import Sources, load_syslog
-from chronosift.sources.splits import at_home, fixed_layout
+from chronosift.sources.splits import at_home, cut_layout, in_order
 
 CSV = {"header": True, "escape": '"'}
 
@@ -313,10 +313,9 @@ def source_json_concatenated(spark, sf):
         F.col("conv_id").cast("long"), F.col("turn").cast("long"))
     pretty = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"pretty": "true"})
     flat = F.to_json(F.struct("conv_id", "turn", "role", "text"))
-    rows.select(F.when(F.col("turn") == "0", flat).otherwise(pretty)).coalesce(1).write.option(
+    in_order(rows).select(F.when(F.col("turn") == "0", flat).otherwise(pretty)).write.option(
         "lineSep", " ").text(path)
-    cut = fixed_layout(spark)
-    cut.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    cut = cut_layout(spark, path, 20_000)
     t = open_events(cut, path, _directory("*.txt"), kind="json")
     return at_home(spark, t.df.select("conv_id", "turn", "role", "text", F.col(t.ROW_INDEX).alias("row_index")))
 
@@ -326,13 +325,12 @@ select cast(event_id as varchar) as event_id, props, row_number() over (order by
 def source_json_root_array(spark, sf):
     """One array over all lines of a file; nested values stay JSON text."""
     path = scratch_path(spark, "root")
-    rows = parquet(spark, sf, "events").orderBy("event_id").coalesce(1)
+    rows = in_order(parquet(spark, sf, "events").select("event_id", "props").orderBy("event_id"))
     item = F.concat(F.lit('{"event_id": "'), "event_id", F.lit('",\n  "props": '), "props", F.lit("}"))
     rows.withColumn("n", F.monotonically_increasing_id()).select(
         F.concat(F.when(F.col("n") == 0, "[").otherwise(","), item)).union(
         spark.range(1).select(F.lit("]"))).coalesce(1).write.text(path)
-    cut = fixed_layout(spark)
-    cut.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    cut = cut_layout(spark, path, 50_000)
     t = open_events(cut, path, FileOptions(is_directory=True, file_pattern="*.txt", jpath="$"), kind="json")
     return at_home(spark, t.df.select("event_id", F.regexp_replace("props", '":', '": ').alias("props"),
                                       F.col(t.ROW_INDEX).alias("row_index")))
@@ -344,11 +342,10 @@ select cast(conv_id as varchar) as conv_id, cast(turn as varchar) as turn, role,
 def source_csv_splits(spark, sf):
     """One file with line breaks and quotes in cells, read in many splits."""
     path = scratch_path(spark, "splits")
-    parquet(spark, sf, "conversations").select(
+    in_order(parquet(spark, sf, "conversations").select(
         F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text").orderBy(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long")).coalesce(1).write.options(**CSV).csv(path)
-    cut = fixed_layout(spark)
-    cut.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"))).write.options(**CSV).csv(path)
+    cut = cut_layout(spark, path, 20_000)
     t = open_events(cut, path, _directory("*.csv"))
     return at_home(spark, t.df.select(*t.columns, F.col(t.ROW_INDEX).alias("row_index")))
 

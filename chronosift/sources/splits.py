@@ -9,11 +9,16 @@ one job hold for the rows of another. Counts are taken when a query first needs
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronosift.operators.ordinal import BROADCAST_ROWS, file_path, running_offsets
+from chronosift.session import scratch_path
+
+# Splits of files that are cut small.
+MOST_SPLITS = 256
 
 
 def fixed_layout(spark: SparkSession) -> SparkSession:
@@ -28,6 +33,27 @@ def fixed_layout(spark: SparkSession) -> SparkSession:
     return own
 
 
+def cut_layout(spark: SparkSession, path: str, least: int) -> SparkSession:
+    """A fixed layout that cuts the files below ``path`` small: into splits of ``least`` bytes, or into about ``MOST_SPLITS``
+    of them where that would be more, as each is a task in every pass. No split is larger than in ``spark``."""
+    own = fixed_layout(spark)
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.sum("length")).first()[0] or 0
+    usual = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(min(usual, max(least, -(-size // MOST_SPLITS)))))
+    return own
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Sorted rows as one partition. They are sorted and written range by range first, so that its
+    task reads them one after another and sorts nothing."""
+    path = scratch_path(rows.sparkSession, "ranges")
+    rows.write.parquet(path)
+    read = rows.sparkSession.read.schema(rows.schema)
+    ranges = [read.parquet(part) for part in sorted(read.parquet(path).inputFiles())]
+    return reduce(DataFrame.union, ranges).coalesce(1) if ranges else rows.limit(0)
+
+
 def at_home(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``df`` of another session as a DataFrame of ``spark``; the read keeps its layout."""
     nothing = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]).limit(0)

@@ -138,3 +138,20 @@ def test_json_that_is_none(spark, tmp_path, small_splits):
         file.write('[["h", "i"],\n ["1", "2"], 7, {"x": 1},\n["3"]]')
     got = open_events(spark, f"{tmp_path}/c.json", FileOptions(jpath="$")).df.orderBy("_row_index").collect()
     assert [(r["h"], r["i"]) for r in got] == [("1", "2"), ("3", None)]      # others are no records of such a file
+
+
+def test_small_cuts_do_not_grow_in_number(spark, tmp_path, monkeypatch):
+    from chronosift.sources import splits
+    monkeypatch.setattr(splits, "MOST_SPLITS", 32)
+    spark.range(60_000).select(F.col("id").cast("string")).coalesce(1).write.text(f"{tmp_path}/d")
+    few, many = (splits.cut_layout(spark, f"{tmp_path}/d", least).read.text(f"{tmp_path}/d") for least in (100_000, 100))
+    assert few.rdd.getNumPartitions() == 4 and 32 <= many.rdd.getNumPartitions() <= 34
+    assert many.count() == 60_000
+
+
+def test_one_task_reads_sorted_ranges_in_order(spark, tmp_path):
+    from chronosift.sources.splits import in_order
+    rows = in_order(spark.range(0, 20_000, 1, 8).orderBy(F.col("id").desc()))
+    assert rows.rdd.getNumPartitions() == 1 and "Sort" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r[0] for r in rows.collect()] == list(range(19_999, -1, -1))
+    assert in_order(spark.range(0).orderBy("id")).count() == 0
