@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronosift.functions.jsonpath import is_plain, json_part
-from chronosift.operators.ordinal import file_path
+from chronosift.operators.ordinal import file_path, small_side
 from chronosift.session import pinned
 from chronosift.sources.cells import named_rows
 from chronosift.sources.headers import normal_names
@@ -78,13 +78,14 @@ def _root_items(spark: SparkSession, paths: list[str]) -> DataFrame:
     found = Values(spark, paths, items=True)
     values, files = pinned(found.values), pinned(found.files)
     mark = F.substring(F.col("value"), 1, 1)
-    shapes = values.groupBy("_file").agg(
+    # A row for each file; all values of a file have the same key.
+    shapes = pinned(values.groupBy("_file").agg(
         F.min_by(mark, F.struct("_start", "_seq")).alias("lead"), F.max(mark == "{").alias("some")).join(files, "_file").select(
         "_file", F.when(~F.col("matched"), "broken").when((F.col("roots") == 1) & (F.col("first") != "["), "other")
-        .when(F.col("lead") == "[", "arrays").when(F.col("some"), "objects").otherwise("other").alias("_shape"))
+        .when(F.col("lead") == "[", "arrays").when(F.col("some"), "objects").otherwise("other").alias("_shape")))
     fits = F.when(F.col("_shape") == "arrays", (mark == "[") & F.from_json("value", "array<string>").isNotNull()).otherwise(mark == "{")
     inside = Window.partitionBy("_file", "_start").orderBy("_seq")
-    kept = values.join(shapes.filter("_shape in ('arrays', 'objects')"), "_file").filter(fits).withColumn(
+    kept = values.join(small_side(shapes.filter("_shape in ('arrays', 'objects')")), "_file").filter(fits).withColumn(
         "_nth", F.row_number().over(inside) - 1)
     before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = kept.groupBy("_file", "_start").count().select(

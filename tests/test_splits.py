@@ -5,6 +5,7 @@ import io
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +156,17 @@ def test_one_task_reads_sorted_ranges_in_order(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == 1 and "Sort" not in rows._jdf.queryExecution().executedPlan().toString()
     assert [r[0] for r in rows.collect()] == list(range(19_999, -1, -1))
     assert in_order(spark.range(0).orderBy("id")).count() == 0
+
+
+def test_items_of_one_file_do_not_meet_in_a_task(spark, tmp_path):
+    from chronosift.sources import jsonfiles
+    with open(f"{tmp_path}/a.txt", "w") as file:
+        file.write('[{"a": 1},\n{"a": 2}]\n')
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items = jsonfiles._root_items(spark, [f"{tmp_path}/a.txt"])
+        plan = items._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"SortMergeJoin \[_file#\d+\]", plan)
+    assert [r["_pos"] for r in items.orderBy("_pos").collect()] == [0, 1]
