@@ -129,9 +129,10 @@ def vote(lines: DataFrame, value: str = "value", file: str = "_file",
          order: tuple[str, ...] = ("_seq",)) -> DataFrame:
     """Format and first W3C field list of every file, and whether the list ``varies`` in the
     file. All lines decide: directives anywhere, else the format that most lines have, of
-    equals the one seen first. One partial aggregate per file and task.
+    equals the one seen first. One row per file, split, kind and field list is left of a task's lines.
     """
-    head = lines.select(file, F.struct(*order).alias("_n"), _line(value).alias("line"))
+    *above, last = order
+    head = lines.select(file, *order, _line(value).alias("line"))
     line = F.col("line")
     directive = (line.startswith("#Software:") | line.startswith("#Version:")
                  | line.startswith("#Fields:"))
@@ -140,9 +141,13 @@ def vote(lines: DataFrame, value: str = "value", file: str = "_file",
             .when(line.contains(", ") & (F.size(F.split(line, ", ")) >= 10), "iis_native")
             .when(line.rlike(NCSA_GUESS) | line.rlike(NCSA_LINE), "ncsa")
             .when((F.size(words) >= 3) & words[0].rlike(r"^\d{4}-\d{2}-\d{2}"), "w3c"))
-    told = head.select(file, "_n", directive.alias("directive"), kind.alias("kind"),
-                       _names(line).alias("names"), F.array_join(_new_names(line), " ").alias("list"))
-    votes = {k: (F.count_if(F.col("kind") == k).alias(f"n_{k}"), F.min(F.when(F.col("kind") == k, F.col("_n"))).alias(f"at_{k}"))
+    # Numbers only are kept for each text, so that no task sorts its lines.
+    told = head.select(file, *order, directive.alias("directive"), kind.alias("kind"),
+                       _names(line).alias("names"), F.array_join(_new_names(line), " ").alias("list")).groupBy(
+        file, *above, F.col(last).isNull().alias("_unplaced"), "directive", "kind", "names", "list").agg(
+            F.count(F.lit(1)).alias("_lines"), F.min(last).alias(last)).withColumn("_n", F.struct(*order))
+    votes = {k: (F.sum(F.when(F.col("kind") == k, F.col("_lines")).otherwise(0)).alias(f"n_{k}"),
+                 F.min(F.when(F.col("kind") == k, F.col("_n"))).alias(f"at_{k}"))
              for k in ("iis_native", "ncsa", "w3c")}
     files = told.groupBy(file).agg(
         F.max("directive").alias("directive"), *(c for pair in votes.values() for c in pair),

@@ -389,3 +389,13 @@ def test_saved_tables(spark, tmp_path):
     from chronosift.plans.event_table import EventTable
     many = EventTable.from_parquet(spark, f"{tmp_path}/many")
     assert sorted(r._row_index for r in many.df.collect()) == [0, 1]
+
+
+def test_vote_sorts_no_lines(spark):
+    from chronosift.sources import weblogs
+    rows = [("a", 0, i, "2024-01-01 00:00:00 GET /x") for i in range(3)] + [("a", 0, 3, "#Fields: date time x"), ("b", 0, None, "1.2.3.4 - - [x] \"GET /\" 200 1"), ("b", 0, 1, "2024-01-01 a b")]
+    lines = spark.createDataFrame(rows, "_file string, _start long, _seq long, value string")
+    found = weblogs.vote(lines, order=("_start", "_seq"))
+    aggregates = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(" in line]
+    assert "HashAggregate" in aggregates[-1]
+    assert {(r["_file"], r["format"], r["varies"]) for r in found.collect()} == {("a", "w3c", False), ("b", "ncsa", False)}
