@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +26,20 @@ def _digest(path: str) -> str:
     return digest.hexdigest()
 
 
-def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pd.DataFrame({"path": batch["path"], "file_hash": [_digest(p) for p in batch["path"]]})
+        hashes = pa.array([_digest(p) for p in batch.column(0).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, hashes], names=[*batch.schema.names, "file_hash"])
 
 
-def file_hashes(files: DataFrame) -> DataFrame:
-    """``path, file_hash``: SHA-256 of the content of every file of a ``listing``. A file that
-    can't be read is an error."""
-    within = files.filter(F.col("length") <= CELL).select("path", F.sha2("content", 256).alias("file_hash"))
-    larger = files.filter(F.col("length") > CELL).select("path").repartition("path")
-    return within.unionByName(larger.mapInPandas(_streamed, "path string, file_hash string"))
+def file_hashes(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``path``, the columns ``keep`` and ``file_hash``: SHA-256 of the content of every file of a ``listing``.
+    A file that can't be read is an error."""
+    names = ["path", *keep]
+    within = files.filter(F.col("length") <= CELL).select(*names, F.sha2("content", 256).alias("file_hash"))
+    larger = files.filter(F.col("length") > CELL).select(*names).repartition("path")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in larger.schema)
+    return within.unionByName(larger.mapInArrow(_streamed, f"{kinds}, file_hash string"))
 
 
 def _tree(files: DataFrame, *keys: str) -> DataFrame:
@@ -58,7 +61,7 @@ def directory_hash(spark: SparkSession, root: str, pattern: str, exclude: tuple[
                    max_files: int = 0) -> str | None:
     """One SHA-256 for content and relative path of all files; None when there are none."""
     files = listing(spark, root, pattern, exclude, max_files)
-    row = _tree(file_hashes(files).join(files.select("path", "relative_path"), "path")).first()
+    row = _tree(file_hashes(files, ["relative_path"])).first()
     return row["file_hash"] if row else None
 
 
@@ -67,7 +70,7 @@ def directory_hashes(spark: SparkSession, root: str, patterns: list[str]) -> Dat
     ``.``), as ``directory_hash`` gives it for each pattern. Directories without a match are
     left out; a file counts once for each directory above it."""
     files = listing(spark, root, "**")
-    hashed = pinned(file_hashes(files).join(files.select("path", "relative_path"), "path"))
+    hashed = pinned(file_hashes(files, ["relative_path"]))
     parts = F.split("relative_path", "/")
     above = hashed.select("relative_path", "file_hash", F.explode(
         F.sequence(F.lit(0), F.size(parts) - 1)).alias("depth"))

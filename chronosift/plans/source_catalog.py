@@ -560,10 +560,13 @@ def file_fingerprints(spark, sf):
     from chronosift.operators.fingerprints import file_hashes
     from chronosift.sources.directory import listing
     path = scratch_path(spark, "named")
-    parquet(spark, sf, "supplier").select("s_suppkey", "s_name").write.partitionBy("s_suppkey").text(path)
+    # A file takes longer to make and to move than to fill, so that all cores make and move them.
+    parquet(spark, sf, "supplier").select("s_suppkey", "s_name").repartition(
+        spark.sparkContext.defaultParallelism, "s_suppkey").write.partitionBy("s_suppkey").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     files = listing(spark, path, "**/*.txt")
     key = F.regexp_extract("relative_path", r"s_suppkey=(\d+)/", 1).cast("bigint")
-    return file_hashes(files).join(files.drop("content"), "path").select(key.alias("s_suppkey"), "file_hash", "length")
+    return file_hashes(files, ["relative_path", "length"]).select(key.alias("s_suppkey"), "file_hash", "length")
 
 
 @query("directory_fingerprint")

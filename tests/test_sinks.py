@@ -110,3 +110,18 @@ def test_fingerprints(spark, tmp_path, monkeypatch):
     assert directory_changed(spark, f"{tmp_path}/d", "*.bin", want)
     assert directory_changed(spark, f"{tmp_path}/d", "*.none", want)
     assert not directory_changed(spark, f"{tmp_path}/d", "*.bin", None)
+
+
+def test_hashes_keep_columns_and_need_no_join(spark, tmp_path, monkeypatch):
+    import hashlib
+    from chronosift.operators import fingerprints
+    from chronosift.sources.directory import listing
+    os.makedirs(f"{tmp_path}/d")
+    for i in range(3):
+        with open(f"{tmp_path}/d/{i}.bin", "wb") as file:
+            file.write(b"x" * (i + 1))
+    monkeypatch.setattr(fingerprints, "CELL", 2)
+    found = fingerprints.file_hashes(listing(spark, f"{tmp_path}/d", "*.bin"), ["relative_path", "length"])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r)[1:] for r in found.collect()} == {
+        (f"{i}.bin", i + 1, hashlib.sha256(b"x" * (i + 1)).hexdigest()) for i in range(3)}
