@@ -19,6 +19,8 @@ from chronosift.sources.registry import Sources, load_syslog
 from chronosift.sources.splits import at_home, cut_layout, in_order
 
 CSV = {"header": True, "escape": '"'}
+# Events that a document nests.
+NESTED = 10_000
 
 
 def _log(spark, sf) -> DataFrame:
@@ -600,9 +602,12 @@ def source_json_descent(spark, sf):
     """Records picked by descent and a test from documents that nest them."""
     path = scratch_path(spark, "nested")
     item = F.to_json(F.struct("event_id", "event_type"))
-    parquet(spark, sf, "events").groupBy((F.col("event_id") % 4).alias("_part")).agg(F.concat(
+    rows = parquet(spark, sf, "events")
+    # A document is read as one cell: with more events there are more documents, not longer ones.
+    documents = max(4, -(-rows.count() // NESTED))
+    rows.groupBy((F.col("event_id") % documents).alias("_part")).agg(F.concat(
         F.lit('{"a":[{"list":['), F.array_join(F.collect_list(item), ","), F.lit("]}]}")).alias("value")).repartition(
-        8, "_part").select("value").write.text(path)
+        max(8, documents), "_part").select("value").write.text(path)
     found = open_events(spark, path, FileOptions(is_directory=True, file_pattern="*.txt",
                                                  jpath="$..list[?(@.event_type != 'click')]"), kind="json")
     return found.result(ordered=False)

@@ -399,3 +399,14 @@ def test_vote_sorts_no_lines(spark):
     aggregates = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(" in line]
     assert "HashAggregate" in aggregates[-1]
     assert {(r["_file"], r["format"], r["varies"]) for r in found.collect()} == {("a", "w3c", False), ("b", "ncsa", False)}
+
+
+def test_nested_documents_grow_in_number(spark, tmp_path, monkeypatch):
+    from chronosift.plans import source_catalog
+    monkeypatch.setattr(source_catalog, "NESTED", 10)
+    written = []
+    monkeypatch.setattr(source_catalog, "open_events", lambda spark, path, *a, **k: written.append(path) or open_events(spark, path, *a, **k))
+    spark.range(200).selectExpr("id as event_id", "if(id % 3 = 0, 'click', 'view') as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    found = source_catalog.source_json_descent(spark, str(tmp_path))
+    assert sorted(int(r["event_id"]) for r in found.collect()) == [i for i in range(200) if i % 3]
+    assert spark.read.text(written[0]).count() == 20
