@@ -33,8 +33,7 @@ SHORT = 64
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.prototypes(docs.filter(~langid.held_out(F.col("doc_id"))))
-    row = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row")
-    found = langid.predict(docs, model, [row])
+    found = langid.predict_rows(docs, model)
     least = F.when(F.length(F.col("_row.text")) < SHORT, 0.0).otherwise(langid.noise(model))
     kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > least))
     return kept.select("_row.*")

@@ -47,3 +47,14 @@ def test_stages_take_anything(spark, docs, at):
         assert out.columns == docs.columns
     assert out.count() > 0
     assert stage(spark, docs.filter("doc_id is null"), "").count() == 0
+
+
+def test_rows_carry_their_text_once(spark, docs):
+    from chronosift.llm import langid
+    model = langid.prototypes(docs)
+    got = langid.predict_rows(docs, model)
+    scan = next(n for n in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" in n)
+    assert "AS _text" not in scan
+    row = F.struct(*docs.columns).alias("_row")
+    want = langid.predict(docs, model, [row])
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
