@@ -2,11 +2,11 @@
 
 Both tokenizers cut the same bytes, so that a token is told by where it ends. Places where tokens of
 both end cut them into groups. Tokens come mostly one to one, with indexes of a fixed difference:
-from the end of a group the arrays of ends are compared at this shift, one token, then two, four and
-so on, until a stretch differs; halving finds the last equal token, and the stretch is jumped. At
-an irregular group the side whose token ends first goes on until both end at the same place, and
-the shift becomes what it is there. Tokens of the two sides are linked where their bytes overlap:
-one to one in a jumped stretch, and step by step in an irregular group.
+from the end of a group the lengths of tokens, which give their ends, are compared at this shift, 16
+tokens, then 32, 64 and so on, until a stretch differs; its first difference tells the last equal token,
+and what is before it is jumped. At an irregular group the side whose token ends first goes on until
+both end at the same place, and the shift becomes what it is there. Tokens of the two sides are linked
+where their bytes overlap: one to one in a jumped stretch, and step by step in an irregular group.
 
 How often a pair of ids is linked is counted over all documents. Each document keeps its different
 pairs with their numbers. The corpus counts are dealt into parts of at most about ``PART`` pairs,
@@ -25,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -68,11 +67,16 @@ class ByteLevel:
         special = {t["id"] for t in parts["added_tokens"]}
         ranks = {bytes(letters[c] for c in piece): i for piece, i in parts["model"]["vocab"].items() if i not in special}
         self.coder = tiktoken.Encoding("plain", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = {i: piece for piece, i in ranks.items()}
+        self.pieces = [b""] * (max(ranks.values()) + 1)
+        for piece, i in ranks.items():
+            self.pieces[i] = piece
 
     def __call__(self, text: str) -> list[int]:
         return self.coder.encode_ordinary(" " + text)
 
+    def joined(self, ids: list[int]) -> bytes:
+        return self.coder.decode_bytes(ids)
+
 
 class Pieces:
     """A sentencepiece model; bytes of its pieces."""
@@ -80,15 +84,18 @@ class Pieces:
     def __init__(self, path: str):
         import sentencepiece
         self.coder = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = {}
+        self.pieces = []
         for i in range(self.coder.get_piece_size()):
             piece = self.coder.id_to_piece(i)
-            self.pieces[i] = (bytes([int(piece[3:5], 16)]) if self.coder.is_byte(i)
-                              else piece.replace("▁", " ").encode("utf-8"))
+            self.pieces.append(bytes([int(piece[3:5], 16)]) if self.coder.is_byte(i)
+                               else piece.replace("▁", " ").encode("utf-8"))
 
     def __call__(self, text: str) -> list[int]:
         return self.coder.encode(text, num_threads=1)
 
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
+
 
 def equal_run(first: list[int], second: list[int], i: int, j: int) -> int:
     """How many ends from ``i`` on are those from ``j`` on: probes of 1, 2, 4 ... tokens, then halves."""
@@ -108,34 +115,56 @@ def equal_run(first: list[int], second: list[int], i: int, j: int) -> int:
     return done
 
 
-def align(first: list[int], second: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
+def equal_bytes(first: bytes, second: bytes, i: int, j: int) -> int:
+    """``equal_run`` of bytes: probes of 16, 32, 64 ... of them, each as one number. The lowest bit that two
+    numbers differ in tells the first byte that differs."""
+    at, to, width = i, j, 16
+    while True:
+        part, other = first[at:at + width], second[to:to + width]
+        if part != other:
+            differ = int.from_bytes(part, "little") ^ int.from_bytes(other, "little")
+            same = (differ & -differ).bit_length() - 1 >> 3 if differ else width
+            return at - i + min(same, len(part), len(other))
+        if len(part) < width:
+            return at - i + len(part)
+        at, to, width = at + width, to + width, width * 2
+
+
+def align(first: list[int] | np.ndarray, second: list[int] | np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray, np.ndarray]:
     """Stretches ``(i, i_end, j, j_end)`` of two arrays of ends, and linked indexes of both. A stretch
-    of as many tokens on both sides whose ends are equal is as many groups of one token; any other is one."""
-    stretches, left, right = [], [], []
+    of as many tokens on both sides whose ends are equal is as many groups of one token; any other is one.
+
+    After the end of a group ends are equal as long as the lengths of the tokens are, and these mostly fit in bytes."""
+    sizes = [np.diff(np.asarray(ends, np.int64), prepend=0) for ends in (first, second)]
+    narrow = all(s.max(initial=0) < 256 for s in sizes)
+    a, b = (s.astype(np.uint8).tobytes() if narrow else s.tolist() for s in sizes)
+    same = equal_bytes if narrow else equal_run
+    # What each link is followed by: the next token of the first side (1), of the second (2), or of both (3).
+    stretches, steps = [], bytearray()
     i = j = 0
-    while i < len(first) and j < len(second):
-        run = equal_run(first, second, i, j) if first[i] == second[j] else 0
-        if run:
+    while i < len(a) and j < len(b):
+        gap = a[i] - b[j]
+        if not gap:
+            run = same(a, b, i, j)
             stretches.append((i, i + run, j, j + run))
-            left.extend(range(i, i + run))
-            right.extend(range(j, j + run))
+            steps += b"\3" * run
             i, j = i + run, j + run
             continue
         start, other = i, j
-        a, b = first[i], second[j]
-        while True:
-            left.append(i)
-            right.append(j)
-            if a == b:
-                break
-            if a < b:
+        while gap:
+            if gap < 0:
+                steps.append(1)
                 i += 1
-                a = first[i]
+                gap += a[i]
             else:
+                steps.append(2)
                 j += 1
-                b = second[j]
+                gap -= b[j]
+        steps.append(3)
         i, j = i + 1, j + 1
         stretches.append((start, i, other, j))
+    found = np.frombuffer(steps, np.uint8).astype(np.int64)
+    left, right = ((side.cumsum() - side) for side in (found & 1, found >> 1))
     return stretches, left, right
 
 
@@ -144,32 +173,39 @@ class Aligner:
 
     def __init__(self, first: str, second: str):
         self.coders = ByteLevel(first), Pieces(second)
-        self.names = [{i: str(i) for i in c.pieces} for c in self.coders]
-        self.lengths = [{i: len(p) for i, p in c.pieces.items()} for c in self.coders]
-
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
+        self.lengths = [np.array([len(p) for p in c.pieces], np.int64) for c in self.coders]
+        # Each id followed by a comma, then each followed by what ends its side of a group: eight bytes, as one number.
+        said = [[f"{i}{end}" for end in ends for i in range(len(c.pieces))] for c, ends in zip(self.coders, (",|", ",;"))]
+        if max(len(name) for names in said for name in names) > 8:
+            raise ValueError("a vocabulary has ids of more than seven digits")
+        self.names = [np.array(names, "S8").view(np.int64) for names in said]
+
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
         if not text:
-            return [], []
+            return none, none
         whole = b" " + text.encode("utf-8")
         found = [c(text) for c in self.coders]
-        if any(b"".join([c.pieces[i] for i in ids]) != whole for c, ids in zip(self.coders, found)):
-            return [], []
-        return found[0], found[1]
-
-    def ends(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-        return tuple(list(accumulate([known[i] for i in ids])) for ids, known in zip((a, b), self.lengths))
-
-    def groups(self, stretches: list[tuple[int, int, int, int]], first: list[int], second: list[int],
-               a: list[int], b: list[int]) -> list[str]:
-        """``a1,a2|b1`` of each group."""
-        said_a, said_b = [self.names[0][i] for i in a], [self.names[1][i] for i in b]
-        out = []
-        for i, i_end, j, j_end in stretches:
-            if first[i] == second[j]:
-                out += map("|".join, zip(said_a[i:i_end], said_b[j:j_end]))
-            else:
-                out.append(f"{','.join(said_a[i:i_end])}|{','.join(said_b[j:j_end])}")
-        return out
+        if any(c.joined(ids) != whole for c, ids in zip(self.coders, found)):
+            return none, none
+        return np.array(found[0], np.int64), np.array(found[1], np.int64)
+
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.lengths[0][a].cumsum(), self.lengths[1][b].cumsum()
+
+    def groups(self, last_a: np.ndarray, last_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+        """``a1,a2|b1`` of each group, with ``;`` between. ``last_a`` and ``last_b`` are the last indexes of its two sides."""
+        before_a, before_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        # A token comes after those of its side, and of the other side after those of earlier groups (first) or of its own too.
+        before_a[last_a[:-1] + 1] = np.diff(last_b[:-1], prepend=-1)
+        before_b[0] = last_a[0] + 1
+        before_b[last_b[:-1] + 1] = np.diff(last_a)
+        out = np.empty(len(a) + len(b), np.int64)
+        for ids, before, last, names in ((a, before_a, last_a, self.names[0]), (b, before_b, last_b, self.names[1])):
+            said = ids.copy()
+            said[last] += len(names) // 2
+            out[np.arange(len(ids)) + before.cumsum()] = names[said]
+        return out.tobytes().translate(None, b"\0")[:-1]
 
 
 def _aligned(first: str, second: str):
@@ -193,12 +229,12 @@ def _aligned(first: str, second: str):
                 body = text.as_py()
                 a, b = aligner.tokens(body)
                 ends_a, ends_b = aligner.ends(a, b)
-                stretches, left, right = align(ends_a, ends_b)
-                groups = aligner.groups(stretches, ends_a, ends_b, a, b)
-                linked = (np.array(b, np.int64)[right] << 32 | np.array(a, np.int64)[left]) if left else np.zeros(0, np.int64)
-                pairs, times = np.unique(linked, return_counts=True)
-                digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
-                rows.append((number.as_py(), len(a), len(b), len(groups), len(left), digest, pairs, times))
+                _, left, right = align(ends_a, ends_b)
+                shared = ends_a[left] == ends_b[right]
+                last_a, last_b = left[shared], right[shared]
+                pairs, times = np.unique(b[right] << 32 | a[left], return_counts=True)
+                digest = hashlib.sha256(aligner.groups(last_a, last_b, a, b)).hexdigest() if len(a) else ""
+                rows.append((number.as_py(), len(a), len(b), len(last_a), len(left), digest, pairs, times))
                 held += len(body or "")
                 if held > BLOCK:
                     yield packed(rows, batch.column(0).slice(begin, at + 1 - begin))

@@ -128,3 +128,42 @@ def test_vocabulary(coders):
         text = "".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(1, 0xd800), rng.randrange(0xe000, 0x110000), 32, 10, 39]))
                        for _ in range(rng.randrange(1, 30)))
         assert mine(text) == coders[0].encode(" " + text, add_special_tokens=False).ids
+
+
+def test_runs_of_bytes():
+    """Probes of bytes find the stretches that probes of numbers find, whatever follows."""
+    rng = random.Random(3)
+    for size in (1, 2, 15, 16, 17, 31, 32, 47, 48, 49, 100, 300):
+        a = [rng.randrange(256) for _ in range(size)]
+        for at in range(size + 1):
+            b = [0, *a[:at], *((x + 128) % 256 for x in a[at:at + 1]), *a[at + 1:], *[0] * rng.randrange(3)]
+            assert alignment.equal_bytes(bytes(a), bytes(b), 0, 1) == alignment.equal_run(a, b, 0, 1) == at
+            assert alignment.equal_bytes(bytes(b), bytes(a), 1, 0) == at
+    assert alignment.equal_bytes(b"\0\0", b"\0", 0, 0) == 1
+
+
+@pytest.mark.parametrize("wide", [1, 300])
+def test_links(wide):
+    """Links and groups against sets of ranges, for lengths that fit in bytes and those that don't."""
+    rng = random.Random(wide)
+    for _ in range(200):
+        ends = sorted(rng.sample(range(1, 80), rng.randrange(1, 60)))
+        first, second = ([wide * e for e in ends if e == ends[-1] or rng.random() < 0.8] for _ in range(2))
+        stretches, left, right = alignment.align(first, second)
+        starts = [[0, *side[:-1]] for side in (first, second)]
+        assert list(zip(left.tolist(), right.tolist())) == [
+            (i, j) for i in range(len(first)) for j in range(len(second))
+            if starts[0][i] < second[j] and starts[1][j] < first[i]]
+        groups = sum(i_end - i if first[i] == second[j] else 1 for i, i_end, j, j_end in stretches)
+        assert groups == len(set(first) & set(second))
+
+
+def test_group_text():
+    """Ids of each group, the first side's before the second's."""
+    import numpy as np
+    aligner = alignment.Aligner(*(alignment.tokenizer_path(n) for n in (alignment.FIRST, alignment.SECOND)))
+    a, b = np.array([7, 50000, 0, 12]), np.array([31999, 5, 6, 1])
+    said = aligner.groups(np.array([0, 2, 3]), np.array([0, 2, 3]), a, b)
+    assert said == b"7|31999;50000,0|5,6;12|1"
+    assert aligner.groups(np.array([3]), np.array([0]), a, b[:1]) == b"7,50000,0,12|31999"
+    assert aligner.groups(np.array([0]), np.array([3]), a[:1], b) == b"7|31999,5,6,1"
