@@ -110,7 +110,9 @@ def _text_heads(spark: SparkSession, paths: list[str], small: bool) -> list[Row]
     for key, value in (SMALL_FILES if small else LARGE_FILES).items():
         own.conf.set(key, value)
     own.conf.set("spark.sql.files.ignoreCorruptFiles", str(skips_broken(spark)).lower())
-    lines = own.read.text(paths).select(file_path().alias("path"), F.col("value").cast("binary"))
+    # Where files are cut all the same, the head is in the first split.
+    lines = own.read.text(paths).filter(F.col("_metadata.file_block_start") == 0).select(
+        file_path().alias("path"), F.col("value").cast("binary"))
     return lines.mapInArrow(_looked(not small), "path string, start binary, record array<string>").collect()
 
 

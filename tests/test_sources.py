@@ -87,6 +87,18 @@ def test_heads_of_small_and_large_files(spark, tmp_path, monkeypatch):
         heads.first_records(spark, [f"{tmp_path}/none.csv"])
 
 
+def test_head_of_a_file_cut_into_splits(spark, tmp_path, monkeypatch):
+    """A session may hold the size of splits at its own value."""
+    paths = [write(f"{tmp_path}/{n}.csv", f'id,"{n}\nx"\n' + "1,a.b\n" * 500) for n in "ab"]
+    for settings in ("LARGE_FILES", "SMALL_FILES"):
+        cut = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "1"}
+        monkeypatch.setattr(heads, settings, {**getattr(heads, settings), **cut})
+    assert heads.first_records(spark, paths[:1])[paths[0]].record == ["id", "a\nx"]
+    assert [heads.first_records(spark, paths)[p].record for p in paths] == [["id", "a\nx"], ["id", "b\nx"]]
+    monkeypatch.setattr(heads, "SMALL_FILE", 10)
+    assert [heads.first_records(spark, paths)[p].record for p in paths] == [["id", "a\nx"], ["id", "b\nx"]]
+
+
 def test_row_index_over_many_splits(spark, tmp_path):
     path = write(f"{tmp_path}/big.csv", "n,pad\n" + "".join(f"{i},{'x' * 40}\n" for i in range(20000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")

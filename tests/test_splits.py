@@ -150,6 +150,30 @@ def test_small_cuts_do_not_grow_in_number(spark, tmp_path, monkeypatch):
     assert many.count() == 60_000
 
 
+def test_task_results_do_not_grow_with_a_file_that_is_cut_small(spark, tmp_path, monkeypatch):
+    """Each task sends its result to the driver, so passes over a larger file have as many tasks."""
+    from chronosift.plans.source_catalog import source_csv_splits
+    from chronosift.sources import splits
+    monkeypatch.setattr(splits, "MOST_SPLITS", 16)
+    tracker, tasks = spark.sparkContext.statusTracker(), {}
+    for n in (1_500, 6_000):
+        sf = f"{tmp_path}/{n}"
+        spark.range(n).select(
+            F.floor(F.col("id") / 2).alias("conv_id"), (F.col("id") % 2).alias("turn"), F.lit("user").alias("role"),
+            F.concat(F.lit('a "word"\n'), F.repeat(F.lit("x, "), 60), "id").alias("text")).write.parquet(f"{sf}/conversations.parquet")
+        spark.sparkContext.setJobGroup(f"splits {n}", "")
+        try:
+            got = source_csv_splits(spark, sf).agg(
+                F.count(F.lit(1)), F.count_if((F.col("row_index") == 2 * F.col("conv_id").cast("long") + F.col("turn").cast("long"))
+                                              & F.col("text").endswith(F.concat(F.lit("x, "), F.col("row_index"))))).first()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert tuple(got) == (n, n)
+        stages = {s for job in tracker.getJobIdsForGroup(f"splits {n}") for s in tracker.getJobInfo(job).stageIds}
+        tasks[n] = max(info.numTasks for s in stages if (info := tracker.getStageInfo(s)))
+    assert 16 <= tasks[1_500] <= 20 and tasks[6_000] <= 20
+
+
 def test_one_task_reads_sorted_ranges_in_order(spark, tmp_path):
     from chronosift.sources.splits import in_order
     rows = in_order(spark.range(0, 20_000, 1, 8).orderBy(F.col("id").desc()))
